@@ -21,8 +21,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
 
-    counts = [F.size(F.filter("found", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{k}") for k in secrets.BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+    def number(kind: str):
+        return F.size(F.filter("found", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, secrets.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
