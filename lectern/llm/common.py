@@ -32,10 +32,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut, and a
     lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def among(df: DataFrame, ids: DataFrame, column: str, most: int = 1 << 21) -> DataFrame:
+    """Rows of df whose column is in ids (one column of that name, no repeats).  Counted
+    first: up to `most` ids are broadcast, more are joined by a shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, column, "left_semi")
+
+
 def text_column(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns of the input never clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

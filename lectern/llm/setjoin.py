@@ -13,10 +13,11 @@ are indexed under one extra signature of their band as well, which keeps the joi
 
 Candidates are verified on the whole texts.  First every set is compared with the smallest
 document of each of its signatures, and the links found are closed.  A signature whose sets
-then lie in one component is finished.  The others are compared in blocks of bounded size,
-all against all within the signature, with shared shingles counted by matrix products; such
-comparisons return only links that join parts not joined yet.  Equal sets are folded into
-their smallest document before any of this.
+then lie in one component is finished.  The sets of the others are compared in blocks of
+bounded size, with shared shingles counted by matrix products; such comparisons return only
+links that join parts not joined yet.  Blocks are made of the sets that hang together by open
+signatures, so that a text is sent once for each block, or of each signature's sets where too
+many hang together.  Equal sets are folded into their smallest document before any of this.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, ByteHash, components, mix64, stored, text_chunks, text_column, word_bounds
+from .common import LOWER, ByteHash, among, components, mix64, stored, text_chunks, text_column, word_bounds
 
 
 @dataclass(frozen=True)
@@ -40,12 +41,16 @@ class Link:
     width: int = 3
     per_100: int = 90
     block: int = 400
+    cluster: int = 4000
+    #: a band's greatest size over its least; wider bands repeat fewer sets in the next band
+    #: but cut the smaller ones finer, and the rows are fewest near this
+    spread: float = 1.5
 
     def bands(self, largest: int) -> tuple[np.ndarray, np.ndarray]:
         """First sizes of the bands up to one that holds `largest`, and segments per band."""
         starts = [1]
         while starts[-1] <= largest:
-            starts.append(max(starts[-1] + 1, -(-starts[-1] * 100 // self.per_100)))
+            starts.append(max(starts[-1] + 1, -(-starts[-1] * 100 // self.per_100), int(starts[-1] * self.spread)))
         starts = np.array(starts, np.int64)
         last = np.append(starts[1:] - 1, starts[-1])
         # |x| + |y| - 2 * overlap with overlap >= t / (1 + t) * (|x| + |y|), sizes at most `last`
@@ -84,8 +89,12 @@ def signatures(row: np.ndarray, made: np.ndarray, n: int, link: Link) -> tuple[n
     rows, sigs = [], []
     for step in (0, 1):
         band = own + step
-        m = np.where(sizes > 0, segments[np.maximum(band, 0)], 0)
+        # into the next band only if the set is large enough to link with one of its sets
+        reaches = sizes * 100 >= link.per_100 * starts[band] if step else sizes > 0
+        m = np.where(reaches & (sizes > 0), segments[np.maximum(band, 0)], 0)
         base = np.cumsum(m) - m
+        here = m[row] > 0
+        row_all, made_all, row, made = row, made, row[here], made[here]
         band_of = band[row].astype(np.uint64)
         slot = base[row] + (mix64(made ^ (band_of * np.uint64(0x9FB21C651E98DF25))) % m[row].astype(np.uint64)).astype(np.int64)
         total = np.zeros(int(m.sum()), np.uint64)
@@ -106,6 +115,7 @@ def signatures(row: np.ndarray, made: np.ndarray, n: int, link: Link) -> tuple[n
         if len(bare):
             rows.append(bare)
             sigs.append(mix64(band[bare].astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)))
+        row, made = row_all, made_all
     return np.concatenate(rows), np.concatenate(sigs)
 
 
@@ -204,11 +214,18 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
 
 
 def verify_blocks(members: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
-    """Links within each signature of members(sig, id, part), in pairs of blocks; ids of one
-    part are joined already.  Signatures with the same members are compared once."""
-    whole = members.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("same"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("more"))
+    """Links among the ids of members(sig, id, part, hub), in pairs of blocks; ids of one part
+    are joined already.  Ids of a cluster of signatures are compared once, those of a cluster
+    with too many ids by signature, and there signatures with the same members once."""
+    clusters = components(members.select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    placed = stored(members.join(clusters, members.id == clusters.node).select("sig", "id", "part", "component"), "clustered")
+    small = placed.groupBy("component").agg(F.countDistinct("id").alias("n")).filter(F.col("n") <= link.cluster)
+    by_cluster = placed.join(small, "component").select(F.col("component").alias("sig"), "id", "part", "n").distinct()
+    large = placed.join(small, "component", "left_anti").select("sig", "id", "part")
+    whole = large.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("same"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("more"))
     once = whole.groupBy("n", "same", "more").agg(F.min("sig").alias("sig")).select("sig", "n")
-    placed = members.join(once, "sig").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("sig").orderBy("id")) - 1) / link.block).cast("int"))
+    members = by_cluster.union(large.join(once, "sig").select(F.xxhash64("sig").alias("sig"), "id", "part", "n"))
+    placed = members.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("sig").orderBy("id")) - 1) / link.block).cast("int"))
     blocks = F.ceil(F.col("n") / link.block).cast("int")
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "part")
 
@@ -245,13 +262,13 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     index = stored(rows.withColumn("n", F.count("*").over(at)).withColumn("hub", F.min("id").over(at)).filter("n > 1"), "index")
     # whole texts of the sets that share a signature with another
     wanted = index.select("id").distinct()
-    texts = stored(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(wanted, "id").dropDuplicates(["id"]), "texts")
+    texts = stored(among(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")), wanted, "id").dropDuplicates(["id"]), "texts")
     pairs = index.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     first = stored(verify_pairs(pairs, texts, link), "links")
     parts = components(first)
-    part = index.join(parts, index.id == parts.node, "left").select("sig", "id", "n", F.coalesce("component", "id").alias("part"))
+    part = index.join(parts, index.id == parts.node, "left").select("sig", "id", "n", "hub", F.coalesce("component", "id").alias("part"))
     open_sigs = part.filter("n > 2").groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("sig")
-    members = stored(part.select("sig", "id", "part").join(open_sigs, "sig"), "open")
+    members = stored(part.select("sig", "id", "part", "hub").join(open_sigs, "sig"), "open")
     more = stored(verify_blocks(members, texts, link), "links")
     final = components(first.union(more))
     joined = held.join(final, held.rep == final.node, "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
