@@ -16,7 +16,6 @@ by hash, one row for each start, combined before the shuffle; results are the sa
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,7 +210,3 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **
 
     joined = named.join(runs, "id", "left").select("id", "text", "runs")
     return joined.mapInArrow(cut, f"id {kind}, n_bytes long, runs {RUNS_SQL}, kept binary").withColumnRenamed("id", key)
-
-
-def digest(raw: bytes) -> str:
-    return hashlib.sha256(raw).hexdigest()
