@@ -2,22 +2,25 @@
 
 A document is its set of distinct word shingles.  Sizes fall into bands; in a band two sets
 with Jaccard similarity t differ in at most H shingles, so the shingle universe is hashed into
-m = H + 1 segments and two linked sets agree on some segment.  A set indexes its segments under
-its own band and the next one, which covers every pair of sizes that can link.
+m = H + 1 + x segments and two linked sets agree on more than x segments.  A set indexes its
+segments under its own band, and under the next one if it is large enough to link with a set
+of that.
 
 Segments are paid for by cost.  A segment that is empty in a set would match every other set
-that lacks it, so it is given nothing, and the set's other segments are given two: they also
-index every neighbour with one shingle deleted.  Two sets that share e empty segments agree up
-to one shingle on one of the others as long as 2e <= m; sets with more empty segments than that
-are indexed under one extra signature of their band as well, which keeps the join exact.
-
-Candidates are verified on the whole texts.  First every set is compared with the smallest
-document of each of its signatures, and the links found are closed.  A signature whose sets
-then lie in one component is finished.  The sets of the others are compared in blocks of
-bounded size, with shared shingles counted by matrix products; such comparisons return only
-links that join parts not joined yet.  Blocks are made of the sets that hang together by open
-signatures, so that a text is sent once for each block, or of each signature's sets where too
-many hang together.  Equal sets are folded into their smallest document before any of this.
+that lacks it, so it is given nothing.  The allowance x is chosen by band so that few sets have
+more than x empty segments: with x or fewer, linked sets still agree on one that is not empty.
+A set with more gives two to each other segment: it also indexes every neighbour with one
+shingle deleted, and as long as fewer than m - H / 2 segments are empty in both, some other one
+differs by at most one shingle.  Sets with still more empty segments are indexed under one
+extra signature of their band, which keeps the join exact.
+
+Candidates are verified on the whole texts.  Sets that hang together by signatures are a
+cluster; its sets are compared in blocks of bounded size, with shared shingles counted by matrix
+products, and only links that join parts not joined yet come back.  In a cluster too large for
+that every set is first compared with the smallest document of each of its signatures, and the
+links found are closed; a signature whose sets then lie in one component is finished, and the
+sets of each of the others are compared in blocks.  Equal sets are folded into their smallest
+document before any of this.
 """
 
 from __future__ import annotations
@@ -26,7 +29,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,8 +48,9 @@ class Link:
     #: but cut the smaller ones finer, and the rows are fewest near this
     spread: float = 1.5
 
-    def bands(self, largest: int) -> tuple[np.ndarray, np.ndarray]:
-        """First sizes of the bands up to one that holds `largest`, and segments per band."""
+    def bands(self, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First sizes of the bands up to one that holds `largest`, differences that links in
+        the band can have, and segments."""
         starts = [1]
         while starts[-1] <= largest:
             starts.append(max(starts[-1] + 1, -(-starts[-1] * 100 // self.per_100), int(starts[-1] * self.spread)))
@@ -55,7 +58,12 @@ class Link:
         last = np.append(starts[1:] - 1, starts[-1])
         # |x| + |y| - 2 * overlap with overlap >= t / (1 + t) * (|x| + |y|), sizes at most `last`
         most = (100 - self.per_100) * 2 * last // (100 + self.per_100)
-        return starts, most + 1
+        segments = most + 1
+        least = np.append(starts[:1], starts[1:] * self.per_100 // 100)
+        for _ in range(8):  # the allowance adds segments, and they add to the allowance
+            empty = segments * np.exp(-least / segments)
+            segments = most + 1 + np.where(most > 0, np.ceil(empty + 2 * np.sqrt(empty)), 0).astype(np.int64)
+        return starts, most, segments
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +92,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
 def signatures(row: np.ndarray, made: np.ndarray, n: int, link: Link) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) under the row's own band and the next one."""
     sizes = np.bincount(row, minlength=n)
-    starts, segments = link.bands(int(sizes.max(initial=1)) * 2)
+    starts, most, segments = link.bands(int(sizes.max(initial=1)) * 2)
     own = np.searchsorted(starts, sizes, side="right") - 1
     rows, sigs = [], []
     for step in (0, 1):
@@ -107,11 +115,12 @@ def signatures(row: np.ndarray, made: np.ndarray, n: int, link: Link) -> tuple[n
         rows.append(owner[full])
         sigs.append(mix64(total[full] + tag[full]))
         lacking = np.bincount(owner[~full], minlength=n)
-        fewer = lacking[row] > 0
+        allowed = segments[band] - most[band] - 1
+        fewer = lacking[row] > allowed[row]
         if fewer.any():
             rows.append(row[fewer])
             sigs.append(mix64(total[slot[fewer]] - made[fewer] + tag[slot[fewer]]))
-        bare = np.flatnonzero(2 * lacking > m)
+        bare = np.flatnonzero((m > 0) & (lacking > allowed) & (2 * (m - lacking) <= most[band]))
         if len(bare):
             rows.append(bare)
             sigs.append(mix64(band[bare].astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)))
@@ -133,6 +142,9 @@ def document_sets(docs: DataFrame, key: str, text: str, link: Link) -> DataFrame
                 owner, sig = signatures(row, made, n, link)
                 order = np.lexsort((sig, owner))
                 owner, sig = owner[order], sig[order].astype(np.int64)
+                new = np.ones(len(owner), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (sig[1:] != sig[:-1])
+                owner, sig = owner[new], sig[new]
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(sig))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, n), pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64)), lists],
@@ -214,33 +226,54 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
 
 
 def verify_blocks(members: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
-    """Links among the ids of members(sig, id, part, hub), in pairs of blocks; ids of one part
-    are joined already.  Ids of a cluster of signatures are compared once, those of a cluster
-    with too many ids by signature, and there signatures with the same members once."""
-    clusters = components(members.select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    placed = stored(members.join(clusters, members.id == clusters.node).select("sig", "id", "part", "component"), "clustered")
-    small = placed.groupBy("component").agg(F.countDistinct("id").alias("n")).filter(F.col("n") <= link.cluster)
-    by_cluster = placed.join(small, "component").select(F.col("component").alias("sig"), "id", "part", "n").distinct()
-    large = placed.join(small, "component", "left_anti").select("sig", "id", "part")
-    whole = large.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("same"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("more"))
-    once = whole.groupBy("n", "same", "more").agg(F.min("sig").alias("sig")).select("sig", "n")
-    members = by_cluster.union(large.join(once, "sig").select(F.xxhash64("sig").alias("sig"), "id", "part", "n"))
-    placed = members.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("sig").orderBy("id")) - 1) / link.block).cast("int"))
+    """Links within each group of members(grp, id, part, n), n its size, in pairs of blocks;
+    ids of one part are joined already."""
+    placed = members.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("grp").orderBy("id")) - 1) / link.block).cast("int"))
     blocks = F.ceil(F.col("n") / link.block).cast("int")
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "part")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
-        first, second = group[group["block"] == low], group[group["block"] == high]
-        if low != high and len(second) == 0 or group["part"].nunique() < 2:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        left = as_sets(first["text"].tolist(), link.width)
-        right = left if low == high else as_sets(second["text"].tolist(), link.width)
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "part")
+
+    def compare(low: int, high: int, rows: list[tuple]) -> list[tuple[int, int]]:
+        first, second = [r for r in rows if r[0] == low], [r for r in rows if r[0] == high]
+        if len({r[2] for r in rows}) < 2:
+            return []
+        left = as_sets([r[3] for r in first], link.width)
+        right = left if low == high else as_sets([r[3] for r in second], link.width)
+        if len(left) == len(right) == 2 and low == high:
+            common = len(np.intersect1d(*left, assume_unique=True))
+            return [(min(rows[0][1], rows[1][1]), max(rows[0][1], rows[1][1]))] if 100 * common >= link.per_100 * (len(left[0]) + len(left[1]) - common) else []
         found = links_between(left, right, link.per_100)
-        found &= first["part"].to_numpy()[:, None] != second["part"].to_numpy()[None, :]
-        return pd.DataFrame(spanning(found, first["id"].to_numpy(), second["id"].to_numpy()), columns=["a", "b"], dtype="int64")
+        found &= np.array([r[2] for r in first])[:, None] != np.array([r[2] for r in second])[None, :]
+        return spanning(found, np.array([r[1] for r in first]), np.array([r[1] for r in second]))
 
-    return dealt.join(texts, "id").groupBy("sig", "lo", "hi").applyInPandas(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows, out = None, [], []
+        for batch in batches:
+            for grp, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (grp, low, high) != last:
+                    if rows:
+                        out += compare(last[1], last[2], rows)
+                    last, rows = (grp, low, high), []
+                rows.append(row)
+        if rows:
+            out += compare(last[1], last[2], rows)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    ready = dealt.join(texts, "id").repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
+    return ready.select("grp", "lo", "hi", "block", "id", "part", "text").mapInArrow(run, "a long, b long")
+
+
+def large_links(index: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
+    """Links within each signature of index(sig, id, hub, size, n)."""
+    hubs = index.select(F.col("id").alias("hub"), F.col("size").alias("hub_size")).distinct()
+    near = 100 * F.least("size", "hub_size") >= link.per_100 * F.greatest("size", "hub_size")
+    pairs = index.filter("id <> hub").join(hubs, "hub").filter(near).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    first = stored(verify_pairs(pairs, texts, link), "links")
+    parts = components(first)
+    part = index.join(parts, index.id == parts.node, "left").select("sig", "id", "n", F.coalesce("component", "id").alias("part"))
+    open_sigs = part.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.bit_xor(F.xxhash64("id")).alias("same"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("more"), F.count("*").alias("k")).filter("x < y")
+    once = open_sigs.groupBy("k", "same", "more").agg(F.min("sig").alias("sig")).select("sig")
+    members = stored(part.join(once, "sig").select(F.col("sig").alias("grp"), "id", "part", "n"), "open")
+    return first.union(verify_blocks(members, texts, link))
 
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", link: Link = Link()) -> DataFrame:
@@ -258,19 +291,19 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     held = stored(filled.select("id", "h1", "h2", "n_shingles").join(groups, ["h1", "h2", "n_shingles"]).select("id", "n_shingles", "rep"), "folded")
     own = held.filter("id = rep").select("id").distinct()
     at = Window.partitionBy("sig")
-    rows = filled.select("id", "sigs").join(own, "id").dropDuplicates(["id"]).select("id", F.explode("sigs").alias("sig")).distinct()
+    rows = filled.select("id", F.col("n_shingles").alias("size"), "sigs").join(own, "id").dropDuplicates(["id"]).select("id", "size", F.explode("sigs").alias("sig"))
     index = stored(rows.withColumn("n", F.count("*").over(at)).withColumn("hub", F.min("id").over(at)).filter("n > 1"), "index")
     # whole texts of the sets that share a signature with another
     wanted = index.select("id").distinct()
     texts = stored(among(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")), wanted, "id").dropDuplicates(["id"]), "texts")
-    pairs = index.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = stored(verify_pairs(pairs, texts, link), "links")
-    parts = components(first)
-    part = index.join(parts, index.id == parts.node, "left").select("sig", "id", "n", "hub", F.coalesce("component", "id").alias("part"))
-    open_sigs = part.filter("n > 2").groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("sig")
-    members = stored(part.select("sig", "id", "part", "hub").join(open_sigs, "sig"), "open")
-    more = stored(verify_blocks(members, texts, link), "links")
-    final = components(first.union(more))
+    clusters = components(index.select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    sized = stored(clusters.join(clusters.groupBy("component").agg(F.count("*").alias("n")), "component"), "clusters")
+    small = sized.filter(F.col("n") <= link.cluster).select(F.col("component").alias("grp"), F.col("node").alias("id"), F.col("node").alias("part"), "n")
+    links = stored(verify_blocks(small, texts, link), "links")
+    large = sized.filter(F.col("n") > link.cluster).select(F.col("node").alias("id"))
+    if not large.isEmpty():
+        links = links.union(stored(large_links(index.join(large, "id"), texts, link), "links"))
+    final = components(links)
     joined = held.join(final, held.rep == final.node, "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = sets.filter((F.col("n_shingles") == 0) | F.col("id").isNull()).select("id", "n_shingles", F.col("id").alias("component_id"))
     return joined.union(alone).withColumnRenamed("id", key)
