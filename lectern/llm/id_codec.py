@@ -22,134 +22,147 @@ import numpy as np
 
 MAGIC = b"LCMX"
 VERSION = 1
-BLOCK = 4096
-SLOTS = 4096
+BLOCK = 1024
+SLOTS = 1024
 CLASSES = 18
-TOP, BOTTOM = np.uint64(1 << 24), np.uint64(1 << 16)
-WORD = np.uint64(0xFFFFFFFF)
-#: log odds in 1/256 by probability in 1/4096, and back.
-STRETCH = np.array([0 if not 0 < p < 4096 else round(256 * math.log(p / (4096 - p))) for p in range(4096)], np.int64)
-STRETCH[0] = STRETCH[1]
+TOP, BOTTOM, WORD = 1 << 24, 1 << 16, (1 << 32) - 1
+#: log odds in 1/256 by probability in 1/4096, and back; bit lengths of ids.
+STRETCH = np.array([round(256 * math.log(max(p, 1) / (4096 - max(p, 1)))) for p in range(4096)], np.int64)
 SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-d / 256))))) for d in range(-2047, 2048)], np.int64)
+LENGTH = np.repeat(np.arange(CLASSES, dtype=np.int64), [1, *(1 << i for i in range(CLASSES - 1))])
+ID_BITS = CLASSES - 1
+ID = (1 << ID_BITS) - 1
 
 
 class Lanes:
-    """The models of n blocks, and what both directions share."""
+    """The models of n blocks.  A table entry holds an id and, above it, how sure it is (0-3).
+
+    predict() and update() work on the first k lanes, those whose block goes on."""
 
     def __init__(self, n: int):
-        self.n, self.lane = n, np.arange(n)
-        self.ids = [np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)]
-        self.sure = [np.zeros(n * SLOTS, np.int8), np.zeros(n * SLOTS, np.int8)]
-        self.track = [np.full(n * 4, 1 << 15, np.int64), np.full(n * 8, 1 << 15, np.int64), np.full(n, 1 << 15, np.int64)]
-        self.weights = np.full((3, n), 22000, np.int64)
-        self.counts = np.full((n, CLASSES), 8, np.int64)
+        self.lane = np.arange(n)
+        self.base = self.lane * SLOTS
+        self.entries = [np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)]
+        self.track = [np.full(n * 8, 1 << 15, np.int64), np.full(n * 4, 1 << 15, np.int64), np.full(n, 1 << 15, np.int64)]
+        self.weights = [np.full(n, 22000, np.int64) for _ in range(3)]
+        self.counts = np.full((CLASSES, n), 8, np.int64)
+        self.totals = np.full(n, 8 * CLASSES, np.int64)
         self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
-    def predict(self, w: np.ndarray) -> None:
-        """For the lanes w: the candidate, and the chance out of 4096 that it is right."""
-        one, two = self.one[w], self.two[w]
-        self.at = [w * SLOTS + (one * 2654435761 >> 7) % SLOTS, w * SLOTS + ((one * 40503 + two * 2654435761) >> 5) % SLOTS]
-        first, second = self.ids[0][self.at[0]], self.ids[1][self.at[1]]
-        k1, k2 = self.sure[0][self.at[0]].astype(np.int64), self.sure[1][self.at[1]].astype(np.int64)
-        self.candidate = np.where(k2 > 0, second, first).astype(np.int64)
-        agree = (first == second) & (k1 > 0) & (k2 > 0)
-        self.cell = [w * 4 + k2, w * 8 + k1 * 2 + agree, w]
-        self.odds = [STRETCH[self.track[i][self.cell[i]] >> 4] for i in range(3)]
-        dot = sum(self.weights[i][w] * self.odds[i] for i in range(3)) >> 16
-        self.chance = SQUASH[np.clip(dot, -2047, 2047) + 2047]
-
-    def update(self, w: np.ndarray, ids: np.ndarray, hit: np.ndarray) -> None:
+    def predict(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates, and the chances out of 4096 that they are right."""
+        one, two, base = self.one[:k], self.two[:k], self.base[:k]
+        self.at = base + ((one * 2654435761 >> 7) & (SLOTS - 1)), base + ((one * 40503 + two * 2654435761 >> 5) & (SLOTS - 1))
+        first, second = (e[i].astype(np.int64) for e, i in zip(self.entries, self.at))
+        self.held = first, second
+        k1, k2 = first >> ID_BITS, second >> ID_BITS
+        known = k2 > 0
+        candidate = np.where(known, second, first) & ID
+        agree = known & (k1 > 0) & ((first ^ second) & ID == 0)
+        lane = self.lane[:k]
+        self.cell = lane * 8 + k1 * 2 + agree, lane * 4 + k2, lane
+        self.seen = [t[c] for t, c in zip(self.track, self.cell)]
+        self.odds = [STRETCH[p >> 4] for p in self.seen]
+        dot = (self.weights[0][:k] * self.odds[0] + self.weights[1][:k] * self.odds[1] + self.weights[2][:k] * self.odds[2]) >> 16
+        self.chance = SQUASH[np.maximum(np.minimum(dot, 2047), -2047) + 2047]
+        return candidate, self.chance
+
+    def update(self, k: int, ids: np.ndarray, hit: np.ndarray) -> None:
         error = (hit << 12) - self.chance
-        for i in range(3):
-            self.weights[i][w] = np.clip(self.weights[i][w] + (self.odds[i] * error >> 10), -(1 << 20), 1 << 20)
-            p = self.track[i][self.cell[i]]
-            self.track[i][self.cell[i]] = p + np.where(hit == 1, (65535 - p) >> 5, -(p >> 5))
-        for i in range(2):
-            held, sure = self.ids[i][self.at[i]], self.sure[i][self.at[i]]
-            same = (held == ids) & (sure > 0)
-            self.ids[i][self.at[i]] = np.where(same | (sure > 1), held, ids)
-            self.sure[i][self.at[i]] = np.where(same, np.minimum(sure + 1, 3), np.where(sure > 1, sure >> 1, 1))
-        self.two[w], self.one[w] = self.one[w], ids
-
-    def count(self, w: np.ndarray, size: np.ndarray) -> None:
-        self.counts[w, size] += 24
-        full = w[self.counts[w].sum(axis=1) > 4000]
+        aim = hit * 65535
+        for w, odds, track, cell, p in zip(self.weights, self.odds, self.track, self.cell, self.seen):
+            w[:k] += odds * error >> 10
+            track[cell] = p + ((aim - p) >> 5)
+        for entries, at, held in zip(self.entries, self.at, self.held):
+            sure = held >> ID_BITS
+            same = ((held & ID) == ids) & (sure > 0)
+            # right: surer, up to 3; wrong: half as sure, and replaced when no longer so
+            kept = np.where(sure > 1, (held & ID) | (sure >> 1 << ID_BITS), ids | (1 << ID_BITS))
+            entries[at] = np.where(same, held + np.where(sure < 3, 1 << ID_BITS, 0), kept)
+        self.two[:k] = self.one[:k]
+        self.one[:k] = ids
+
+    def count(self, m: np.ndarray, size: np.ndarray) -> None:
+        self.counts[size, m] += 24
+        self.totals[m] += 24
+        full = m[self.totals[m] > 4000]
         if len(full):
-            self.counts[full] = (self.counts[full] >> 1) | 1
+            self.counts[:, full] = (self.counts[:, full] >> 1) | 1
+            self.totals[full] = self.counts[:, full].sum(axis=0)
 
 
-def bit_length(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
+def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b for a below 2**32 and b below 2**20, where the rounded quotient is exact."""
+    return (a / b).astype(np.int64)
 
 
-class Encoder:
-    def __init__(self, n: int, longest: int):
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, WORD)
-        self.out = np.zeros((n, longest * 7 + 8), np.uint8)
-        self.used = np.zeros(n, np.int64)
-
-    def put(self, w: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        r = self.range[w] // total
-        self.low[w] = (self.low[w] + r * start.astype(np.uint64)) & WORD
-        self.range[w] = r * size.astype(np.uint64)
+class Coder:
+    """32-bit interval arithmetic of all lanes; a subclass moves the bytes."""
+
+    def __init__(self, n: int):
+        self.low, self.range = np.zeros(n, np.int64), np.full(n, WORD, np.int64)
+
+    def narrow(self, w, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Lanes w (a slice or indexes) go on with [start, start + size) times unit."""
+        low = self.low[w] = (self.low[w] + unit * start) & WORD
+        span = self.range[w] = unit * size
+        some = np.flatnonzero((span < TOP) | ((low ^ (low + span)) < TOP))
+        if isinstance(w, slice):
+            w = some
+        else:
+            w = w[some]
         while len(w):
             low, span = self.low[w], self.range[w]
-            same = ((low ^ (low + span)) & WORD) < TOP
-            # a sum past 32 bits has wrapped: then the top bytes differ
-            same &= low + span <= WORD
-            tight = ~same & (span < BOTTOM)
-            go = same | tight
-            w, low, span, tight = w[go], low[go], span[go], tight[go]
+            same = (low ^ (low + span)) < TOP  # a sum past 32 bits differs in a higher bit
+            go = same | (span < BOTTOM)
+            w, low, span, same = w[go], low[go], span[go], same[go]
             if not len(w):
                 break
-            span = np.where(tight, (~low + np.uint64(1)) & np.uint64(0xFFFF), span)
-            self.out[w, self.used[w]] = (low >> np.uint64(24)).astype(np.uint8)
-            self.used[w] += 1
-            self.low[w], self.range[w] = (low << np.uint64(8)) & WORD, (span << np.uint64(8)) & WORD
+            span = np.where(same, span, -low & (BOTTOM - 1))
+            self.shift(w, low)
+            self.low[w], self.range[w] = (low << 8) & WORD, (span << 8) & WORD
+
+
+class Encoder(Coder):
+    def __init__(self, n: int, longest: int):
+        super().__init__(n)
+        self.width = longest * 7 + 8
+        self.out = np.zeros(n * self.width, np.uint8)
+        self.used = np.arange(n) * self.width
+
+    def shift(self, w: np.ndarray, low: np.ndarray) -> None:
+        at = self.used[w]
+        self.out[at] = low >> 24
+        self.used[w] = at + 1
 
-    def finish(self) -> None:
+    def finish(self) -> list[bytes]:
         w = np.arange(len(self.low))
         for _ in range(4):
-            self.out[w, self.used] = (self.low >> np.uint64(24)).astype(np.uint8)
-            self.used += 1
-            self.low = (self.low << np.uint64(8)) & WORD
+            self.shift(w, self.low)
+            self.low = (self.low << 8) & WORD
+        return [self.out[i * self.width : self.used[i]].tobytes() for i in range(len(w))]
 
 
-class Decoder:
+class Decoder(Coder):
     def __init__(self, coded: list[bytes]):
-        n = len(coded)
-        self.data = np.zeros((n, max(map(len, coded)) + 16), np.uint8)
+        super().__init__(len(coded))
+        width = max(map(len, coded)) + 16
+        self.data = np.zeros(len(coded) * width, np.uint8)
         for i, c in enumerate(coded):
-            self.data[i, : len(c)] = np.frombuffer(c, np.uint8)
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, WORD)
-        self.code = np.zeros(n, np.uint64)
-        for i in range(4):
-            self.code = (self.code << np.uint64(8)) | self.data[:, i]
-        self.used = np.full(n, 4, np.int64)
-
-    def target(self, w: np.ndarray, total: np.ndarray) -> np.ndarray:
-        self.unit = self.range[w] // total
-        return np.minimum(((self.code[w] - self.low[w]) & WORD) // self.unit, np.asarray(total, np.uint64) - np.uint64(1)).astype(np.int64)
-
-    def take(self, w: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        self.low[w] = (self.low[w] + self.unit * start.astype(np.uint64)) & WORD
-        self.range[w] = self.unit * size.astype(np.uint64)
-        while len(w):
-            low, span = self.low[w], self.range[w]
-            same = ((low ^ (low + span)) & WORD) < TOP
-            same &= low + span <= WORD
-            tight = ~same & (span < BOTTOM)
-            go = same | tight
-            w, low, span, tight = w[go], low[go], span[go], tight[go]
-            if not len(w):
-                break
-            span = np.where(tight, (~low + np.uint64(1)) & np.uint64(0xFFFF), span)
-            self.code[w] = ((self.code[w] << np.uint64(8)) | self.data[w, self.used[w]]) & WORD
-            self.used[w] += 1
-            self.low[w], self.range[w] = (low << np.uint64(8)) & WORD, (span << np.uint64(8)) & WORD
+            self.data[i * width : i * width + len(c)] = np.frombuffer(c, np.uint8)
+        self.used = np.arange(len(coded)) * width
+        self.code = np.zeros(len(coded), np.int64)
+        for _ in range(4):
+            self.code = (self.code << 8) | self.data[self.used]
+            self.used += 1
 
+    def shift(self, w: np.ndarray, low: np.ndarray) -> None:
+        at = self.used[w]
+        self.code[w] = ((self.code[w] << 8) | self.data[at]) & WORD
+        self.used[w] = at + 1
 
-FLAG = np.uint64(4096)
+    def aim(self, w, unit: np.ndarray, most) -> np.ndarray:
+        return np.minimum(((self.code[w] - self.low[w]) & WORD) // unit, most)
 
 
 def lanes_of(n: int, block: int) -> np.ndarray:
@@ -169,29 +182,28 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     grid = np.ascontiguousarray(grid.T)
     lanes, coder = Lanes(n), Encoder(n, int(sizes.max()))
     for i in range(int(sizes.max())):
-        w = lanes.lane if i < sizes[-1] else lanes.lane[:-1]
-        now = grid[i][: len(w)]
-        lanes.predict(w)
-        hit = (now == lanes.candidate).astype(np.int64)
-        coder.put(w, np.where(hit == 1, 0, lanes.chance), np.where(hit == 1, lanes.chance, 4096 - lanes.chance), FLAG)
-        lanes.update(w, now, hit)
-        miss = np.flatnonzero(hit == 0)
-        if len(miss):
-            m, size = w[miss], bit_length(now[miss])
-            cum = np.cumsum(lanes.counts[m], axis=1)
-            have = lanes.counts[m, size]
-            coder.put(m, cum[np.arange(len(m)), size] - have, have, cum[:, -1].astype(np.uint64))
+        k = n if i < sizes[-1] else n - 1
+        now = grid[i, :k]
+        candidate, chance = lanes.predict(k)
+        right = now == candidate
+        hit = right.astype(np.int64)
+        coder.narrow(slice(0, k), coder.range[:k] >> 12, np.where(right, 0, chance), np.where(right, chance, 4096 - chance))
+        lanes.update(k, now, hit)
+        m = np.flatnonzero(~right)
+        if len(m):
+            size = LENGTH[now[m]]
+            below = np.cumsum(lanes.counts[:, m], axis=0)[size, np.arange(len(m))]
+            have = lanes.counts[size, m]
+            coder.narrow(m, ratio(coder.range[m], lanes.totals[m]), below - have, have)
             lanes.count(m, size)
-            wide = np.flatnonzero(size > 1)
-            if len(wide):
-                m, size, x = m[wide], size[wide], now[miss[wide]]
-                coder.put(m, x - (1 << (size - 1)), np.ones(len(m), np.int64), (np.int64(1) << (size - 1)).astype(np.uint64))
-    coder.finish()
+            wide = size > 1
+            m, size = m[wide], size[wide] - 1
+            coder.narrow(m, coder.range[m] >> size, now[m] - (1 << size), np.ones(len(m), np.int64))
+    parts = coder.finish()
     raw = ids.astype("<u4")
-    index, parts, at = [], [], 0
+    index, at = [], 0
     for i in range(n):
-        parts.append(coder.out[i, : coder.used[i]].tobytes())
-        index.append(struct.pack("<III", int(sizes[i]), zlib.crc32(raw[at : at + int(sizes[i])].tobytes()), len(parts[-1])))
+        index.append(struct.pack("<III", int(sizes[i]), zlib.crc32(raw[at : at + int(sizes[i])].tobytes()), len(parts[i])))
         at += int(sizes[i])
     return struct.pack("<4sHIQI", MAGIC, VERSION, block, len(ids), n) + b"".join(index) + b"".join(parts)
 
@@ -214,29 +226,28 @@ def decode(file: bytes) -> np.ndarray:
     grid = np.zeros((int(sizes.max()), n), np.int64)
     lanes, coder = Lanes(n), Decoder(coded)
     for i in range(int(sizes.max())):
-        w = lanes.lane if i < sizes[-1] else lanes.lane[:-1]
-        lanes.predict(w)
-        hit = (coder.target(w, FLAG) < lanes.chance).astype(np.int64)
-        coder.take(w, np.where(hit == 1, 0, lanes.chance), np.where(hit == 1, lanes.chance, 4096 - lanes.chance))
-        now = lanes.candidate.copy()
-        miss = np.flatnonzero(hit == 0)
-        if len(miss):
-            m = w[miss]
-            cum = np.cumsum(lanes.counts[m], axis=1)
-            aim = coder.target(m, cum[:, -1].astype(np.uint64))
-            size = (cum <= aim[:, None]).sum(axis=1)
-            have = lanes.counts[m, size]
-            coder.take(m, cum[np.arange(len(m)), size] - have, have)
+        k = n if i < sizes[-1] else n - 1
+        now, chance = lanes.predict(k)
+        unit = coder.range[:k] >> 12
+        right = coder.aim(slice(0, k), unit, 4095) < chance
+        coder.narrow(slice(0, k), unit, np.where(right, 0, chance), np.where(right, chance, 4096 - chance))
+        m = np.flatnonzero(~right)
+        if len(m):
+            unit = ratio(coder.range[m], lanes.totals[m])
+            cum = np.cumsum(lanes.counts[:, m], axis=0)
+            size = (cum <= coder.aim(m, unit, lanes.totals[m] - 1)).sum(axis=0)
+            have = lanes.counts[size, m]
+            coder.narrow(m, unit, cum[size, np.arange(len(m))] - have, have)
             lanes.count(m, size)
-            value = np.where(size > 0, np.int64(1) << np.maximum(size - 1, 0), 0)
-            wide = np.flatnonzero(size > 1)
-            if len(wide):
-                low = coder.target(m[wide], (np.int64(1) << (size[wide] - 1)).astype(np.uint64))
-                coder.take(m[wide], low, np.ones(len(wide), np.int64))
-                value[wide] += low
-            now[miss] = value
-        lanes.update(w, now, hit)
-        grid[i][: len(w)] = now
+            now[m] = size  # right for ids 0 and 1
+            wide = size > 1
+            m, size = m[wide], size[wide] - 1
+            unit = coder.range[m] >> size
+            low = coder.aim(m, unit, (1 << size) - 1)
+            coder.narrow(m, unit, low, np.ones(len(m), np.int64))
+            now[m] = low + (1 << size)
+        lanes.update(k, now, right.astype(np.int64))
+        grid[i, :k] = now
     ids = np.concatenate([grid[: sizes[i], i] for i in range(n)] if sizes[-1] != sizes[0] else [grid.T.ravel()]).astype(np.uint32)
     at = 0
     for size, crc, _ in index:

@@ -1,7 +1,7 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-A classifier of hashed words, fitted on labelled rows, gives every document a posterior over
-domains: its soft membership.  Nonnegative document rates, one to begin with, are then fitted
+A classifier of words, fitted on labelled rows, gives every document a posterior over domains:
+its soft membership.  Its words are those that tell most about the label there.  Nonnegative document rates, one to begin with, are then fitted
 by projected gradient least squares, so that the expected tokens of each domain (rate times
 tokens times posterior, summed over documents) come to the targets.  A step needs the domain
 totals, an aggregate of a few numbers; a document's rate follows from its own posterior and the
@@ -14,12 +14,13 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .decontaminate import words_of
 
 DOMAINS = ("good", "poor", "toxic")
 
@@ -31,8 +32,9 @@ class Mix:
     targets: dict[str, float] = field(default_factory=lambda: {"good": 0.90, "poor": 0.08, "toxic": 0.02})
     #: most labelled rows that the classifier is fitted on, the first by a hash of the key
     most_labelled: int = 20_000
-    features: int = 1 << 13
-    steps: int = 40
+    features: int = 2000
+    least_rows: int = 5
+    steps: int = 60
     close: float = 1e-5
 
 
@@ -41,8 +43,26 @@ def domain_of() -> Column:
     return F.when(F.col("toxic") == 1, 2.0).when(F.col("quality") == 1, 0.0).when(F.col("quality") == 0, 1.0)
 
 
-def word_list(text: Column) -> Column:
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")
+def features_of(text: Column) -> Column:
+    """Words, and runs of symbols as words of their own."""
+    return F.concat(words_of(text), F.coalesce(F.regexp_extract_all(text, F.lit(r"[#*$%&|<>!]+"), F.lit(0)), F.array().cast("array<string>")))
+
+
+def telling_words(training: DataFrame, mix: Mix) -> list[str]:
+    """The words of training(label, words) with the most information about the label, at most
+    mix.features of them."""
+    labels = {int(r.label): r.n for r in training.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    whole = sum(labels.values())
+    each = training.select("label", F.explode(F.array_distinct("words")).alias("word"))
+    counts = each.groupBy("word").agg(F.count("*").alias("n"), *[F.count_if(F.col("label") == k).alias(f"n{k}") for k in labels]).filter(F.col("n") >= mix.least_rows)
+
+    def term(both: Column, one: Column, other: int) -> Column:
+        return F.when(both > 0, both / whole * F.log(both * float(whole) / (one * float(other)))).otherwise(0.0)
+
+    gain = F.lit(0.0)
+    for k, n in labels.items():
+        gain = gain + term(F.col(f"n{k}"), F.col("n"), n) + term(F.lit(n) - F.col(f"n{k}"), F.lit(whole) - F.col("n"), n)
+    return [r.word for r in counts.withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(mix.features).select("word").collect()]
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, key: str, text: str, mix: Mix) -> DataFrame:
@@ -50,15 +70,16 @@ def posteriors(docs: DataFrame, labels: DataFrame, key: str, text: str, mix: Mix
     named = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     known = labels.select(F.col(f"`{key}`").alias("id"), domain_of().alias("label")).filter("id is not null and label is not null").dropDuplicates(["id"])
     sample = stored(known.orderBy(F.xxhash64("id"), "id").limit(mix.most_labelled), "labelled")
-    training = stored(named.dropDuplicates(["id"]).join(F.broadcast(sample), "id").select("label", word_list(F.col("text")).alias("words")), "training")
+    training = stored(named.dropDuplicates(["id"]).join(F.broadcast(sample), "id").select("label", features_of(F.col("text")).alias("words")), "training")
     seen = [r.label for r in training.select("label").distinct().collect()]
-    rows = named.select("id", word_list(F.col("text")).alias("words"), F.length(F.trim(F.coalesce("text", F.lit("")))).alias("size"))
-    rows = rows.withColumn("n_tokens", F.when(F.col("size") == 0, 0).otherwise(F.size(F.filter("words", lambda w: w != ""))).cast("long"))
-    if len(seen) < 2:
-        even = [1.0 / len(DOMAINS)] * len(DOMAINS) if not seen else [float(i == int(seen[0])) for i in range(len(DOMAINS))]
+    rows = named.select("id", features_of(F.col("text")).alias("words"), F.size(words_of(F.col("text"))).cast("long").alias("n_tokens"))
+    vocabulary = telling_words(training, mix) if len(seen) > 1 else []
+    if not vocabulary:
+        even = [1.0 / len(DOMAINS)] * len(DOMAINS) if len(seen) != 1 else [float(i == int(seen[0])) for i in range(len(DOMAINS))]
         return rows.select("id", "n_tokens", F.array(*map(F.lit, even)).alias("p"))
-    steps = [HashingTF(inputCol="words", outputCol="tf", numFeatures=mix.features), Normalizer(inputCol="tf", outputCol="features", p=2.0), LogisticRegression(family="multinomial", maxIter=60, regParam=2e-4, standardization=False)]
-    model = Pipeline(stages=steps).fit(training)
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="features").setBinary(True)
+    regression = LogisticRegression(family="multinomial", maxIter=60, regParam=1e-3, standardization=False)
+    model = Pipeline(stages=[vectors, regression]).fit(training)
     p = vector_to_array("probability")
     # domains that no labelled row has get nothing
     filled = F.transform(F.sequence(F.lit(1), F.lit(len(DOMAINS))), lambda i: F.when(i <= F.size(p), F.element_at(p, i)).otherwise(0.0))

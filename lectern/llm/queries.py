@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing_lm, pseudonyms, quality, repeats, secrets, setjoin
+from . import decontaminate, licenses, mixing, mixing_lm, pseudonyms, quality, repeats, secrets, setjoin, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +53,23 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("in_band")).alias("kept"), "ratio", "bad_chunks")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_target_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.fit_mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.link_components(table(spark, sf_dir, "documents"), link=setjoin.Link(width=3, per_100=90)).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_files(table(spark, sf_dir, "documents"))
+    return token_files.read_files(spark, path).withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_context_mixing": op1_context_mixing,
@@ -65,7 +78,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_license_scan": op5_license_scan,
         "op6_quality_rules": op6_quality_rules,
+        "op7_decontamination": op7_decontamination,
+        "op8_target_mixture": op8_target_mixture,
         "op9_ngram_jaccard": op9_ngram_jaccard,
+        "op10_token_files": op10_token_files,
     }
 
 
