@@ -130,18 +130,30 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(node, component) for every end of edges(a, b); component is the smallest node
-    reachable.  Every round takes the least label among neighbours (a minimum, so hot nodes
-    are combined before the shuffle) and then jumps to the label's own label."""
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), name)
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), name)
+    reachable.  In a round every node points to its least neighbour (a minimum, so hot nodes
+    are combined before the shuffle), pointers are followed to their ends, and the edges are
+    contracted to the ends; edges within one end go, so rounds shrink."""
+    left = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), name)
+    # rounds over few edges are not worth many tasks
+    few = left.count() <= 1_000_000
+
+    def put(df: DataFrame) -> DataFrame:
+        return stored(df.coalesce(8) if few else df, name)
+
+    whole = None
     for _ in range(rounds):
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
-        top = labels.select(F.col("node").alias("next"), F.col("component").alias("up"))
-        new = stored(step.join(top, "next", "left").select("node", F.col("component").alias("old"), F.least("next", F.coalesce("up", "next")).alias("component")), name)
-        labels = new.select("node", "component")
-        if new.filter("old <> component").isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return labels
+        ways = left.select(F.col("b").alias("node"), F.col("a").alias("near")).union(left.select(F.col("a").alias("node"), F.col("b").alias("near")))
+        points = put(ways.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("component")))
+        for _ in range(rounds):
+            ends = points.select(F.col("node").alias("component"), F.col("component").alias("end"))
+            points = put(points.join(ends, "component").select("node", F.col("end").alias("component"), (F.col("end") != F.col("component")).alias("moved")))
+            if points.filter("moved").isEmpty():
+                break
+        points = points.select("node", "component")
+        ends = points.select(F.col("node").alias("component"), F.col("component").alias("end"))
+        whole = points if whole is None else put(whole.join(ends, "component", "left").select("node", F.coalesce("end", "component").alias("component")))
+        one, two = points.toDF("a", "x"), points.toDF("b", "y")
+        left = put(left.join(one, "a").join(two, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if left.isEmpty():
+            return whole
+    raise RuntimeError("components did not settle")

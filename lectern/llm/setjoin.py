@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, ByteHash, among, components, mix64, stored, text_chunks, text_column, word_bounds
+from .common import LOWER, ByteHash, among, components, mix64, stored, text_chunks, word_bounds
 
 
 @dataclass(frozen=True)
@@ -128,8 +128,12 @@ def signatures(row: np.ndarray, made: np.ndarray, n: int, link: Link) -> tuple[n
     return np.concatenate(rows), np.concatenate(sigs)
 
 
-def document_sets(docs: DataFrame, key: str, text: str, link: Link) -> DataFrame:
-    """key, n_shingles, two hashes of the set, and its signatures."""
+def named(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+
+
+def document_sets(docs: DataFrame, link: Link) -> DataFrame:
+    """id, n_shingles and two hashes of the set of docs(id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,21 +143,22 @@ def document_sets(docs: DataFrame, key: str, text: str, link: Link) -> DataFrame
                 one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 np.add.at(one, row, made)
                 np.add.at(two, row, mix64(made))
-                owner, sig = signatures(row, made, n, link)
-                order = np.lexsort((sig, owner))
-                owner, sig = owner[order], sig[order].astype(np.int64)
-                new = np.ones(len(owner), bool)
-                new[1:] = (owner[1:] != owner[:-1]) | (sig[1:] != sig[:-1])
-                owner, sig = owner[new], sig[new]
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(sig))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64)), lists],
-                    names=["id", "n_shingles", "h1", "h2", "sigs"],
-                )
-
-    kind = docs.schema[key].dataType.simpleString()
-    named = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return named.mapInArrow(run, f"id {kind}, n_shingles long, h1 long, h2 long, sigs array<long>")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64))], names=["id", "n_shingles", "h1", "h2"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, h1 long, h2 long")
+
+
+def signature_rows(docs: DataFrame, link: Link) -> DataFrame:
+    """A row (id, sig) for every signature of docs(id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end, data, offsets in text_chunks(batch, "text"):
+                row, made = shingles(data, offsets, link.width)
+                owner, sig = signatures(row, made, end - at, link)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + owner)), pa.array(sig.astype(np.int64))], names=["id", "sig"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, sig long")
 
 
 def as_sets(texts: list[str], width: int) -> list[np.ndarray]:
@@ -263,15 +268,14 @@ def verify_blocks(members: DataFrame, texts: DataFrame, link: Link) -> DataFrame
 
 
 def large_links(index: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
-    """Links within each signature of index(sig, id, hub, size, n)."""
-    hubs = index.select(F.col("id").alias("hub"), F.col("size").alias("hub_size")).distinct()
-    near = 100 * F.least("size", "hub_size") >= link.per_100 * F.greatest("size", "hub_size")
-    pairs = index.filter("id <> hub").join(hubs, "hub").filter(near).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    """Links within each signature of index(sig, id, hub)."""
+    pairs = index.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     first = stored(verify_pairs(pairs, texts, link), "links")
     parts = components(first)
-    part = index.join(parts, index.id == parts.node, "left").select("sig", "id", "n", F.coalesce("component", "id").alias("part"))
-    open_sigs = part.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.bit_xor(F.xxhash64("id")).alias("same"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("more"), F.count("*").alias("k")).filter("x < y")
-    once = open_sigs.groupBy("k", "same", "more").agg(F.min("sig").alias("sig")).select("sig")
+    part = index.distinct().join(parts, index.id == parts.node, "left").select("sig", "id", F.coalesce("component", "id").alias("part"))
+    open_sigs = part.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.bit_xor(F.xxhash64("id")).alias("same"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("more"), F.count("*").alias("n")).filter("x < y")
+    # signatures with the same members are compared once
+    once = open_sigs.groupBy("n", "same", "more").agg(F.min("sig").alias("sig")).select("sig", "n")
     members = stored(part.join(once, "sig").select(F.col("sig").alias("grp"), "id", "part", "n"), "open")
     return first.union(verify_blocks(members, texts, link))
 
@@ -285,17 +289,18 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     that repeat come back as often.  Rows without a key are never linked and come back with a
     null component.  An empty table gives no rows; other columns are ignored.
     """
-    sets = stored(document_sets(docs, key, text, link), "sets")
+    rows = named(docs, key, text)
+    sets = stored(document_sets(rows, link), "sets")
     filled = sets.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     groups = filled.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("rep"))
-    held = stored(filled.select("id", "h1", "h2", "n_shingles").join(groups, ["h1", "h2", "n_shingles"]).select("id", "n_shingles", "rep"), "folded")
+    held = stored(filled.join(groups, ["h1", "h2", "n_shingles"]).select("id", "n_shingles", "rep"), "folded")
     own = held.filter("id = rep").select("id").distinct()
     at = Window.partitionBy("sig")
-    rows = filled.select("id", F.col("n_shingles").alias("size"), "sigs").join(own, "id").dropDuplicates(["id"]).select("id", "size", F.explode("sigs").alias("sig"))
-    index = stored(rows.withColumn("n", F.count("*").over(at)).withColumn("hub", F.min("id").over(at)).filter("n > 1"), "index")
+    signed = signature_rows(among(rows, own, "id"), link)
+    index = stored(signed.withColumn("hub", F.min("id").over(at)).withColumn("last", F.max("id").over(at)).filter("hub < last").select("sig", "id", "hub"), "index")
     # whole texts of the sets that share a signature with another
     wanted = index.select("id").distinct()
-    texts = stored(among(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")), wanted, "id").dropDuplicates(["id"]), "texts")
+    texts = stored(among(rows, wanted, "id").dropDuplicates(["id"]), "texts")
     clusters = components(index.select(F.col("hub").alias("a"), F.col("id").alias("b")))
     sized = stored(clusters.join(clusters.groupBy("component").agg(F.count("*").alias("n")), "component"), "clusters")
     small = sized.filter(F.col("n") <= link.cluster).select(F.col("component").alias("grp"), F.col("node").alias("id"), F.col("node").alias("part"), "n")
