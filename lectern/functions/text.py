@@ -145,15 +145,15 @@ def syllables(c: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda t, n: t + n)
 
 
-def reading_grade(c: Column) -> Column:
-    """Flesch-Kincaid grade (Kincaid et al. 1975) of the English part, two decimals.
+def reading_grade(c: Column, digits: int = 2) -> Column:
+    """Flesch-Kincaid grade (Kincaid et al. 1975) of the English part, to `digits` decimals.
 
     Null under 30 tokens or outside -5 to 25.  Syllables follow the rule above, so the score
     is close to, but not, that of other implementations."""
     english = without_bangla(c)
     n = F.size(words(english))
     count = F.greatest(F.lit(1), F.size(sentences(english)))
-    score = F.round(0.39 * n / count + 11.8 * syllables(english) / F.greatest(F.lit(1), n) - 15.59, 2)
+    score = F.round(0.39 * n / count + 11.8 * syllables(english) / F.greatest(F.lit(1), n) - 15.59, digits)
     return F.when((F.size(tokens(english)) >= 30) & (n > 0) & score.between(-5, 25), score)
 
 

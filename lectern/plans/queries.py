@@ -169,7 +169,7 @@ def e9_coverage(spark, sf_dir):
     return style.coverage(answers, vocab).select(F.col("message_id").alias("doc_id"), "n_words", "n_unknown", F.size("unknown").alias("unknown"), "coverage")
 
 
-FK_SQL = f"""round(0.39 * len({WORDS.format('t')})::DOUBLE / greatest(1, len({SENTENCES.format('t')})) + 11.8 * {SYLLABLES.format('t')} / len({WORDS.format('t')})::DOUBLE - 15.59, 2)"""
+FK_SQL = f"""round(0.39 * len({WORDS.format('t')})::DOUBLE / greatest(1, len({SENTENCES.format('t')})) + 11.8 * {SYLLABLES.format('t')} / len({WORDS.format('t')})::DOUBLE - 15.59, 6)"""
 
 
 @query(
@@ -178,7 +178,7 @@ FK_SQL = f"""round(0.39 * len({WORDS.format('t')})::DOUBLE / greatest(1, len({SE
     SELECT doc_id, CASE WHEN fk BETWEEN -5 AND 25 THEN fk END AS fk FROM g""",
 )
 def e10_reading_grade(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", T.reading_grade(F.col("text")).alias("fk"))
+    return documents(spark, sf_dir).select("doc_id", T.reading_grade(F.col("text"), 6).alias("fk"))
 
 
 @query("e11_style_reports")
