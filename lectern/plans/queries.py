@@ -169,7 +169,7 @@ def e9_coverage(spark, sf_dir):
     return style.coverage(answers, vocab).select(F.col("message_id").alias("doc_id"), "n_words", "n_unknown", F.size("unknown").alias("unknown"), "coverage")
 
 
-FK_SQL = f"""round(0.39 * len({WORDS.format('t')})::DOUBLE / greatest(1, len({SENTENCES.format('t')})) + 11.8 * {SYLLABLES.format('t')} / len({WORDS.format('t')})::DOUBLE - 15.59, 6)"""
+FK_SQL = f"""round(0.39::DOUBLE * len({WORDS.format('t')})::DOUBLE / greatest(1, len({SENTENCES.format('t')})) + 11.8::DOUBLE * {SYLLABLES.format('t')} / len({WORDS.format('t')})::DOUBLE - 15.59::DOUBLE, 6)"""
 
 
 @query(
