@@ -294,9 +294,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out=Non
                 hit = keys[place] == made if len(keys) else np.zeros(len(made), bool)
                 n_tokens = np.bincount(row, weights=count, minlength=n).astype(np.int64)
                 n_known = np.bincount(row[hit], weights=count[hit], minlength=n).astype(np.int64)
-                base = np.bincount(row[hit], weights=count[hit] * logs[place[hit]] if len(keys) else None, minlength=n)
+                logged = count[hit] * logs[place[hit]] if len(keys) else np.zeros(0)
+                base = np.bincount(row[hit], weights=logged, minlength=n).astype(np.float64)  # of nothing it counts in integers
                 bytes_log = scorer(windows(data, offsets)) if len(data) else np.zeros(0)
-                whole = np.bincount(np.repeat(np.arange(n), np.diff(offsets)), weights=bytes_log, minlength=n)
+                whole = np.bincount(np.repeat(np.arange(n), np.diff(offsets)), weights=bytes_log, minlength=n).astype(np.float64)
                 rest = ~hit
                 cut = pa.array(np.searchsorted(row[rest], np.arange(n + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
