@@ -70,6 +70,38 @@ def test_pseudonyms(spark):
     assert iban and int(iban[1][2:] + "1314" + iban[1][:2]) % 97 == 1 and iban[1] != "89370400440532013000"
 
 
+def mod97(s):
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def test_pseudonyms_beside_other_numbers(spark):
+    card = r"(\d{4} \d{4} \d{4} \d{4})"
+    cases = [
+        ("4111 1111 1111 1111 05/27", rf"^{card} 05/27$", 1),
+        ("4111111111111111 123", r"^(\d{16}) 123$", 1),
+        ("order 12 4111 1111 1111 1111", rf"^order 12 {card}$", 1),
+        ("ID12 4111 1111 1111 1111 2024-02-29", rf"^ID12 {card} \d{{4}}-\d\d-\d\d$", 2),
+        ("NO12 PAYMENT 4111-1111-1111-1111-7", r"^NO12 PAYMENT (\d{4}-\d{4}-\d{4}-\d{4})-7$", 1),
+        ("4111 1111 1111 1111 5500 0000 0000 0004", rf"^{card} {card}$", 2),
+        ("\ufdd0\ufdd3\ufdd5 4111111111111111 \ufdd2", "^\ufdd0\ufdd3\ufdd5 (\\d{16}) \ufdd2$", 1),
+        ("9807915762804490 \ufdd1\ufdd3", "^9807915762804490 \ufdd1\ufdd3$", 0),
+    ]
+    ibans = [
+        ("GB82 WEST 1234 5698 7654 32", r"^(GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d)$", 1),
+        ("to NL91ABNA0417164300.", r"^to (NL\d\d[A-Z]{4}\d{10})\.$", 1),
+        ("BE68 5390 0754 7034 PAID FR14 2004 1010 0505 0001 3M02 606", r"^(BE\d\d \d{4} \d{4} \d{4}) PAID (FR\d\d \d{4} \d{4} \d{4} \d{4} \d[A-Z]\d\d \d{3})$", 2),
+        ("GB82 WEST 1234 5698 7654 33", r"^GB82 WEST 1234 5698 7654 33$", 0),
+    ]
+    rows = [(i, text) for i, (text, _, _) in enumerate([*cases, *ibans])]
+    out = {r.doc_id: r for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    for i, (text, want, n) in enumerate([*cases, *ibans]):
+        made = re.search(want, out[i].text)
+        assert made and out[i].n_replaced == n, (text, out[i])
+        for value in made.groups():
+            plain = re.sub("[ -]", "", value)
+            assert value not in text and (luhn(plain) if plain.isdigit() else mod97(plain) == 1)
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
@@ -77,3 +109,7 @@ def test_feistel_is_a_permutation(spark):
     assert got.distinct().count() == 319 * 229
     digits = spark.range(100000).select(pseudonyms.permute_digits(F.lpad(F.col("id").cast("string"), 5, "0"), "k", "card").alias("d"))
     assert digits.distinct().count() == 100000 and digits.filter("d rlike '^[0-9]{5}$'").count() == 100000
+    letters = spark.range(26**3).select(pseudonyms.permute_letters(F.concat(*[F.char(65 + F.floor(F.col("id") / 26**i) % 26) for i in range(3)]), "k", "iban letters").alias("d"))
+    assert letters.distinct().count() == 26**3 and letters.filter("d rlike '^[A-Z]{3}$'").count() == 26**3
+    long = spark.range(1).select(pseudonyms.permute_letters(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZABCD"), "k", "iban letters").alias("d")).first().d
+    assert re.fullmatch("[A-Z]{30}", long)
