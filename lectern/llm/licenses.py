@@ -1,7 +1,7 @@
 """License scans: ordered signature rules over whole texts, in DataFrame functions only.
 
-A keyword gate decides which texts are looked at, a keyword of its own which rules a text is
-tried with.  Rules come in tiers: identifiers first, then statements and addresses, then bare
+A text is tried with a rule if it holds a keyword of the rule; every alternative of a rule holds
+one of its keywords.  The gate, which decides which texts are looked at, is made from all of them.  Rules come in tiers: identifiers first, then statements and addresses, then bare
 names.  A detection is dropped if one of an equal or earlier tier contains its interval.
 Detections are handled in order of start in one fold, so a text with many costs no pairs.
 """
@@ -11,70 +11,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Label, keyword, name as a regex over lower-cased text.
+#: Label, keywords (literals with | between), name as a regex over lower-cased text.
 NAMES = (
     ("apache-1.1", "apache", r"apache (?:software )?license,? (?:version |v)?1\.1"),
     ("apache-2.0", "apache", r"apache (?:software )?license,? (?:version |v)?2(?:\.0)?|apache-2\.0"),
     ("apache", "apache", r"apache (?:software )?license"),
-    ("mit", "mit", r"(?:the )?\bmit license|\bexpat license"),
-    ("mit-0", "mit", r"\bmit no attribution|\bmit-0\b"),
+    ("mit", "mit license|expat license", r"(?:the )?\bmit license|\bexpat license"),
+    ("mit-0", "mit no attribution|mit-0", r"\bmit no attribution|\bmit-0\b"),
     ("bsd-2-clause", "bsd", r"(?:simplified|freebsd|2-clause|two-clause) bsd license|bsd-2-clause|bsd 2-clause"),
     ("bsd-3-clause", "bsd", r"(?:new|modified|3-clause|three-clause) bsd license|bsd-3-clause|bsd 3-clause"),
     ("bsd-4-clause", "bsd", r"(?:original|4-clause|four-clause) bsd license|bsd-4-clause"),
     ("bsd", "bsd", r"\bbsd licen[cs]e|\bbsd-style licen[cs]e"),
-    ("gpl-1.0", "gpl|general public", r"(?:gnu )?general public licen[cs]e,? (?:version |v)?1(?:\.0)?\b|\bgpl[ -]?v?1\b"),
-    ("gpl-2.0", "gpl|general public", r"(?:gnu )?general public licen[cs]e,? (?:version |v)?2(?:\.0)?\b|\bgpl[ -]?v?2(?:\.0)?\b"),
-    ("gpl-3.0", "gpl|general public", r"(?:gnu )?general public licen[cs]e,? (?:version |v)?3(?:\.0)?\b|\bgpl[ -]?v?3(?:\.0)?\b"),
-    ("gpl", "gpl|general public", r"\bgnu general public licen[cs]e|\bgnu gpl\b"),
-    ("lgpl-2.1", "lgpl|lesser general", r"lesser general public licen[cs]e,? (?:version |v)?2\.1|\blgpl[ -]?v?2\.1"),
-    ("lgpl-3.0", "lgpl|lesser general", r"lesser general public licen[cs]e,? (?:version |v)?3(?:\.0)?\b|\blgpl[ -]?v?3(?:\.0)?\b"),
-    ("lgpl", "lgpl|lesser general|library general", r"(?:lesser|library) general public licen[cs]e|\blgpl\b"),
-    ("agpl-3.0", "agpl|affero", r"affero general public licen[cs]e,? (?:version |v)?3(?:\.0)?\b|\bagpl[ -]?v?3(?:\.0)?\b"),
-    ("agpl", "agpl|affero", r"affero general public licen[cs]e|\bagpl\b"),
-    ("fdl", "free documentation", r"gnu free documentation licen[cs]e"),
-    ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e,? (?:version |v)?1\.1|\bmpl[ -]1\.1"),
-    ("mpl-2.0", "mozilla|mpl", r"mozilla public licen[cs]e,? (?:version |v)?2(?:\.0)?\b|\bmpl[ -]2\.0"),
-    ("mpl", "mozilla", r"mozilla public licen[cs]e"),
-    ("epl-1.0", "eclipse", r"eclipse public licen[cs]e,? (?:-? ?version |-? ?v ?)?1\.0"),
-    ("epl-2.0", "eclipse", r"eclipse public licen[cs]e,? (?:-? ?version |-? ?v ?)?2\.0"),
-    ("epl", "eclipse", r"eclipse public licen[cs]e"),
-    ("cddl-1.0", "cddl|development and distribution", r"common development and distribution licen[cs]e|\bcddl\b"),
-    ("cpl-1.0", "common public", r"common public licen[cs]e"),
-    ("cc0-1.0", "cc0|creative commons", r"\bcc0\b|creative commons zero"),
-    ("cc-by-nc-nd-4.0", "cc|creative commons", r"\bcc[ -]by[ -]nc[ -]nd[ -]4\.0"),
-    ("cc-by-nc-sa-4.0", "cc|creative commons", r"\bcc[ -]by[ -]nc[ -]sa[ -]4\.0"),
-    ("cc-by-nc-4.0", "cc|creative commons", r"\bcc[ -]by[ -]nc[ -]4\.0"),
-    ("cc-by-nd-4.0", "cc|creative commons", r"\bcc[ -]by[ -]nd[ -]4\.0"),
-    ("cc-by-sa-4.0", "cc|creative commons", r"\bcc[ -]by[ -]sa[ -]4\.0"),
-    ("cc-by-sa-3.0", "cc|creative commons", r"\bcc[ -]by[ -]sa[ -]3\.0"),
-    ("cc-by-4.0", "cc|creative commons", r"\bcc[ -]by[ -]4\.0|creative commons attribution 4\.0"),
-    ("cc-by-3.0", "cc|creative commons", r"\bcc[ -]by[ -]3\.0|creative commons attribution 3\.0"),
-    ("cc-by-nc", "cc|creative commons", r"\bcc[ -]by[ -]nc\b|creative commons attribution-noncommercial"),
-    ("cc-by-sa", "cc|creative commons", r"\bcc[ -]by[ -]sa\b|creative commons attribution-sharealike"),
-    ("cc-by", "cc|creative commons", r"\bcc[ -]by\b|creative commons attribution"),
-    ("isc", "isc", r"\bisc licen[cs]e"),
-    ("zlib", "zlib", r"\bzlib licen[cs]e|zlib/libpng licen[cs]e"),
-    ("boost-1.0", "boost", r"boost software licen[cs]e"),
-    ("unlicense", "unlicense", r"\bthe unlicense\b"),
+    ("gpl-1.0", "gpl|general public licen", r"(?:gnu )?general public licen[cs]e,? (?:version |v)?1(?:\.0)?\b|\bgpl[ -]?v?1\b"),
+    ("gpl-2.0", "gpl|general public licen", r"(?:gnu )?general public licen[cs]e,? (?:version |v)?2(?:\.0)?\b|\bgpl[ -]?v?2(?:\.0)?\b"),
+    ("gpl-3.0", "gpl|general public licen", r"(?:gnu )?general public licen[cs]e,? (?:version |v)?3(?:\.0)?\b|\bgpl[ -]?v?3(?:\.0)?\b"),
+    ("gpl", "gnu general public licen|gnu gpl", r"\bgnu general public licen[cs]e|\bgnu gpl\b"),
+    ("lgpl-2.1", "lgpl|lesser general public licen", r"lesser general public licen[cs]e,? (?:version |v)?2\.1|\blgpl[ -]?v?2\.1"),
+    ("lgpl-3.0", "lgpl|lesser general public licen", r"lesser general public licen[cs]e,? (?:version |v)?3(?:\.0)?\b|\blgpl[ -]?v?3(?:\.0)?\b"),
+    ("lgpl", "lgpl|lesser general public licen|library general public licen", r"(?:lesser|library) general public licen[cs]e|\blgpl\b"),
+    ("agpl-3.0", "agpl|affero general public licen", r"affero general public licen[cs]e,? (?:version |v)?3(?:\.0)?\b|\bagpl[ -]?v?3(?:\.0)?\b"),
+    ("agpl", "agpl|affero general public licen", r"affero general public licen[cs]e|\bagpl\b"),
+    ("fdl", "free documentation licen", r"gnu free documentation licen[cs]e"),
+    ("mpl-1.1", "mozilla public licen|mpl-1.1|mpl 1.1", r"mozilla public licen[cs]e,? (?:version |v)?1\.1|\bmpl[ -]1\.1"),
+    ("mpl-2.0", "mozilla public licen|mpl-2.0|mpl 2.0", r"mozilla public licen[cs]e,? (?:version |v)?2(?:\.0)?\b|\bmpl[ -]2\.0"),
+    ("mpl", "mozilla public licen", r"mozilla public licen[cs]e"),
+    ("epl-1.0", "eclipse public licen", r"eclipse public licen[cs]e,? (?:-? ?version |-? ?v ?)?1\.0"),
+    ("epl-2.0", "eclipse public licen", r"eclipse public licen[cs]e,? (?:-? ?version |-? ?v ?)?2\.0"),
+    ("epl", "eclipse public licen", r"eclipse public licen[cs]e"),
+    ("cddl-1.0", "cddl|development and distribution licen", r"common development and distribution licen[cs]e|\bcddl\b"),
+    ("cpl-1.0", "common public licen", r"common public licen[cs]e"),
+    ("cc0-1.0", "cc0|creative commons zero", r"\bcc0\b|creative commons zero"),
+    ("cc-by-nc-nd-4.0", "cc-by|cc by", r"\bcc[ -]by[ -]nc[ -]nd[ -]4\.0"),
+    ("cc-by-nc-sa-4.0", "cc-by|cc by", r"\bcc[ -]by[ -]nc[ -]sa[ -]4\.0"),
+    ("cc-by-nc-4.0", "cc-by|cc by", r"\bcc[ -]by[ -]nc[ -]4\.0"),
+    ("cc-by-nd-4.0", "cc-by|cc by", r"\bcc[ -]by[ -]nd[ -]4\.0"),
+    ("cc-by-sa-4.0", "cc-by|cc by", r"\bcc[ -]by[ -]sa[ -]4\.0"),
+    ("cc-by-sa-3.0", "cc-by|cc by", r"\bcc[ -]by[ -]sa[ -]3\.0"),
+    ("cc-by-4.0", "cc-by|cc by|creative commons attribution", r"\bcc[ -]by[ -]4\.0|creative commons attribution 4\.0"),
+    ("cc-by-3.0", "cc-by|cc by|creative commons attribution", r"\bcc[ -]by[ -]3\.0|creative commons attribution 3\.0"),
+    ("cc-by-nc", "cc-by|cc by|creative commons attribution", r"\bcc[ -]by[ -]nc\b|creative commons attribution-noncommercial"),
+    ("cc-by-sa", "cc-by|cc by|creative commons attribution", r"\bcc[ -]by[ -]sa\b|creative commons attribution-sharealike"),
+    ("cc-by", "cc-by|cc by|creative commons attribution", r"\bcc[ -]by\b|creative commons attribution"),
+    ("isc", "isc licen", r"\bisc licen[cs]e"),
+    ("zlib", "zlib licen|zlib/libpng licen", r"\bzlib licen[cs]e|zlib/libpng licen[cs]e"),
+    ("boost-1.0", "boost software licen", r"boost software licen[cs]e"),
+    ("unlicense", "the unlicense", r"\bthe unlicense\b"),
     ("wtfpl", "wtfpl", r"\bwtfpl\b"),
-    ("artistic-2.0", "artistic", r"artistic licen[cs]e,? (?:version |v)?2(?:\.0)?"),
-    ("artistic", "artistic", r"artistic licen[cs]e"),
-    ("python-2.0", "python", r"python software foundation licen[cs]e|\bpsf licen[cs]e"),
-    ("ruby", "ruby", r"\bruby licen[cs]e"),
-    ("php-3.0", "php", r"\bphp licen[cs]e"),
-    ("openssl", "openssl", r"openssl licen[cs]e"),
-    ("ofl-1.1", "open font", r"sil open font licen[cs]e|\bofl[ -]1\.1"),
-    ("ms-pl", "microsoft public|ms-pl", r"microsoft public licen[cs]e|\bms-pl\b"),
-    ("ms-rl", "microsoft reciprocal|ms-rl", r"microsoft reciprocal licen[cs]e|\bms-rl\b"),
-    ("eupl-1.2", "eupl|european union public", r"european union public licen[cs]e|\beupl\b"),
-    ("odbl-1.0", "open database|odbl", r"open database licen[cs]e|\bodbl\b"),
-    ("postgresql", "postgresql", r"postgresql licen[cs]e"),
-    ("ncsa", "ncsa", r"university of illinois/ncsa open source licen[cs]e|\bncsa licen[cs]e"),
-    ("bsl-1.1", "business source", r"business source licen[cs]e"),
-    ("sspl-1.0", "server side public|sspl", r"server side public licen[cs]e|\bsspl\b"),
-    ("elastic-2.0", "elastic", r"elastic licen[cs]e"),
-    ("upl-1.0", "universal permissive", r"universal permissive licen[cs]e"),
-    ("public-domain", "public domain", r"(?:dedicated to|placed in|released (?:in)?to|in) the public domain"),
+    ("artistic-2.0", "artistic licen", r"artistic licen[cs]e,? (?:version |v)?2(?:\.0)?"),
+    ("artistic", "artistic licen", r"artistic licen[cs]e"),
+    ("python-2.0", "python software foundation licen|psf licen", r"python software foundation licen[cs]e|\bpsf licen[cs]e"),
+    ("ruby", "ruby licen", r"\bruby licen[cs]e"),
+    ("php-3.0", "php licen", r"\bphp licen[cs]e"),
+    ("openssl", "openssl licen", r"openssl licen[cs]e"),
+    ("ofl-1.1", "open font licen|ofl-1.1|ofl 1.1", r"sil open font licen[cs]e|\bofl[ -]1\.1"),
+    ("ms-pl", "microsoft public licen|ms-pl", r"microsoft public licen[cs]e|\bms-pl\b"),
+    ("ms-rl", "microsoft reciprocal licen|ms-rl", r"microsoft reciprocal licen[cs]e|\bms-rl\b"),
+    ("eupl-1.2", "eupl|european union public licen", r"european union public licen[cs]e|\beupl\b"),
+    ("odbl-1.0", "open database licen|odbl", r"open database licen[cs]e|\bodbl\b"),
+    ("postgresql", "postgresql licen", r"postgresql licen[cs]e"),
+    ("ncsa", "ncsa open source licen|ncsa licen", r"university of illinois/ncsa open source licen[cs]e|\bncsa licen[cs]e"),
+    ("bsl-1.1", "business source licen", r"business source licen[cs]e"),
+    ("sspl-1.0", "server side public licen|sspl", r"server side public licen[cs]e|\bsspl\b"),
+    ("elastic-2.0", "elastic licen", r"elastic licen[cs]e"),
+    ("upl-1.0", "universal permissive licen", r"universal permissive licen[cs]e"),
+    ("public-domain", " the public domain", r"(?:dedicated to|placed in|released (?:in)?to|in) the public domain"),
 )
 #: Texts and addresses of their own: label, keyword, regex.
 TEXTS = (
@@ -94,7 +94,6 @@ TEXTS = (
     ("mit", "opensource.org/licenses", r"opensource\.org/licenses/mit"),
     ("mpl-2.0", "mozilla.org/mpl", r"mozilla\.org/mpl/2\.0"),
 )
-GATE = r"licen[cs]e|copyright|copying|spdx|redistribut|permission|public domain|creative ?commons|\bcc[ -]?(?:by|0)|gpl|all rights reserved|proprietary"
 #: Of tiers 1, 2 and 3, and of a base phrase alone.
 CONFIDENCE = (1.0, 0.9, 0.6)
 BASE_CONFIDENCE = 0.5
@@ -102,11 +101,11 @@ PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general publi
 
 
 def rules() -> list[tuple[int, str, str, str]]:
-    """(tier, label, keyword regex, regex), several from each name."""
+    """(tier, label, keywords, regex), several from each name."""
     made = []
     for label, word, name in NAMES:
         made += [
-            (1, label, "spdx", rf"spdx-licen[cs]e-identifier:\s*{label.replace('.', chr(92) + '.')}(?:-only|-or-later)?"),
+            (1, label, "spdx-licen", rf"spdx-licen[cs]e-identifier:\s*{label.replace('.', chr(92) + '.')}(?:-only|-or-later)?"),
             (2, label, word, rf"(?:licen[cs]ed|released|distributed|available|published|provided|covered)\s+(?:as is\s+)?(?:under|by)\s+(?:the\s+)?(?:terms\s+(?:and conditions\s+)?of\s+)?(?:the\s+)?(?:gnu\s+)?(?:{name})"),
             (2, label, word, rf"(?:under|subject to)\s+the\s+(?:terms|conditions|provisions)\s+of\s+(?:the\s+)?(?:gnu\s+)?(?:{name})"),
             (2, label, word, rf"licen[cs]e\s*[:=]\s*[\"']?(?:{name})"),
@@ -115,6 +114,16 @@ def rules() -> list[tuple[int, str, str, str]]:
     return made + [(2, label, word, text) for label, word, text in TEXTS]
 
 
+def gate_words() -> list[str]:
+    """Literals of which every keyword of every rule holds one."""
+    words = {"licen"} | {w for _, _, keywords, _ in rules() for w in keywords.split("|")}
+    return sorted(w for w in words if not any(v != w and v in w for v in words))
+
+
+def gated(text: Column) -> Column:
+    return F.exists(F.array(*map(F.lit, gate_words())), lambda w: F.contains(text, w))
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -133,8 +142,8 @@ def places(text: Column, pattern: Column) -> Column:
 
 def detections(text: Column) -> Column:
     """array of (start, end, tier, label) that stand, by start."""
-    table = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(name).alias("label"), F.lit(w).alias("word"), F.lit(r).alias("rule")) for t, name, w, r in rules()])
-    tried = F.filter(table, lambda r: F.rlike(text, r.word))
+    table = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(name).alias("label"), F.array(*map(F.lit, w.split("|"))).alias("words"), F.lit(r).alias("rule")) for t, name, w, r in rules()])
+    tried = F.filter(table, lambda r: F.exists(r.words, lambda w: F.contains(text, w)))
     hits = F.flatten(F.transform(tried, lambda r: F.transform(places(text, r.rule), lambda p: F.struct(p.start.alias("start"), (-p.end).alias("back"), r.tier.alias("tier"), r.label.alias("label")))))
     empty = F.array().cast("array<struct<start:int,back:int,tier:int,label:string>>")
 
@@ -176,7 +185,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         labels.append(F.when(there, F.lit(label)))
     rows = rows.select("id", "low", "n_words", sum(counts[1:], counts[0]).cast("long").alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), F.array_sort(F.array_compact(F.array(*labels))).alias("base_labels"))
     none = F.array().cast("array<struct<start:int,back:int,tier:int,label:string>>")
-    rows = rows.withColumn("hits", F.when(F.rlike("low", F.lit(GATE)), detections(F.col("low"))).otherwise(none))
+    rows = rows.withColumn("hits", F.when(gated(F.col("low")), detections(F.col("low"))).otherwise(none))
     best = F.array_min(F.transform("hits", lambda h: h.tier))
     score = F.when(best == 1, CONFIDENCE[0]).when(best == 2, CONFIDENCE[1]).when(best == 3, CONFIDENCE[2]).when(F.col("n_base") > 0, BASE_CONFIDENCE).otherwise(0.0)
     return rows.select(

@@ -1,5 +1,7 @@
+import itertools
 import random
 import re
+from re import _parser
 
 from lectern.llm import licenses, pseudonyms, secrets
 
@@ -52,6 +54,52 @@ def test_license_base_places(spark, sf):
     assert len(licenses.rules()) > 200
 
 
+def examples(parsed):
+    """One text for every way through a parsed regex: alternatives, classes, options."""
+    ways = []
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            ways.append([chr(arg)])
+        elif op == "IN":
+            ways.append([" "] if str(arg[0][0]) == "CATEGORY" else [chr(v) for _, v in arg])
+        elif op == "BRANCH":
+            ways.append([x for part in arg[1] for x in examples(part)])
+        elif op == "SUBPATTERN":
+            ways.append(examples(arg[3]))
+        elif op == "MAX_REPEAT":
+            some = examples(arg[2])
+            ways.append(["", *some] if arg[0] == 0 else some)
+        else:
+            assert op == "AT", op
+    return ["".join(x) for x in itertools.product(*ways)]
+
+
+def test_license_keywords_are_implied(spark):
+    gate = licenses.gate_words()
+    names = []
+    for label, words, rule in [*licenses.NAMES, *licenses.TEXTS]:
+        for text in examples(_parser.parse(rule)):
+            assert re.fullmatch(rule, text), (rule, text)
+            assert any(w in text for w in words.split("|")) and any(w in text for w in gate), (label, text)
+            names.append(text)
+    for _, _, words, rule in licenses.rules():
+        assert all(any(g in w for g in gate) for w in words.split("|")), rule
+    texts = [f"x {t} y" for t in dict.fromkeys(names)] + ["Released under Apache-2.0", "bsd-3-clause", "SPDX-License-Identifier: WTFPL", "an example of a submit limit"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    made = [(t, label, re.compile(rule, re.A)) for t, label, _, rule in licenses.rules()]
+    for r in rows:  # every rule tried, with no gate and no keyword
+        hits = sorted((m.start(), -m.end(), t, label) for t, label, rule in made for m in rule.finditer(texts[r.doc_id].lower()))
+        ends, want = {1: 0, 2: 0, 3: 0}, []
+        for start, back, t, label in hits:
+            if -back > max(ends[k] for k in ends if k <= t):
+                ends[t] = max(ends[t], -back)
+                want.append((start, -back, t, label))
+        assert [tuple(f) for f in r.found] == want, texts[r.doc_id]
+        assert bool(want) == (r.doc_id < len(texts) - 1)
+
+
 def luhn(s):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
 
