@@ -1,8 +1,9 @@
 """Benchmark decontamination in DataFrame functions only.
 
-A window of a document is as many words as a benchmark item has.  Windows are laid where a
-shingle of the item stands, so that the shingle falls into its place; a window without any
-shingle of an item has similarity 0 with it, so none that counts is left out.  Windows and
+A window of a document is as many words as a benchmark item has.  The weights of an item's
+shingles are summed over every window that they stand in, in whatever order; what a window
+shares with the item is no more than this sum, so one below `least` of the item's weight can't
+reach `least`, and no window that counts is left out.  The windows that stay and
 items get a 64-bit SimHash of their weighted shingles.  Fingerprints are cut into
 radius + 1 blocks, which guarantees that two within the radius agree on a block; windows and
 items that do, and are of one size, are compared, and those within the radius are verified by
@@ -86,9 +87,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     items = items.withColumn("n", F.size("words")).withColumn("width", F.least(F.lit(width), F.col("n"))).dropDuplicates(["item", "words"])
     items = stored(items.withColumn("shingles", shingles_of(F.col("words"), F.col("width"))).drop("words"), "items")
     held = stored(items.select("item", F.explode("shingles").alias("s")).distinct().groupBy("s").agg((1.0 / F.count("*")).alias("w")), "weights")
-    places = items.select("item", "n", "width", F.posexplode("shingles").alias("at", "s"))
-    # distinct (shingle, size, place) whatever the item: windows are of a size, not of an item
-    starts = stored(places.select("s", "n", "at").distinct(), "places")
+    places = items.select("item", "n", "width", F.explode("shingles").alias("s")).join(held, "s")
+    whole = stored(places.groupBy("item", "n", "width").agg(F.sum("w").alias("whole")), "wholes")
+    starts = stored(places.distinct(), "places")
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # at most `width` values
 
     named = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -99,8 +100,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         each = part if each is None else each.union(part)
     if each is None:
         each = rows.select("id", F.lit(0).alias("size"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("s")).filter("false")
-    begin = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("n")))
-    windows = stored(each.join(small(starts), "s").select("id", "n", begin.alias("start")).distinct(), "windows")
+    hits = stored(each.join(small(starts), "s"), "hits")
+    # a document without enough of an item in all of it has no window with enough
+    enough = F.col("weight") >= F.col("whole") * (least - 1e-9)
+    could = hits.groupBy("id", "item", "n").agg(F.sum("w").alias("weight")).join(small(whole), ["item", "n"]).filter(enough).select("id", "item", "n", "whole")
+    could = stored(could, "could")
+    at = F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - F.col("n") + F.col("width")), F.least(F.col("pos"), F.greatest(F.lit(0), F.col("size") - F.col("n")))))
+    laid = hits.join(small(could), ["id", "item", "n"]).select("id", "item", "n", "whole", "w", at.alias("start"))
+    windows = stored(laid.groupBy("id", "item", "n", "start").agg(F.sum("w").alias("weight"), F.first("whole").alias("whole")).filter(enough).select("id", "n", "start").distinct(), "windows")
 
     with_words = among(named, windows.select("id").distinct(), "id").select("id", words_of(F.col("text")).alias("words")).dropDuplicates(["id", "words"])
     cut = windows.join(with_words, "id").select("id", "n", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("words"))

@@ -101,6 +101,18 @@ def test_leaks(spark, sf):
     assert decontaminate.find_leaks(more.limit(0), extra).isEmpty() and decontaminate.find_leaks(more, extra.limit(0)).isEmpty()
 
 
+def test_leaks_in_another_order(spark):
+    words = [f"w{i}" for i in range(50)]
+    noise = [f"n{i}" for i in range(60)]
+    moved = noise[:30] + words[10:] + words[:10] + noise[30:]
+    shuffled = noise[:30] + [w for i in range(45, -1, -5) for w in words[i : i + 5]] + noise[30:]
+    rows = [(1, " ".join(moved)), (2, " ".join(shuffled)), (3, " ".join(noise)), (4, " ".join(words[10:] + words[:10]))]
+    items = spark.createDataFrame([(7, " ".join(words)), (8, " ".join(noise[:2] + words[:13]))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert set(got) == {(1, 7), (4, 7)}
+    assert (got[1, 7].start_word, got[1, 7].n_words, got[4, 7].start_word) == (30, 50, 0) and got[1, 7].similarity > 0.8
+
+
 def test_mixture(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     rows = mixing.fit_mixture(docs, labels).toPandas()
