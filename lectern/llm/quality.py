@@ -3,6 +3,8 @@
 zstandard squeezes the whole text and every fixed chunk of it; the ratio (input bytes over
 compressed bytes) must lie inside a band that depends on the length, since short texts
 compress little and long ones more.  Repetitive text lies above its band, random text below.
+A text of more than one chunk is measured to its end: its last chunk ends there and overlaps
+the one before, so all chunks have one length and one band.
 """
 
 from __future__ import annotations
@@ -69,8 +71,9 @@ def measure(raw: bytes, bands: Bands, squeeze: zstandard.ZstdCompressor) -> tupl
     ratio = len(raw) / len(squeeze.compress(raw)) if raw else 0.0
     worst = best = ratio
     bad = count = 0
-    if len(raw) >= 2 * bands.chunk_bytes:
-        parts = [raw[i : i + bands.chunk_bytes] for i in range(0, len(raw) - bands.chunk_bytes // 2, bands.chunk_bytes)]
+    if len(raw) > bands.chunk_bytes:
+        last = len(raw) - bands.chunk_bytes
+        parts = [raw[i : i + bands.chunk_bytes] for i in [*range(0, last, bands.chunk_bytes), last]]
         rates = [len(p) / len(squeeze.compress(p)) for p in parts]
         worst, best, count = max(rates), min(rates), len(rates)
         bad = sum(not bands.chunk_least <= r <= bands.chunk_most for r in rates)

@@ -1,9 +1,11 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -71,6 +73,23 @@ def test_quality(spark, sf):
     assert quality.compression_bands(docs.limit(0)).count() == 0
 
 
+def test_quality_measures_chunks_to_the_end(spark):
+    rng = random.Random(1)
+    noise = "".join(chr(rng.randrange(33, 127)) for _ in range(4096))
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(600)]
+
+    def prose(n):
+        return " ".join(rng.choice(words) for _ in range(n))[:n]
+
+    rows = [(1, noise + prose(3000)), (2, prose(5000)), (3, prose(4096)), (4, prose(4097)), (5, prose(8192) + noise[:2000]), (6, prose(7000) + noise[:1192])]
+    got = {r.doc_id: r for r in quality.compression_bands(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: r.n_chunks for k, r in got.items()} == {1: 2, 2: 2, 3: 0, 4: 2, 5: 3, 6: 2}
+    assert got[1].ratio >= 1.3 and got[1].bad_chunks == 1 and not got[1].in_band
+    assert got[2].in_band and got[4].in_band and got[4].bad_chunks == 0
+    last = rows[4][1].encode()[-4096:]
+    assert got[5].best_chunk == len(last) / len(zstandard.ZstdCompressor(level=3).compress(last))
+
+
 def test_every_query_has_rows(spark, sf):
     for name, f in queries.queries().items():
         assert not f(spark, sf).isEmpty(), name
