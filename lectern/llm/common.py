@@ -13,33 +13,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder named in spark.checkpoint.dir.  Where it is unset a temporary folder serves, but
+    only in local mode, where driver and tasks share one machine; a cluster must name one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut, and a
     lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = path or new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def among(df: DataFrame, ids: DataFrame, column: str, most: int = 1 << 21) -> DataFrame:
-    """Rows of df whose column is in ids (one column of that name, no repeats).  Counted
-    first: up to `most` ids are broadcast, more are joined by a shuffle."""
-    return df.join(F.broadcast(ids) if ids.count() <= most else ids, column, "left_semi")
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Ids are broadcast up to this many bytes of them, and only where each has a fixed size.
+BROADCAST_BYTES = 2 << 20
+WIDTHS = {"bigint": 8, "int": 4, "smallint": 2, "tinyint": 1, "date": 4, "timestamp": 8, "double": 8, "float": 4}
+
+
+def checked(ids: DataFrame) -> DataFrame:
+    """ids (fixed-size columns), marked for a broadcast if their counted bytes allow it; joins
+    with more of them are shuffled."""
+    widths = [WIDTHS.get(f.dataType.simpleString()) for f in ids.schema.fields]
+    if None in widths:
+        return ids
+    return F.broadcast(ids) if ids.count() * sum(widths) <= BROADCAST_BYTES else ids
+
+
+def among(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose column is in ids (one column of that name, no repeats)."""
+    return df.join(checked(ids), column, "left_semi")
+
+
+def free_name(columns: list[str], wish: str) -> str:
+    """A column name that none of `columns` takes, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
+def row_id(key: str, text: str) -> Column:
+    """What tells rows apart: 64 bits of key and text together.  Rows that repeat both are equal;
+    texts that share a key, or have none, stay apart."""
+    return F.xxhash64(F.lit("row"), F.col(f"`{key}`"), F.col(f"`{text}`").cast("string"))
 
 
 def text_column(df: DataFrame, *columns: str) -> DataFrame:
@@ -128,32 +168,42 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every end of edges(a, b); component is the smallest node
     reachable.  In a round every node points to its least neighbour (a minimum, so hot nodes
     are combined before the shuffle), pointers are followed to their ends, and the edges are
-    contracted to the ends; edges within one end go, so rounds shrink."""
-    left = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), name)
-    # rounds over few edges are not worth many tasks
-    few = left.count() <= 1_000_000
-
-    def put(df: DataFrame) -> DataFrame:
-        return stored(df.coalesce(8) if few else df, name)
+    contracted to the ends; edges within one end go.  A round at least halves the nodes that
+    still have edges, and a step of following doubles the pointers' reach, so both loops end.
+    Tables that the next one replaces are deleted."""
+    spark = edges.sparkSession
+    left_path = new_path(spark, name)
+    left = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), name, left_path)
+    whole, whole_path = None, None
+    while True:
+        tasks = 1 + left.count() // 250_000  # rounds over few edges are not worth many tasks
+
+        def put(df: DataFrame, old: str | None, tasks: int = tasks) -> tuple[DataFrame, str]:
+            path = new_path(spark, name)
+            made = stored(df.coalesce(tasks), name, path)
+            if old:
+                discard(spark, old)
+            return made, path
 
-    whole = None
-    for _ in range(rounds):
         ways = left.select(F.col("b").alias("node"), F.col("a").alias("near")).union(left.select(F.col("a").alias("node"), F.col("b").alias("near")))
-        points = put(ways.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("component")))
-        for _ in range(rounds):
+        points, path = put(ways.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("component")), None)
+        moved = True
+        while moved:
             ends = points.select(F.col("node").alias("component"), F.col("component").alias("end"))
-            points = put(points.join(ends, "component").select("node", F.col("end").alias("component"), (F.col("end") != F.col("component")).alias("moved")))
-            if points.filter("moved").isEmpty():
-                break
-        points = points.select("node", "component")
-        ends = points.select(F.col("node").alias("component"), F.col("component").alias("end"))
-        whole = points if whole is None else put(whole.join(ends, "component", "left").select("node", F.coalesce("end", "component").alias("component")))
+            points, path = put(points.join(ends, "component").select("node", F.col("end").alias("component"), (F.col("end") != F.col("component")).alias("moved")), path)
+            moved = not points.filter("moved").isEmpty()
+            points = points.select("node", "component")
         one, two = points.toDF("a", "x"), points.toDF("b", "y")
-        left = put(left.join(one, "a").join(two, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        left, left_path = put(left.join(one, "a").join(two, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), left_path)
+        if whole is None:
+            whole, whole_path = points, path
+        else:
+            ends = points.select(F.col("node").alias("component"), F.col("component").alias("end"))
+            whole, whole_path = put(whole.join(ends, "component", "left").select("node", F.coalesce("end", "component").alias("component")), whole_path)
+            discard(spark, path)
         if left.isEmpty():
             return whole
-    raise RuntimeError("components did not settle")

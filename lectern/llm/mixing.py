@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, row_id, stored
 from .decontaminate import words_of
 
 DOMAINS = ("good", "poor", "toxic")
@@ -66,24 +66,24 @@ def telling_words(training: DataFrame, mix: Mix) -> list[str]:
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, key: str, text: str, mix: Mix) -> DataFrame:
-    """id, n_tokens (words), p (array over DOMAINS), one row per row of docs."""
-    named = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    """row (row_id), id, n_tokens (words), p (array over DOMAINS), one row per row of docs."""
+    named = docs.select(row_id(key, text).alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     known = labels.select(F.col(f"`{key}`").alias("id"), domain_of().alias("label")).filter("id is not null and label is not null").dropDuplicates(["id"])
     sample = stored(known.orderBy(F.xxhash64("id"), "id").limit(mix.most_labelled), "labelled")
-    training = stored(named.dropDuplicates(["id"]).join(F.broadcast(sample), "id").select("label", features_of(F.col("text")).alias("words")), "training")
+    training = stored(named.filter("id is not null").join(F.broadcast(sample), "id").dropDuplicates(["row"]).select("label", features_of(F.col("text")).alias("words")), "training")
     seen = [r.label for r in training.select("label").distinct().collect()]
-    rows = named.select("id", features_of(F.col("text")).alias("words"), F.size(words_of(F.col("text"))).cast("long").alias("n_tokens"))
+    rows = named.select("row", "id", features_of(F.col("text")).alias("words"), F.size(words_of(F.col("text"))).cast("long").alias("n_tokens"))
     vocabulary = telling_words(training, mix) if len(seen) > 1 else []
     if not vocabulary:
         even = [1.0 / len(DOMAINS)] * len(DOMAINS) if len(seen) != 1 else [float(i == int(seen[0])) for i in range(len(DOMAINS))]
-        return rows.select("id", "n_tokens", F.array(*map(F.lit, even)).alias("p"))
+        return rows.select("row", "id", "n_tokens", F.array(*map(F.lit, even)).alias("p"))
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="features").setBinary(True)
     regression = LogisticRegression(family="multinomial", maxIter=60, regParam=1e-3, standardization=False)
     model = Pipeline(stages=[vectors, regression]).fit(training)
     p = vector_to_array("probability")
     # domains that no labelled row has get nothing
     filled = F.transform(F.sequence(F.lit(1), F.lit(len(DOMAINS))), lambda i: F.when(i <= F.size(p), F.element_at(p, i)).otherwise(0.0))
-    return model.transform(rows).select("id", "n_tokens", filled.alias("p"))
+    return model.transform(rows).select("row", "id", "n_tokens", filled.alias("p"))
 
 
 def rate_after(steps: list[list[float]]) -> Column:
@@ -123,24 +123,33 @@ def fit_rates(rows: DataFrame, mix: Mix) -> list[list[float]]:
     return steps
 
 
+def rated(docs: DataFrame, labels: DataFrame, key: str, text: str, mix: Mix) -> DataFrame:
+    """row, id, n_tokens, p, rate, copies for every row of docs."""
+    rows = stored(posteriors(docs, labels, key, text, mix), "posteriors")
+    draw = F.pmod(F.xxhash64("row", F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
+    out = rows.withColumn("rate", rate_after(fit_rates(rows, mix)))
+    return out.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
+
+
 def fit_mixture(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", mix: Mix = Mix()) -> DataFrame:
     """One row per row of docs: key, n_tokens, p_<domain>, rate, copies (rate rounded up or
-    down by a hash of the key, so that it holds on average).
+    down by a hash of key and text, so that it holds on average).
 
     Null and empty texts have no tokens and are classified by the empty text; without labels
     posteriors are even, with one label they are sure.  A domain without any mass cannot be
-    raised; its target stays unmet.  Repeated rows count as often as they stand; an empty
-    table gives no rows; other columns are ignored.
+    raised; its target stays unmet.  Very long texts are taken whole.  Repeated rows count as
+    often as they stand and are rated alike; texts that share a key are rated each by itself; rows
+    without a key have no label but are rated.  An empty table gives no rows; other columns are
+    ignored, whatever their names.
     """
-    rows = stored(posteriors(docs, labels, key, text, mix), "posteriors")
-    rate = rate_after(fit_rates(rows, mix))
-    draw = F.pmod(F.xxhash64("id", F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
-    out = rows.withColumn("rate", rate)
-    return out.select(F.col("id").alias(key), "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", F.floor(F.col("rate") + F.coalesce(draw, F.lit(0.5))).cast("int").alias("copies"))
+    out = rated(docs, labels, key, text, mix)
+    return out.select(F.col("id").alias(key), "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", mix: Mix = Mix()) -> DataFrame:
-    """The rows of docs, each as often as its copies; rows without a key go."""
-    copies = stored(fit_mixture(docs, labels, key, text, mix).select(F.col(key).alias("_id"), "copies").dropDuplicates(["_id"]), "copies")
-    joined = docs.join(copies, docs[key] == copies["_id"]).filter("copies > 0")
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    """The rows of docs, each as often as its own copies say, with all columns; see fit_mixture
+    for the cases."""
+    name, times, each = (free_name(docs.columns, n) for n in ("row", "times", "each"))
+    copies = stored(rated(docs, labels, key, text, mix).filter("copies > 0").select(F.col("row").alias(name), F.col("copies").alias(times)).distinct(), "copies")
+    joined = docs.withColumn(name, row_id(key, text)).join(copies, name)
+    return joined.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(name, times, each)

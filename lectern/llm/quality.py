@@ -80,6 +80,28 @@ def measure(raw: bytes, bands: Bands, squeeze: zstandard.ZstdCompressor) -> tupl
     return len(raw), len(words), len(raw) - continuation - int(histogram[BLANK].sum()), int(histogram[SYMBOLS].sum()), again, repeated_words(ids), ratio, worst, best, bad, count
 
 
+def passes(stats: tuple, bands: Bands) -> bool:
+    """The verdict on measure(): enough words, not too many repeated, inside the bands."""
+    n_bytes, n_words, n_repeat, ratio, bad, count = stats[0], stats[1], stats[5], stats[6], stats[9], stats[10]
+    least, most = [b[1:] for b in bands.whole if n_bytes >= b[0]][-1]
+    failed = n_words < 20 or 100 * n_repeat > 30 * n_words
+    return not failed and (n_bytes == 0 or least <= ratio <= most) and bad <= bands.bad_chunk_share * count
+
+
+def passing(docs: DataFrame, text: str = "text", bands: Bands = Bands()) -> DataFrame:
+    """The rows of docs whose own text passes the base rules and lies in its bands, with all
+    columns.  Null and empty texts have no words and go; a row's key, missing or repeated, plays
+    no part; very long texts are measured whole; repeated rows are judged alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=bands.level)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text)).cast(pa.string()).to_pylist()
+            yield batch.filter(pa.array([passes(measure((s or "").encode(), bands, squeeze), bands) for s in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def compression_bands(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: Bands = Bands()) -> DataFrame:
     """One row per document: key, the word and line statistics, the ratios, in_band.
 

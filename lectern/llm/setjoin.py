@@ -6,21 +6,25 @@ m = H + 1 + x segments and two linked sets agree on more than x segments.  A set
 segments under its own band, and under the next one if it is large enough to link with a set
 of that.
 
-Segments are paid for by cost.  A segment that is empty in a set would match every other set
-that lacks it, so it is given nothing.  The allowance x is chosen by band so that few sets have
-more than x empty segments: with x or fewer, linked sets still agree on one that is not empty.
-A set with more gives two to each other segment: it also indexes every neighbour with one
-shingle deleted, and as long as fewer than m - H / 2 segments are empty in both, some other one
-differs by at most one shingle.  Sets with still more empty segments are indexed under one
-extra signature of their band, which keeps the join exact.
-
-Candidates are verified on the whole texts.  Sets that hang together by signatures are a
-cluster; its sets are compared in blocks of bounded size, with shared shingles counted by matrix
-products, and only links that join parts not joined yet come back.  In a cluster too large for
-that every set is first compared with the smallest document of each of its signatures, and the
-links found are closed; a signature whose sets then lie in one component is finished, and the
-sets of each of the others are compared in blocks.  Equal sets are folded into their smallest
-document before any of this.
+Segments are paid for by cost.  As linked sets agree on more than x segments, either may leave
+out any x of its own; each leaves out its x dearest ones: those that are empty first, as they
+would match every other set that lacks them, then those that most sets hold.  The order is by
+the number of sets that hold a segment, then by the segment, so it is the same for all; the
+cheapest segment that two linked sets agree on has x others after it and is left out by neither.
+A segment that nobody else holds costs nothing and finds nothing, so a set with m - x of them
+links with no other, and falls out before anything is compared.
+
+A set with more than x empty segments leaves none of the others out, and gives two to each: it
+also indexes every neighbour with one shingle deleted.  As long as fewer than m - H / 2 segments
+are empty in both of two such sets, some other one differs by at most one shingle.  Sets with
+still more empty segments are indexed under one extra signature of their band, which keeps the
+join exact.
+
+Candidates are verified on the whole texts.  Every set is first compared with the first one of
+each of its signatures, and the links found are closed; a signature whose sets then lie in one
+component is finished, and so is one of two sets.  The sets of each of the others are compared
+in blocks of bounded size, with shared shingles counted by matrix products, and only links that
+join parts not joined yet come back.  Equal sets are folded into one before any of this.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, ByteHash, among, components, mix64, stored, text_chunks, word_bounds
+from .common import LOWER, ByteHash, among, checked, components, free_name, mix64, row_id, stored, text_chunks, word_bounds
 
 
 @dataclass(frozen=True)
@@ -42,8 +46,8 @@ class Link:
 
     width: int = 3
     per_100: int = 90
+    #: about so many sets in a block
     block: int = 400
-    cluster: int = 4000
     #: a band's greatest size over its least; wider bands repeat fewer sets in the next band
     #: but cut the smaller ones finer, and the rows are fewest near this
     spread: float = 1.5
@@ -89,12 +93,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return row[first], made[first]
 
 
-def signatures(row: np.ndarray, made: np.ndarray, n: int, link: Link) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) under the row's own band and the next one."""
+def signatures(row: np.ndarray, made: np.ndarray, n: int, link: Link) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature, rule) under the row's own band and the next one.  The rule is twice the
+    number of signatures that the row may leave out in the band, plus one for the next band."""
     sizes = np.bincount(row, minlength=n)
     starts, most, segments = link.bands(int(sizes.max(initial=1)) * 2)
     own = np.searchsorted(starts, sizes, side="right") - 1
-    rows, sigs = [], []
+    rows, sigs, rules = [], [], []
     for step in (0, 1):
         band = own + step
         # into the next band only if the set is large enough to link with one of its sets
@@ -112,28 +117,30 @@ def signatures(row: np.ndarray, made: np.ndarray, n: int, link: Link) -> tuple[n
         number = (np.arange(len(total)) - base[owner]).astype(np.uint64)
         tag = mix64((band[owner].astype(np.uint64) << np.uint64(32)) + number + np.uint64(1))
         full = held > 0
-        rows.append(owner[full])
-        sigs.append(mix64(total[full] + tag[full]))
         lacking = np.bincount(owner[~full], minlength=n)
         allowed = segments[band] - most[band] - 1
+        rule = 2 * np.maximum(0, allowed - lacking) + step
+
+        def put(who: np.ndarray, sig: np.ndarray, rule: np.ndarray = rule) -> None:
+            rows.append(who), sigs.append(sig), rules.append(rule[who])
+
+        put(owner[full], mix64(total[full] + tag[full]))
         fewer = lacking[row] > allowed[row]
         if fewer.any():
-            rows.append(row[fewer])
-            sigs.append(mix64(total[slot[fewer]] - made[fewer] + tag[slot[fewer]]))
+            put(row[fewer], mix64(total[slot[fewer]] - made[fewer] + tag[slot[fewer]]))
         bare = np.flatnonzero((m > 0) & (lacking > allowed) & (2 * (m - lacking) <= most[band]))
         if len(bare):
-            rows.append(bare)
-            sigs.append(mix64(band[bare].astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)))
+            put(bare, mix64(band[bare].astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)))
         row, made = row_all, made_all
-    return np.concatenate(rows), np.concatenate(sigs)
+    return np.concatenate(rows), np.concatenate(sigs), np.concatenate(rules)
 
 
 def named(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return docs.select(row_id(key, text).alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
 def document_sets(docs: DataFrame, link: Link) -> DataFrame:
-    """id, n_shingles and two hashes of the set of docs(id, text)."""
+    """row, id, n_shingles and two hashes of the set of docs(row, id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,22 +150,35 @@ def document_sets(docs: DataFrame, link: Link) -> DataFrame:
                 one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 np.add.at(one, row, made)
                 np.add.at(two, row, mix64(made))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64))], names=["id", "n_shingles", "h1", "h2"])
+                numbers = [np.bincount(row, minlength=n), one, two]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, n) for c in (0, 1)), *(pa.array(x.astype(np.int64)) for x in numbers)], names=["row", "id", "n_shingles", "h1", "h2"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, h1 long, h2 long")
+    return docs.mapInArrow(run, f"row long, id {docs.schema['id'].dataType.simpleString()}, n_shingles long, h1 long, h2 long")
 
 
 def signature_rows(docs: DataFrame, link: Link) -> DataFrame:
-    """A row (id, sig) for every signature of docs(id, text)."""
+    """A row (row, sig, rule) for every signature of docs(row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, offsets in text_chunks(batch, "text"):
                 row, made = shingles(data, offsets, link.width)
-                owner, sig = signatures(row, made, end - at, link)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + owner)), pa.array(sig.astype(np.int64))], names=["id", "sig"])
+                owner, sig, rule = signatures(row, made, end - at, link)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + owner)), pa.array(sig.astype(np.int64)), pa.array(rule.astype(np.int32))], names=["row", "sig", "rule"])
+
+    return docs.select("row", "text").mapInArrow(run, "row long, sig long, rule int")
+
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, sig long")
+def signature_index(signed: DataFrame) -> DataFrame:
+    """(row, sig, first) of the signatures that no set leaves out and that several sets share;
+    first is the least of their rows.  Counts are combined before they are shuffled, and only
+    signatures held twice are looked at again."""
+    counts = stored(signed.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+    shared = signed.join(counts, "sig")
+    dearest = Window.partitionBy("row", "rule").orderBy(F.desc("n"), F.desc("sig"))
+    kept = stored(shared.withColumn("rank", F.row_number().over(dearest)).filter("rank > shiftright(rule, 1)").select("row", "sig").distinct(), "shared")
+    firsts = stored(kept.groupBy("sig").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").select("sig", "first"), "firsts")
+    return kept.join(firsts, "sig").select("row", "sig", "first")
 
 
 def as_sets(texts: list[str], width: int) -> list[np.ndarray]:
@@ -210,105 +230,116 @@ def spanning(found: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tup
     return kept
 
 
-def verify_pairs(pairs: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
-    """The pairs (a, b) whose texts link; texts has id, text, once each."""
+def compare(first: list[tuple], second: list[tuple], same: bool, link: Link) -> list[tuple[int, int]]:
+    """Links between two blocks of (row, part, text), or within one: those between parts."""
+    left = as_sets([r[2] for r in first], link.width)
+    right = left if same else as_sets([r[2] for r in second], link.width)
+    if len(left) * len(right) == 1:
+        shared = len(np.intersect1d(left[0], right[0], assume_unique=True))
+        linked = len(left[0]) > 0 and 100 * shared >= link.per_100 * (len(left[0]) + len(right[0]) - shared)
+        return [tuple(sorted((first[0][0], second[0][0])))] if linked and first[0][1] != second[0][1] else []
+    found = links_between(left, right, link.per_100)
+    found &= np.array([r[1] for r in first])[:, None] != np.array([r[1] for r in second])[None, :]
+    return spanning(found, np.array([r[0] for r in first]), np.array([r[0] for r in second]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (batch.column(k).to_pylist() for k in range(4))
-            keep = []
-            for i in range(0, len(a), 64):
-                sets = as_sets(x[i : i + 64] + y[i : i + 64], link.width)
-                half = len(sets) // 2
-                for k in range(half):
-                    u, v = sets[k], sets[half + k]
-                    common = len(np.intersect1d(u, v, assume_unique=True))
-                    keep.append(len(u) > 0 and 100 * common >= link.per_100 * (len(u) + len(v) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def verify_blocks(members: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
-    """Links within each group of members(grp, id, part, n), n its size, in pairs of blocks;
-    ids of one part are joined already."""
-    placed = members.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("grp").orderBy("id")) - 1) / link.block).cast("int"))
-    blocks = F.ceil(F.col("n") / link.block).cast("int")
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "part")
-
-    def compare(low: int, high: int, rows: list[tuple]) -> list[tuple[int, int]]:
-        first, second = [r for r in rows if r[0] == low], [r for r in rows if r[0] == high]
-        if len({r[2] for r in rows}) < 2:
-            return []
-        left = as_sets([r[3] for r in first], link.width)
-        right = left if low == high else as_sets([r[3] for r in second], link.width)
-        if len(left) == len(right) == 2 and low == high:
-            common = len(np.intersect1d(*left, assume_unique=True))
-            return [(min(rows[0][1], rows[1][1]), max(rows[0][1], rows[1][1]))] if 100 * common >= link.per_100 * (len(left[0]) + len(left[1]) - common) else []
-        found = links_between(left, right, link.per_100)
-        found &= np.array([r[2] for r in first])[:, None] != np.array([r[2] for r in second])[None, :]
-        return spanning(found, np.array([r[1] for r in first]), np.array([r[1] for r in second]))
+
+def compare_blocks(dealt: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
+    """Links (a, b) of dealt(grp, lo, hi, block, row, part): in each (grp, lo, hi), between the
+    rows of block lo and those of block hi.  texts has row and text, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, rows, out = None, [], []
+        last, sides, out = None, ([], []), []
+
+        def close():
+            if last and sides[0] and sides[1]:
+                out.extend(compare(*sides, last[1] == last[2], link))
+
         for batch in batches:
-            for grp, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            for grp, low, high, block, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (grp, low, high) != last:
-                    if rows:
-                        out += compare(last[1], last[2], rows)
-                    last, rows = (grp, low, high), []
-                rows.append(row)
-        if rows:
-            out += compare(last[1], last[2], rows)
+                    close()
+                    last, sides = (grp, low, high), ([], [])
+                if block == low:
+                    sides[0].append(row)
+                if block == high:
+                    sides[1].append(row)
+        close()
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
-    ready = dealt.join(texts, "id").repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
-    return ready.select("grp", "lo", "hi", "block", "id", "part", "text").mapInArrow(run, "a long, b long")
+    ready = dealt.join(texts, "row").repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
+    return ready.select("grp", "lo", "hi", "block", "row", "part", "text").mapInArrow(run, "a long, b long")
+
+
+def block_of(row: str, n: str, link: Link):
+    return F.pmod(F.xxhash64(row, F.lit("block")), F.ceil(F.col(n) / link.block)).cast("int")
+
 
+def star_links(index: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
+    """Links of every row of index with the first one of its signatures, which is sent once for
+    each block of rows that it is compared with."""
+    pairs = index.filter("row <> first").select("first", "row").distinct()
+    sizes = stored(pairs.groupBy("first").agg(F.count("*").alias("n")), "stars")
+    rest = pairs.join(sizes, "first").withColumn("hi", block_of("row", "n", link)).select(F.col("first").alias("grp"), F.lit(-1).alias("lo"), "hi", F.col("hi").alias("block"), "row")
+    heads = sizes.withColumn("hi", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / link.block).cast("int") - 1)))
+    heads = heads.select(F.col("first").alias("grp"), F.lit(-1).alias("lo"), "hi", F.lit(-1).alias("block"), F.col("first").alias("row"))
+    return compare_blocks(rest.union(heads).withColumn("part", F.col("row")), texts, link)
 
-def large_links(index: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
-    """Links within each signature of index(sig, id, hub)."""
-    pairs = index.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = stored(verify_pairs(pairs, texts, link), "links")
+
+def open_links(index: DataFrame, first: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
+    """Links within each signature whose rows are not all joined by the links `first`, among the
+    rows other than its first one."""
     parts = components(first)
-    part = index.distinct().join(parts, index.id == parts.node, "left").select("sig", "id", F.coalesce("component", "id").alias("part"))
-    open_sigs = part.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.bit_xor(F.xxhash64("id")).alias("same"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("more"), F.count("*").alias("n")).filter("x < y")
-    # signatures with the same members are compared once
-    once = open_sigs.groupBy("n", "same", "more").agg(F.min("sig").alias("sig")).select("sig", "n")
-    members = stored(part.join(once, "sig").select(F.col("sig").alias("grp"), "id", "part", "n"), "open")
-    return first.union(verify_blocks(members, texts, link))
+    rest = index.filter("row <> first").join(parts, F.col("row") == parts.node, "left").select("sig", "row", F.coalesce("component", "row").alias("part"))
+    unjoined = rest.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.bit_xor(F.xxhash64("row")).alias("same"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("more"), F.count("*").alias("n")).filter("x < y")
+    # signatures with the same rows are compared once
+    once = stored(unjoined.groupBy("n", "same", "more").agg(F.min("sig").alias("sig")).select("sig", "n"), "open")
+    placed = rest.join(once, "sig").withColumn("block", block_of("row", "n", link))
+    other = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / link.block).cast("int") - 1))
+    dealt = placed.withColumn("other", other).select(F.col("sig").alias("grp"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "row", "part")
+    return compare_blocks(dealt, texts, link)
 
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", link: Link = Link()) -> DataFrame:
-    """One row per row of docs: key, n_shingles, component_id, the smallest key reachable by
-    links.
-
-    Null and empty texts have no shingles and link with nothing: each is its own component.
-    Texts with fewer words than the width are one shingle, so equal short texts link.  Rows
-    that repeat come back as often.  Rows without a key are never linked and come back with a
-    null component.  An empty table gives no rows; other columns are ignored.
+    """One row per row of docs: key, n_shingles, component_id (the smallest key reachable by
+    links), row (row_id of key and text), first (whether the row stands for its component: that
+    of the smallest key, of several texts with that key the one of the smallest row).
+
+    Null and empty texts have no shingles and link with nothing: each is its own component, and
+    first.  Texts with fewer words than the width are one shingle, so equal short texts link.
+    Very long texts are taken whole.  Rows that repeat come back as often, alike; texts that
+    share a key are told apart.  Rows without a key are never linked and come back with a null
+    component, as first.  An empty table gives no rows; other columns are ignored, whatever
+    their names.
     """
     rows = named(docs, key, text)
     sets = stored(document_sets(rows, link), "sets")
     filled = sets.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    groups = filled.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("rep"))
-    held = stored(filled.join(groups, ["h1", "h2", "n_shingles"]).select("id", "n_shingles", "rep"), "folded")
-    own = held.filter("id = rep").select("id").distinct()
-    at = Window.partitionBy("sig")
-    signed = signature_rows(among(rows, own, "id"), link)
-    index = stored(signed.withColumn("hub", F.min("id").over(at)).withColumn("last", F.max("id").over(at)).filter("hub < last").select("sig", "id", "hub"), "index")
+    copies = stored(filled.groupBy("h1", "h2", "n_shingles").agg(F.min("row").alias("rep"), F.max("row").alias("last")).filter("rep < last").drop("last"), "copies")
+    held = stored(filled.join(copies, ["h1", "h2", "n_shingles"], "left").select("row", "id", "n_shingles", F.coalesce("rep", "row").alias("rep")), "folded")
+    own = held.filter("row = rep").select("row").distinct()
+    signed = signature_rows(among(rows, own, "row"), link)
+    index = stored(signature_index(signed), "index")
     # whole texts of the sets that share a signature with another
-    wanted = index.select("id").distinct()
-    texts = stored(among(rows, wanted, "id").dropDuplicates(["id"]), "texts")
-    clusters = components(index.select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    sized = stored(clusters.join(clusters.groupBy("component").agg(F.count("*").alias("n")), "component"), "clusters")
-    small = sized.filter(F.col("n") <= link.cluster).select(F.col("component").alias("grp"), F.col("node").alias("id"), F.col("node").alias("part"), "n")
-    links = stored(verify_blocks(small, texts, link), "links")
-    large = sized.filter(F.col("n") > link.cluster).select(F.col("node").alias("id"))
-    if not large.isEmpty():
-        links = links.union(stored(large_links(index.join(large, "id"), texts, link), "links"))
+    texts = stored(among(rows.select("row", "text"), index.select("row").distinct(), "row").dropDuplicates(["row"]), "texts")
+    stars = stored(star_links(index, texts, link), "links")
+    links = stars.union(stored(open_links(index, stars, texts, link), "links"))
     final = components(links)
-    joined = held.join(final, held.rep == final.node, "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    alone = sets.filter((F.col("n_shingles") == 0) | F.col("id").isNull()).select("id", "n_shingles", F.col("id").alias("component_id"))
+    whole = stored(held.join(final, F.col("rep") == final.node, "left").select("row", "id", "n_shingles", F.coalesce("component", "rep").alias("part")), "parts")
+    firsts = stored(whole.groupBy("part").agg(F.min(F.struct("id", "row")).alias("least")), "leasts")
+    joined = whole.join(firsts, "part").select("id", "n_shingles", F.col("least.id").alias("component_id"), "row", (F.col("row") == F.col("least.row")).alias("first"))
+    alone = sets.filter((F.col("n_shingles") == 0) | F.col("id").isNull()).select("id", "n_shingles", F.col("id").alias("component_id"), "row", F.lit(True).alias("first"))
     return joined.union(alone).withColumnRenamed("id", key)
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", link: Link = Link()) -> DataFrame:
+    """The rows of docs that stand for their component, with all columns; a row that repeats
+    key and text stays once.  Rows without words or without a key stay as often as they are."""
+    found = stored(link_components(docs, key, text, link).select(F.col("row"), "first", (F.col("n_shingles") > 0) & F.col(f"`{key}`").isNotNull()).toDF("row", "first", "linked"), "linked")
+    gone = found.filter("not first").select("row").distinct()
+    again = found.filter("first and linked").groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select("row")
+    name = free_name(docs.columns, "row")
+    marked = docs.withColumn(name, row_id(key, text))
+    gone, again = stored(gone.toDF(name), "gone"), stored(again.toDF(name), "again")
+    left = marked.join(checked(gone), name, "left_anti")
+    once = left.join(checked(again), name, "left_semi").dropDuplicates([name])
+    return left.join(checked(again), name, "left_anti").union(once).drop(name)

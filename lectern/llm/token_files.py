@@ -132,16 +132,16 @@ def write_files(docs: DataFrame, path: str | None = None, key: str = "doc_id", t
 
     A row: part and number (its place), first (ids of the part before it), keys and counts of
     its documents, their ids in all, and the file.  Null and empty texts are the end id alone;
-    very long texts are never split between files; repeated rows are written as often as they
-    stand; rows without a key come first; an empty table gives no rows; other columns are
-    ignored.  `tokenizer` is a name in the folder of public tokenizers or a path.
+    very long texts are never split between files; keys are cast to long; rows without a key come
+    first; rows of one key come in the order of their texts, repeated ones as often as they stand;
+    an empty table gives no rows; other columns are ignored.  `tokenizer` is a name in the folder of public tokenizers or a path.
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     place = tokenizer if os.path.sep in tokenizer else public_tokenizers.path(tokenizer)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    dealt = named.repartitionByRange(parts, "key").sortWithinPartitions("key")
+    dealt = named.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, part = Pieces(place), TaskContext.get().partitionId()

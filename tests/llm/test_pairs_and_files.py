@@ -43,14 +43,34 @@ def edited(n, seed):
     return rows + [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "A b"), (n + 4, "a B")]
 
 
-@pytest.mark.parametrize("width,per,cluster", [(3, 90, 4000), (1, 80, 6)])
-def test_components_equal_brute_force(spark, width, per, cluster):
+@pytest.mark.parametrize("width,per", [(3, 90), (1, 80), (1, 60)])
+def test_components_equal_brute_force(spark, width, per):
     rows = edited(350, width)
-    docs = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, sig string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.link_components(docs, link=setjoin.Link(width, per, block=20, cluster=cluster)).collect()}
+    docs = spark.createDataFrame([(a, b, "x", 1, 2) for a, b in rows], "doc_id long, text string, sig string, row long, id int")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.link_components(docs, link=setjoin.Link(width, per, block=20)).collect()}
     assert got == brute_components(rows, width, per)
 
 
+def test_components_equal_brute_force_on_documents(spark, sf):
+    """Sets of hundreds of shingles, with passages that many of them share."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").filter("length(text) < 4000")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()][:450]
+    passage = " ".join(f"shared{i}" for i in range(60))
+    rows = [(i, t if i % 3 else f"{t[:900]} {passage} {t[:500]}") for i, t in rows] + [(10**6 + i, t + " one more end") for i, t in rows if i % 7 == 0]
+    for width, per in ((3, 90), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.link_components(spark.createDataFrame(rows, "doc_id long, text string"), link=setjoin.Link(width, per)).collect()}
+        want = brute_components(rows, width, per)
+        assert got == want and len({c for _, c in want.values()}) < len(rows)
+
+
+def test_one_of_each(spark):
+    rows = [(1, "a b c", 1), (1, "a b c", 1), (2, "A b c", 2), (None, "a b c", 3), (None, "a b c", 4), (4, "x y z", 5), (4, "p q r", 6), (5, None, 7), (5, "", 8), (6, "p q r", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    got = [tuple(r) for r in setjoin.one_of_each(docs).collect()]
+    assert sorted(r[2] for r in got) == [1, 3, 4, 5, 6, 7, 8]
+    assert setjoin.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_components_of_nothing(spark):
     assert setjoin.link_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
