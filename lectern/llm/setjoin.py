@@ -20,11 +20,16 @@ are empty in both of two such sets, some other one differs by at most one shingl
 still more empty segments are indexed under one extra signature of their band, which keeps the
 join exact.
 
-Candidates are verified on the whole texts.  Every set is first compared with the first one of
-each of its signatures, and the links found are closed; a signature whose sets then lie in one
-component is finished, and so is one of two sets.  The sets of each of the others are compared
-in blocks of bounded size, with shared shingles counted by matrix products, and only links that
-join parts not joined yet come back.  Equal sets are folded into one before any of this.
+Candidates are sifted by bitmaps and verified on the whole texts.  A bitmap holds, for each of
+some one to two times as many places as the set has shingles, whether an odd number of them is
+hashed there; two bitmaps differ in no more places than the sets differ in shingles, so a pair
+whose bitmaps differ too much is no link, and texts are only sent for what is left.
+
+Every set is first compared with the first one of each of its signatures, and the links found are
+closed; a signature whose sets then lie in one component is finished, and so is one of two sets.
+The sets of each of the others are compared in blocks of bounded size, with shared shingles
+counted by matrix products, and only links that join parts not joined yet come back.  Equal sets
+are folded into one before any of this.
 """
 
 from __future__ import annotations
@@ -230,6 +235,92 @@ def spanning(found: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tup
     return kept
 
 
+def bitmaps(texts: DataFrame, link: Link) -> DataFrame:
+    """row, size and bits of the sets of texts(row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end, data, offsets in text_chunks(batch, "text"):
+                row, made = shingles(data, offsets, link.width)
+                sizes = np.bincount(row, minlength=end - at)
+                cut = np.append(0, np.cumsum(sizes))
+                out = []
+                for i, n in enumerate(sizes):
+                    places = max(64, 1 << int(n).bit_length())
+                    odd = np.bincount((made[cut[i] : cut[i + 1]] & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+                    out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(sizes.astype(np.int64)), pa.array(out, pa.binary())], names=["row", "size", "bits"])
+
+    return texts.select("row", "text").mapInArrow(run, "row long, size long, bits binary")
+
+
+def folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps of `width` bytes: halves are laid over each other, as places are taken modulo a
+    power of two."""
+    out = np.zeros((len(bits), width // 8), np.uint64)
+    for i, b in enumerate(bits):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, width // 8), axis=0)
+    return out
+
+
+def could_link(first: list[list], second: list[list], link: Link) -> tuple[np.ndarray, np.ndarray]:
+    """Which of two blocks of (row, part, size, bits) may link with any of another part there."""
+    width = min(len(r[3]) for r in first + second)
+    x, y = folded([r[3] for r in first], width), folded([r[3] for r in second], width)
+    part, size = np.array([r[1] for r in second]), np.array([r[2] for r in second])
+    left, right = np.zeros(len(first), bool), np.zeros(len(second), bool)
+    for i, r in enumerate(first):
+        apart = np.bitwise_count(x[i] ^ y).sum(axis=1, dtype=np.int64)
+        near = (part != r[1]) & (apart * (100 + link.per_100) <= (100 - link.per_100) * (size + r[2]))
+        left[i] = near.any()
+        right |= near
+    return left, right
+
+
+DEALT = "grp long, lo int, hi int, block int, row long, part long"
+
+
+def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list, list]]:
+    """((grp, lo, hi), rows of block lo, rows of block hi) from sorted rows (grp, lo, hi, block,
+    ...)."""
+    last, sides = None, ([], [])
+    for batch in batches:
+        for grp, low, high, block, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (grp, low, high) != last:
+                if sides[0] and sides[1]:
+                    yield last, *sides
+                last, sides = (grp, low, high), ([], [])
+            if block == low:
+                sides[0].append(row)
+            if block == high:
+                sides[1].append(row)
+    if sides[0] and sides[1]:
+        yield last, *sides
+
+
+def sifted(dealt: DataFrame, prints: DataFrame, link: Link) -> DataFrame:
+    """The rows of dealt that may link with another of their two blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for (grp, low, high), first, second in in_blocks(batches):
+            left, right = could_link(first, second, link)
+            rows = {(low, *first[i][:2]) for i in np.flatnonzero(left)} | {(high, *second[i][:2]) for i in np.flatnonzero(right)}
+            out += [(grp, low, high, *r) for r in sorted(rows)]
+            if len(out) >= 10_000:
+                yield table(out)
+                out = []
+        yield table(out)
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        names, kinds = zip(*(f.split() for f in DEALT.split(", ")))
+        columns = zip(*rows) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "long" else pa.int32()) for c, k in zip(columns, kinds)], names=list(names))
+
+    ready = dealt.join(prints, "row").repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
+    return ready.select("grp", "lo", "hi", "block", "row", "part", "size", "bits").mapInArrow(run, DEALT)
+
+
 def compare(first: list[tuple], second: list[tuple], same: bool, link: Link) -> list[tuple[int, int]]:
     """Links between two blocks of (row, part, text), or within one: those between parts."""
     left = as_sets([r[2] for r in first], link.width)
@@ -248,22 +339,7 @@ def compare_blocks(dealt: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
     rows of block lo and those of block hi.  texts has row and text, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sides, out = None, ([], []), []
-
-        def close():
-            if last and sides[0] and sides[1]:
-                out.extend(compare(*sides, last[1] == last[2], link))
-
-        for batch in batches:
-            for grp, low, high, block, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (grp, low, high) != last:
-                    close()
-                    last, sides = (grp, low, high), ([], [])
-                if block == low:
-                    sides[0].append(row)
-                if block == high:
-                    sides[1].append(row)
-        close()
+        out = [pair for (_, low, high), first, second in in_blocks(batches) for pair in compare(first, second, low == high, link)]
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
     ready = dealt.join(texts, "row").repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
@@ -274,7 +350,7 @@ def block_of(row: str, n: str, link: Link):
     return F.pmod(F.xxhash64(row, F.lit("block")), F.ceil(F.col(n) / link.block)).cast("int")
 
 
-def star_links(index: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
+def star_links(index: DataFrame, texts: DataFrame, prints: DataFrame, link: Link) -> DataFrame:
     """Links of every row of index with the first one of its signatures, which is sent once for
     each block of rows that it is compared with."""
     pairs = index.filter("row <> first").select("first", "row").distinct()
@@ -282,10 +358,11 @@ def star_links(index: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
     rest = pairs.join(sizes, "first").withColumn("hi", block_of("row", "n", link)).select(F.col("first").alias("grp"), F.lit(-1).alias("lo"), "hi", F.col("hi").alias("block"), "row")
     heads = sizes.withColumn("hi", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / link.block).cast("int") - 1)))
     heads = heads.select(F.col("first").alias("grp"), F.lit(-1).alias("lo"), "hi", F.lit(-1).alias("block"), F.col("first").alias("row"))
-    return compare_blocks(rest.union(heads).withColumn("part", F.col("row")), texts, link)
+    dealt = rest.union(heads).withColumn("part", F.col("row"))
+    return compare_blocks(stored(sifted(dealt, prints, link), "sifted"), texts, link)
 
 
-def open_links(index: DataFrame, first: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
+def open_links(index: DataFrame, first: DataFrame, texts: DataFrame, prints: DataFrame, link: Link) -> DataFrame:
     """Links within each signature whose rows are not all joined by the links `first`, among the
     rows other than its first one."""
     parts = components(first)
@@ -296,7 +373,7 @@ def open_links(index: DataFrame, first: DataFrame, texts: DataFrame, link: Link)
     placed = rest.join(once, "sig").withColumn("block", block_of("row", "n", link))
     other = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / link.block).cast("int") - 1))
     dealt = placed.withColumn("other", other).select(F.col("sig").alias("grp"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "row", "part")
-    return compare_blocks(dealt, texts, link)
+    return compare_blocks(stored(sifted(dealt, prints, link), "sifted"), texts, link)
 
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", link: Link = Link()) -> DataFrame:
@@ -321,8 +398,9 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     index = stored(signature_index(signed), "index")
     # whole texts of the sets that share a signature with another
     texts = stored(among(rows.select("row", "text"), index.select("row").distinct(), "row").dropDuplicates(["row"]), "texts")
-    stars = stored(star_links(index, texts, link), "links")
-    links = stars.union(stored(open_links(index, stars, texts, link), "links"))
+    prints = stored(bitmaps(texts, link), "bitmaps")
+    stars = stored(star_links(index, texts, prints, link), "links")
+    links = stars.union(stored(open_links(index, stars, texts, prints, link), "links"))
     final = components(links)
     whole = stored(held.join(final, F.col("rep") == final.node, "left").select("row", "id", "n_shingles", F.coalesce("component", "rep").alias("part")), "parts")
     firsts = stored(whole.groupBy("part").agg(F.min(F.struct("id", "row")).alias("least")), "leasts")
