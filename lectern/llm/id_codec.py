@@ -25,7 +25,7 @@ MAGIC = b"LCMX"
 VERSION = 2
 HEAD = "<4sHIQIII"  # magic, version, ids in a block, ids, blocks, bytes of table and index, their checksum
 BLOCK = 1024
-SLOTS = 4096
+SLOTS = 1024
 #: Registers have 48 bits and move 16 at a time; a step narrows by at most 2**20.
 WORD, TOP, BOTTOM, SHARE = (1 << 48) - 1, 1 << 32, 1 << 24, 20
 #: log odds in 1/256 by probability in 1/4096, and back.

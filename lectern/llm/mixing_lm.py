@@ -4,13 +4,14 @@ Every byte is eight binary decisions down its bit tree.  For each decision sever
 look up the counts of zeros and ones seen after their context (the last 1, 2, 3 or 5 bytes,
 hashed into `slots` counters per order).  A gated set of weights, chosen by the depth in the
 tree and by how many contexts were seen before, mixes the predictions in the logistic domain;
-a final table refines the result by the byte before.
-
-Learning is online and spread over Spark's partitions: a task predicts each batch with what it
-has gathered so far, moves the weights along the gradient of the coding cost, then adds the
-batch to its counters.  Counters and refinement counts of all tasks are summed and weights
-averaged; sums are sums of counts, so they hold the whole training text whatever the
-partitioning.  A text is then scored by the frozen model.  The model has a fixed size
+a final table refines the result by the byte before.  A text ends with byte 255, which UTF-8 never
+has; it is coded like any other, so the probabilities of all texts add up to no more than one.
+
+Learning is online and spread over shards: training texts are dealt by their hash into shards of
+about `shard_bytes`, in the order of the hash, so neither the partitions of the input nor the
+number of executors changes the model.  A task predicts each batch with what it has gathered so
+far, moves the weights along the gradient of the coding cost, then adds the batch to its
+counters.  Counters and refinement counts of all shards are summed and weights averaged.  A text is then scored by the frozen model.  The model has a fixed size
 (`Model.slots` times four orders), so it may be broadcast; word counts grow with the corpus and
 are joined, but for words frequent enough that at most `hot_bound` of them can exist.
 """
@@ -34,6 +35,8 @@ LEVELS = 33
 SLOT_BITS = 20
 BLOCK = 1 << 14
 END = np.uint64(0x2545F4914F6CDD1D)  # the end counted as a token
+END_BYTE = 255
+SHARD_BYTES = 16 << 20
 
 
 @dataclass
@@ -54,6 +57,11 @@ class Model:
             self.refine = np.zeros((2, 256 * LEVELS))
 
 
+def ended(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows, each with its end."""
+    return np.insert(data, offsets[1:], END_BYTE), offsets + np.arange(len(offsets))
+
+
 def windows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The byte in the lowest eight bits and the five before it above; 0 before a row's start."""
     n = len(data)
@@ -207,11 +215,11 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held > 1_500_000:
                     yield pieces("token", keys.astype(np.int64), counts)
                     held_keys, held_counts, held = [], [], 0
-            if len(data):
-                win, times = np.unique(windows(data, offsets), return_counts=True)
+            if len(offsets) > 1:
+                win, times = np.unique(windows(*ended(data, offsets)), return_counts=True)
                 for i in range(0, len(win), 200_000):
                     learn(model, win[i : i + 200_000], times[i : i + 200_000], pace)
-                seen += len(data)
+                seen += len(data) + len(offsets) - 1
     if held_keys:
         keys, counts = summed(held_keys, held_counts)
         for i in range(0, len(keys), 200_000):
@@ -243,9 +251,11 @@ def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pieces(kind, [part], [n], [squeeze.compress(total.tobytes())])
 
 
-def fit(training: DataFrame) -> tuple[Model, DataFrame]:
+def fit(training: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[Model, DataFrame]:
     """The model and the token counts (part, n) of training(text)."""
-    found = stored(training.select("text").mapInArrow(gather, PIECES), "gathered")
+    size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = training.select("text", F.xxhash64("text").alias("h")).repartition(1 + size // shard_bytes, "h").sortWithinPartitions("h", "text")
+    found = stored(dealt.select("text").mapInArrow(gather, PIECES), "gathered")
     counts = stored(found.filter("kind = 'token'").groupBy("part").agg(F.sum("n").alias("n")), "tokens")
     model, open_up = Model(), zstandard.ZstdDecompressor()
     # of a fixed size: 64 blocks for each order, weights and refinement
@@ -264,10 +274,10 @@ def fit(training: DataFrame) -> tuple[Model, DataFrame]:
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out=None, hot_bound: int = 1 << 22) -> DataFrame:
     """One row per row of docs: key, held_out, n_bytes, n_tokens, n_known, train_tokens,
-    base_score, score (log10 of the model's probability of the lower-cased text).
+    base_score, score (log10 of the model's probability of the lower-cased text and its end).
 
     Learns from rows where `held_out`, a boolean column expression (none: false), is false.
-    Null and empty texts have the end as their only token and score 0.  With no training rows
+    Null and empty texts have the end as their only token and byte.  With no training rows
     every prediction is even and every token unknown.  Repeated rows count and are scored as
     often as they stand there; null keys are kept; other columns are ignored.
     """
@@ -296,8 +306,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out=Non
                 n_known = np.bincount(row[hit], weights=count[hit], minlength=n).astype(np.int64)
                 logged = count[hit] * logs[place[hit]] if len(keys) else np.zeros(0)
                 base = np.bincount(row[hit], weights=logged, minlength=n).astype(np.float64)  # of nothing it counts in integers
-                bytes_log = scorer(windows(data, offsets)) if len(data) else np.zeros(0)
-                whole = np.bincount(np.repeat(np.arange(n), np.diff(offsets)), weights=bytes_log, minlength=n).astype(np.float64)
+                closed, bounds = ended(data, offsets)
+                whole = np.bincount(np.repeat(np.arange(n), np.diff(bounds)), weights=scorer(windows(closed, bounds)), minlength=n).astype(np.float64)
                 rest = ~hit
                 cut = pa.array(np.searchsorted(row[rest], np.arange(n + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(

@@ -5,7 +5,7 @@ right check digits and calendar dates are permuted by a keyed Feistel network wi
 format: lengths, separators and check digits stay right, every value has one pseudonym and no
 two values share one, so equal values stay linked across documents.  Rounds take SHA-256 of
 the key, the round, the kind and the other half.  The local part of an e-mail address, which
-has no fixed format, becomes a keyed hash of the whole address.
+has no fixed format, becomes 128 bits of a keyed hash of the whole address.
 
 Card and account numbers are looked for in whole runs of groups: any stretch of groups with
 right check digits is a value, the longest first, so a neighbouring number hides none.
@@ -235,12 +235,17 @@ def ipv4(m: Column, key: str) -> Column:
     return F.element_at(made, 1)
 
 
+#: The country calling codes of one and two digits; all others have three.
+COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+
 def phone(m: Column, key: str) -> Column:
-    """The country code stays; the digits behind it are permuted."""
-    land = F.regexp_extract(m, r"^(\+\d{1,3}[ -]?)?(.*)$", 1)
-    rest = F.regexp_extract(m, r"^(\+\d{1,3}[ -]?)?(.*)$", 2)
-    made = F.transform(F.array(permute_digits(digits_of(rest), key, "phone")), lambda d: F.concat(land, poured(rest, d)))
-    return F.element_at(made, 1)
+    """The country code stays, found by its digits whatever follows it; the digits behind it are
+    permuted, so one number has one pseudonym in all its spellings."""
+    digits = digits_of(m)
+    land = F.regexp_extract(F.concat(F.substring(m, 1, 1), digits), COUNTRY, 1)
+    rest = F.substring(digits, F.length(land) + 1, F.length(digits))
+    return bound(permute_digits(rest, key, "phone"), lambda d: poured(m, F.concat(land, d)))
 
 
 #: Days from 1900-01-01 to 2099-12-31: 319 times 229.
@@ -267,7 +272,7 @@ def date(m: Column, key: str) -> Column:
 
 
 def email(m: Column, key: str) -> Column:
-    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 12), F.lit("@mail.invalid"))
+    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 32), F.lit("@mail.invalid"))
 
 
 def kind_of(m: Column) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHash, stored, text_chunks
+from .common import ByteHash, row_id, stored, text_chunks
 from .suffix import common_prefixes, suffix_array
 
 SEPARATOR = 255  # never a byte of UTF-8
@@ -97,16 +97,17 @@ def as_runs(rows: list) -> pa.Array:
 
 
 def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, k: int = 100, most_spans: int = 1500, shard_bytes: int = 1 << 19) -> DataFrame:
-    """key, runs: the runs of bytes of each document that are covered by a `length`-byte string
-    that also starts anywhere else, in this document or another; documents without any are
-    left out.
+    """row (row_id of key and text), runs: the runs of bytes of each document that are covered by a
+    `length`-byte string that also starts anywhere else, in this document or another; documents
+    without any are left out.
 
     Null, empty and shorter texts hold no such string.  Texts of any length are taken whole.
-    Rows that repeat a key must repeat its text; such rows repeat each other.  Rows without a
-    key are left out.  An empty table gives no rows; other columns are ignored.
+    Rows are told apart by key and text, so texts that share a key, or have none, are documents
+    of their own; rows that repeat both repeat each other.  An empty table gives no rows; other
+    columns are ignored.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    named = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).filter("id is not null")
+    kind = "long"
+    named = docs.select(row_id(key, text).alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +177,9 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     twice = each.groupBy("gram", "string").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "string")
     many = each.filter("open").join(twice, ["gram", "string"]).groupBy("id").agg(F.collect_list(F.struct("start", (F.col("start") + length).alias("end"))).alias("runs"))
     equal = found.join(spans.filter("n > 1").select("gram", "span"), ["gram", "span"]).select("id", F.array(F.struct(F.col("lo").cast("long").alias("start"), F.col("hi").cast("long").alias("end"))).alias("runs"))
-    return few.union(many).union(equal).groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("runs")).withColumnRenamed("id", key)
+    # each is written by itself, so that a join with a hot k-gram can be split
+    few, many, equal = (stored(part, "runs") for part in (few, many, equal))
+    return few.union(many).union(equal).groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("runs")).withColumnRenamed("id", "row")
 
 
 def merged(runs: list) -> list[tuple[int, int]]:
@@ -191,22 +194,24 @@ def merged(runs: list) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """key, n_bytes, runs (maximal removed runs of bytes) and kept, the bytes that remain, for
-    every row of docs with a key; see repeated_bytes for the cases."""
+    """key, n_bytes, runs (maximal removed runs of bytes), kept (the bytes that remain) and
+    kept_text (these without characters that were cut through; null for a null text), for every
+    row of docs; see repeated_bytes for the cases."""
     kind = docs.schema[key].dataType.simpleString()
-    named = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).filter("id is not null")
-    runs = repeated_bytes(docs, key, text, **settings).withColumnRenamed(key, "id")
+    named = docs.select(F.col(f"`{key}`").alias("id"), row_id(key, text).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    runs = repeated_bytes(docs, key, text, **settings)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, removed, kept = [], [], []
+            sizes, removed, kept, texts = [], [], [], []
             for s, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = (s or "").encode()
                 gone = merged(r)
                 ends = [0, *(b for _, b in gone)]
                 starts = [*(a for a, _ in gone), len(raw)]
                 sizes.append(len(raw)), removed.append(gone), kept.append(b"".join(raw[a:b] for a, b in zip(ends, starts)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), as_runs(removed), pa.array(kept, pa.binary())], names=["id", "n_bytes", "runs", "kept"])
+                texts.append(None if s is None else kept[-1].decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), as_runs(removed), pa.array(kept, pa.binary()), pa.array(texts, pa.string())], names=["id", "n_bytes", "runs", "kept", "kept_text"])
 
-    joined = named.join(runs, "id", "left").select("id", "text", "runs")
-    return joined.mapInArrow(cut, f"id {kind}, n_bytes long, runs {RUNS_SQL}, kept binary").withColumnRenamed("id", key)
+    joined = named.join(runs, "row", "left").select("id", "text", "runs")
+    return joined.mapInArrow(cut, f"id {kind}, n_bytes long, runs {RUNS_SQL}, kept binary, kept_text string").withColumnRenamed("id", key)

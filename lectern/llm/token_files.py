@@ -33,7 +33,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 ODD = re.compile(r" (?=\s|\Z)|<\|")
 MOST_PIECES = 500_000
-RUN_IDS = 3_000_000
+RUN_IDS = 1_500_000
 
 
 @lru_cache(maxsize=2)

@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 import random
 
 import numpy as np
@@ -64,5 +65,28 @@ def test_many_spans_of_one_gram(spark):
     assert check(spark, corpus(2, 120), length=60, k=20, most_spans=2) > 20
 
 
+def test_documents_at_400_bytes(spark, sf):
+    """Whole contract columns against brute force, with texts that share a key or have none."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    passage = "".join(chr(97 + i * i % 26) + " " * (i % 7 == 0) for i in range(420))
+    rows += [(None, f"é {passage} one"), (None, f"{passage}"), (5, f"two {passage}"), (5, passage[:399]), (-1, "q" * 401)]
+    count = Counter(raw[i : i + 400] for _, t in rows for raw in [(t or "").encode()] for i in range(len(raw) - 399))
+    want = []
+    for k, t in rows:
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for i in range(len(raw) - 399):
+            if count[raw[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        kept = bytes(np.frombuffer(raw, np.uint8)[~gone])
+        want.append((k, len(raw), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = [(r.doc_id, r.n_bytes, sum(x.end - x.start for x in r.runs), len(r.runs), hashlib.sha256(r.kept).hexdigest()) for r in got]
+    order = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(found, key=order) == sorted(want, key=order) and sum(w[2] > 0 for w in want) > 100
+    assert all(r.kept_text == r.kept.decode("utf-8", "ignore") for r in got if r.kept_text is not None)
+
+
 def test_empty_table(spark):
     assert repeats.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

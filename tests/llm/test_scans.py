@@ -161,3 +161,9 @@ def test_feistel_is_a_permutation(spark):
     assert letters.distinct().count() == 26**3 and letters.filter("d rlike '^[A-Z]{3}$'").count() == 26**3
     long = spark.range(1).select(pseudonyms.permute_letters(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZABCD"), "k", "iban letters").alias("d")).first().d
     assert re.fullmatch("[A-Z]{30}", long)
+
+
+def test_phone_spellings_stay_linked(spark):
+    rows = [(0, "+1 017 555 7713"), (1, "+1-017-555-7713"), (2, "+10175557713"), (3, "+44 20 7946 0958"), (4, "+442079460958"), (5, "(017) 555-7713")]
+    got = {r.doc_id: re.sub(r"\D", "", r.text) for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), secret="k").collect()}
+    assert got[0] == got[1] == got[2] != "10175557713" and got[3] == got[4] and got[3].startswith("44") and got[0] == "1" + got[5]
