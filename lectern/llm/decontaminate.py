@@ -20,6 +20,8 @@ finds, and all whole copies.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +66,8 @@ def blocks_of(simhash: Column) -> Column:
 
 def neighbours_of(block: Column, radius: int) -> Column:
     """The block with every choice of up to radius / BLOCKS of its bits flipped."""
-    masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << BITS // BLOCKS) - 1).cast("long")), lambda m: F.bit_count(m) <= radius // BLOCKS)
-    return F.transform(masks, lambda m: F.struct(block["number"].alias("number"), block["bits"].bitwiseXOR(m).alias("bits")))
+    flips = [sum(1 << b for b in some) for k in range(radius // BLOCKS + 1) for some in combinations(range(BITS // BLOCKS), k)]
+    return F.transform(F.array(*[F.lit(m).cast("long") for m in flips]), lambda m: F.struct(block["number"].alias("number"), block["bits"].bitwiseXOR(m).alias("bits")))
 
 
 def similarity(shingles: Column, weights: Column, item_shingles: Column, item_weights: Column) -> Column:

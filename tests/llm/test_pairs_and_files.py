@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -146,6 +147,36 @@ def test_leaks_in_another_order(spark):
     assert (got[1, 7].start_word, got[1, 7].n_words, got[4, 7].start_word) == (30, 50, 0) and got[1, 7].similarity > 0.8
 
 
+def test_recall_of_edited_items(spark, sf):
+    """At least nine in ten of the documents that brute force finds at similarity 0.8 or more."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    plain = {i: "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in t.translate(str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)}))).split() for i, t in items}
+    bags = {i: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, w in plain.items() if len(w) >= 5}
+    holders = Counter(s for bag in bags.values() for s in bag)
+    rng = random.Random(4)
+    rows = []
+    for k in range(160):
+        w = list(plain[rng.choice(list(bags))])
+        for _ in range(rng.choice([0, 1, 1, 2])):  # an edit touches up to five shingles; most near an end
+            w[rng.choice([0, 1, 2, -1, -2, rng.randrange(len(w))])] = f"new{rng.randrange(10**6)}"
+        noise = [f"n{rng.randrange(10**6)}" for _ in range(40)]
+        rows.append((k, noise[:20] + w + noise[20:]))
+    want = set()
+    for k, w in rows:
+        for i, bag in bags.items():
+            n = len(plain[i])
+            for at in range(len(w) - n + 1):
+                window = Counter(tuple(w[j : j + 5]) for j in range(at, at + n - 4))
+                weigh = lambda s, c: c / holders.get(s, 1)
+                more = sum(weigh(s, max(window[s], bag[s])) for s in window | bag)
+                if sum(weigh(s, min(window[s], bag[s])) for s in window & bag) >= 0.8 * more - 1e-12:
+                    want.add((k, i))
+                    break
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 60 and got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_mixture(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     rows = mixing.fit_mixture(docs, labels).toPandas()
