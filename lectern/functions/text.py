@@ -153,8 +153,13 @@ def reading_grade(c: Column, digits: int = 2) -> Column:
     english = without_bangla(c)
     n = F.size(words(english))
     count = F.greatest(F.lit(1), F.size(sentences(english)))
-    score = F.round(0.39 * n / count + 11.8 * syllables(english) / F.greatest(F.lit(1), n) - 15.59, digits)
-    return F.when((F.size(tokens(english)) >= 30) & (n > 0) & score.between(-5, 25), score)
+    return grade_of(F.size(tokens(english)), n, count, syllables(english), digits)
+
+
+def grade_of(n_tokens: Column, n: Column, count: Column, n_syllables: Column, digits: int = 2) -> Column:
+    """The grade from counts of tokens, words, sentences and syllables."""
+    score = F.round(0.39 * n / F.greatest(F.lit(1), count) + 11.8 * n_syllables / F.greatest(F.lit(1), n) - 15.59, digits)
+    return F.when((n_tokens >= 30) & (n > 0) & score.between(-5, 25), score)
 
 
 def punctuation_density(c: Column) -> Column:

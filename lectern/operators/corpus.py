@@ -56,13 +56,12 @@ def misplaced_pages(ranges: DataFrame, pages: DataFrame) -> DataFrame:
     return inside.filter(F.col("u").cast("int") != F.col("unit_no")).select("book_id", "page_no", "unit_no", F.col("u").cast("int").alias("footer_unit"))
 
 
-def unit_texts(ranges: DataFrame, pages: DataFrame, most_chars: int = 4_000_000) -> DataFrame:
+def unit_texts(ranges: DataFrame, pages: DataFrame) -> DataFrame:
     """book_id, unit_no, title, first_page, text of each unit: cleaned pages in order.  A unit
-    over most_chars is an error, raised when it is built."""
+    is a run of pages of one book and becomes one row, however long."""
     inside = pages.join(ranges, "book_id").filter(F.col("page_no").between(F.col("first_page"), F.col("last_page")))
     clean = inside.withColumn("clean", T.strip_furniture(F.col("text"), F.col("title"))).filter(T.stripped(F.col("clean")) != "")
-    sized = clean.groupBy("book_id", "unit_no", "title", "first_page").agg(F.sum(F.length("clean")).alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "clean"))), lambda s: s.clean), "\n").alias("text"))
-    return sized.withColumn("text", F.when(F.col("size") <= most_chars, F.col("text")).otherwise(F.raise_error(F.lit("a unit is too long")))).drop("size")
+    return clean.groupBy("book_id", "unit_no", "title", "first_page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "clean"))), lambda s: s.clean), "\n").alias("text"))
 
 
 def stages(units: DataFrame) -> DataFrame:

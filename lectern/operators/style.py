@@ -12,11 +12,11 @@ VERDICT = "suitable boolean, reason string"
 
 
 def vocabulary(chunks: DataFrame, fewshot: DataFrame, grade: int) -> DataFrame:
-    """book_id, word: lower-cased words of a book's chunks (headers dropped) and of the sample
-    answers of the grade."""
+    """book_id, word: lower-cased words of a book's chunks (headers dropped), and those of the
+    sample answers of the grade, which hold for every book and have no book_id."""
     book = chunks.select("book_id", F.explode(F.array_distinct(T.words(F.lower(T.body_of(F.col("text")))))).alias("word")).distinct()
     samples = usable_fewshot(fewshot, grade).select(F.explode(T.words(F.lower("teacher_answer"))).alias("word")).distinct()
-    return book.union(chunks.select("book_id").distinct().join(F.broadcast(samples.limit(1_000_000))).select("book_id", "word")).distinct()
+    return book.union(samples.select(F.lit(None).cast(chunks.schema["book_id"].dataType).alias("book_id"), "word"))
 
 
 def usable_fewshot(fewshot: DataFrame, grade: int, evaluating: bool = False) -> DataFrame:
@@ -27,13 +27,16 @@ def usable_fewshot(fewshot: DataFrame, grade: int, evaluating: bool = False) ->
 
 
 def coverage(answers: DataFrame, vocab: DataFrame) -> DataFrame:
-    """message_id, n_words, n_unknown, coverage (1 without words), unknown words as first seen."""
+    """message_id, n_words, n_unknown, coverage (1 without words, to three decimals), unknown
+    words as first seen."""
     words = answers.select("message_id", "book_id", F.posexplode_outer(T.words(F.lower(T.without_bangla(F.col("answer"))))).alias("pos", "word"))
-    marked = words.join(vocab.withColumn("known", F.lit(True)), ["book_id", "word"], "left")
+    own = vocab.filter("book_id is not null").distinct().withColumn("own", F.lit(True))
+    common = vocab.filter("book_id is null").select("word").distinct().withColumn("common", F.lit(True))
+    marked = words.join(own, ["book_id", "word"], "left").join(common, "word", "left").withColumn("known", F.coalesce("own", "common"))
     each = marked.groupBy("message_id", "word").agg(F.count("pos").alias("n"), F.min("pos").alias("pos"), F.max(F.coalesce("known", F.lit(False))).alias("known"))
     missing = F.array_sort(F.collect_list(F.when(~F.col("known") & F.col("word").isNotNull(), F.struct("pos", "word"))))
     out = each.groupBy("message_id").agg(F.sum("n").alias("n_words"), F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))).alias("n_unknown"), missing.alias("m"))
-    return out.select("message_id", "n_words", "n_unknown", F.when(F.col("n_words") > 0, 1 - F.col("n_unknown") / F.col("n_words")).otherwise(1.0).alias("coverage"), F.transform("m", lambda x: x.word).alias("unknown"))
+    return out.select("message_id", "n_words", "n_unknown", F.when(F.col("n_words") > 0, F.round(1 - F.col("n_unknown") / F.col("n_words"), 3)).otherwise(1.0).alias("coverage"), F.transform("m", lambda x: x.word).alias("unknown"))
 
 
 def failures(longest: Column, covered: Column, grade: Column, limits: Settings = SETTINGS) -> Column:

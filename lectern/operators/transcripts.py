@@ -51,11 +51,12 @@ def file_stats(transcripts: DataFrame) -> DataFrame:
 
 
 def combined_stats(transcripts: DataFrame) -> DataFrame:
-    """One row over all files: sums of parts, so no text is joined in one place."""
+    """One row over all files: sums of parts, so no text is joined in one place.  Without a word
+    the ratios are 0 and the grade is null."""
     body = transcripts.select(T.without_header(F.col("text")).alias("body"))
-    found = T.words(F.col("body"))
-    parts = body.select(F.size(found).alias("w"), F.size(F.filter(found, lambda w: F.rlike(w, F.lit(f"[{T.BANGLA}]")))).alias("b"), F.regexp_count("body", F.lit("[.!?।]")).alias("m"))
-    sums = parts.agg(F.count("*").alias("files"), F.sum("w").alias("words"), F.round(F.sum("b") / F.sum("w"), 3).alias("bangla_ratio"), F.round(100 * F.sum("m") / F.sum("w"), 1).alias("punct_per_100w"))
+    found, english = T.words(F.col("body")), T.without_bangla(F.col("body"))
+    parts = body.select(F.size(found).alias("w"), F.size(F.filter(found, lambda w: F.rlike(w, F.lit(f"[{T.BANGLA}]")))).alias("b"), F.regexp_count("body", F.lit("[.!?।]")).alias("m"), F.size(T.tokens(english)).alias("t"), F.size(T.words(english)).alias("e"), F.size(T.sentences(english)).alias("s"), T.syllables(english).alias("y"))
+    sums = parts.agg(F.count("*").alias("files"), F.sum("w").alias("words"), F.coalesce(F.round(F.sum("b") / F.nullif(F.sum("w"), F.lit(0)), 3), F.lit(0.0)).alias("bangla_ratio"), F.coalesce(F.round(100 * F.sum("m") / F.nullif(F.sum("w"), F.lit(0)), 1), F.lit(0.0)).alias("punct_per_100w"), T.grade_of(F.sum("t"), F.sum("e"), F.sum("s"), F.sum("y")).alias("fk_grade"))
     return sums.crossJoin(length_stats(lengths(transcripts)))  # one row each
 
 
@@ -86,6 +87,7 @@ def thresholds_table(stats: DataFrame) -> DataFrame:
         F.format_string("| Max sentence length | %d words | 95th percentile of %d sentences |", "p95_words", "measured"),
         F.format_string("| Mean sentence length | %.1f words | mean over %d transcripts |", "mean_words", "files"),
         F.format_string("| Bangla word ratio | %.1f%% | Bangla words of all words |", F.col("bangla_ratio") * 100),
+        F.coalesce(F.format_string("| Reading grade | %.2f | all transcripts together |", "fk_grade"), F.lit("| Reading grade | none | too few words |")),
         F.format_string("| Corpus size | %d words | %d transcripts |", "words", "files"),
     )
     return stats.select(F.posexplode(rows).alias("row", "line"))

@@ -38,6 +38,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", "text")
 
 
+#: Printable ASCII, and the same in the broken font.
+ASCII = "".join(map(chr, range(0x20, 0x7F)))
+SHIFTED = "".join(chr(ord(c) - T.SHIFT) for c in ASCII)
+
 # SQL of the text rules, for regular expressions without lookbehind
 WORDS = "regexp_extract_all({0}, '[A-Za-zঀ-৿'']+')"
 TOKENS = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')"
@@ -74,15 +78,13 @@ def b14_corpus_profile(spark, sf_dir):
 
 @query(
     "b1_repair_font",
-    """SELECT doc_id, md5(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '=', ' '), chr(10), ''''), '¿', 'fi'), 'À', 'fl'), '൵', 'ff'), '൶', 'ffi'), 'µ', '‘'), '¶', '’'), '«', '…')) AS repaired_md5
-    FROM documents WHERE contains(text, ' ')""",
+    f"""SELECT doc_id, CASE WHEN NOT regexp_matches(text, '[\\x20-\\x25\\x28-\\x3C]') THEN md5(translate(text, '{ASCII.replace("'", "''")}', '{SHIFTED.replace("'", "''")}')) ELSE md5(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '=', ' '), chr(10), ''''), '¿', 'fi'), 'À', 'fl'), '൵', 'ff'), '൶', 'ffi'), 'µ', '‘'), '¶', '’'), '«', '…')) END AS repaired_md5
+    FROM documents""",
 )
 def b1_repair_font(spark, sf_dir):
-    """Texts written in the broken font and repaired again."""
-    ascii_codes = range(0x20, 0x7F)
-    broken = F.translate("text", "".join(map(chr, ascii_codes)), "".join(chr(i - T.SHIFT) for i in ascii_codes))
-    rows = documents(spark, sf_dir).filter(F.contains("text", F.lit(" ")))
-    return rows.select("doc_id", F.md5(T.repair_span(broken).cast("binary")).alias("repaired_md5"))
+    """Texts written in the broken font and repaired again; those without a sign that becomes a
+    control character there can't be told from sound ones and stay broken."""
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.repair_span(F.translate("text", ASCII, SHIFTED)).cast("binary")).alias("repaired_md5"))
 
 
 @query(
@@ -158,7 +160,7 @@ def e7_sentence_length(spark, sf_dir):
     f"""WITH v AS (SELECT DISTINCT unnest({WORDS.format("lower(regexp_replace(text, '^[^' || chr(10) || ']*' || chr(10), ''))")}) AS word FROM benchmark),
     w AS (SELECT doc_id, unnest({WORDS.format('lower(' + NO_BANGLA.format('text') + ')')}) AS word FROM documents),
     c AS (SELECT doc_id, count(*) AS n_words, sum(CASE WHEN v.word IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_unknown, count(DISTINCT CASE WHEN v.word IS NULL THEN w.word END) AS unknown FROM w LEFT JOIN v ON v.word = w.word GROUP BY doc_id)
-    SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_unknown, 0) AS n_unknown, coalesce(unknown, 0)::INTEGER AS unknown, CASE WHEN n_words IS NULL THEN 1.0::DOUBLE ELSE 1 - n_unknown / n_words::DOUBLE END AS coverage FROM documents LEFT JOIN c USING (doc_id)""",
+    SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_unknown, 0) AS n_unknown, coalesce(unknown, 0)::INTEGER AS unknown, CASE WHEN n_words IS NULL THEN 1.0::DOUBLE ELSE round(1 - n_unknown / n_words::DOUBLE, 3) END AS coverage FROM documents LEFT JOIN c USING (doc_id)""",
 )
 def e9_coverage(spark, sf_dir):
     """Documents as answers against the vocabulary of the benchmark as a book."""
@@ -400,12 +402,12 @@ def h6_top_words(spark, sf_dir):
 def _calls(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     ordinal = F.col("conv_id") * 1000 + F.col("turn")
-    return rows.select(ordinal.alias("ordinal"), F.lit("v1").alias("prompt_version"), F.lit("m").alias("model"), F.col("role").alias("provider"), F.lit(None).cast("string").alias("system"), F.substring("text", 1, 12).alias("prompt"), F.lit(0.0).alias("temperature"), F.lit(None).cast("int").alias("max_tokens"))
+    return rows.select(ordinal.alias("ordinal"), F.lit("v1").alias("prompt_version"), F.lit("m").alias("model"), F.col("role").alias("provider"), F.lit(None).cast("string").alias("system"), F.col("text").alias("prompt"), F.lit(0.0).alias("temperature"), F.lit(None).cast("int").alias("max_tokens"))
 
 
 @query(
     "i3_cache_plan",
-    """WITH k AS (SELECT conv_id * 1000 + turn AS ordinal, sha256('{"max_tokens": null, "model": "m", "prompt": "' || replace(replace(replace(substr(text, 1, 12), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') || '", "prompt_version": "v1", "provider": "' || role || '", "system": null, "temperature": 0.0}') AS key FROM conversations)
+    """WITH k AS (SELECT conv_id * 1000 + turn AS ordinal, sha256('{"max_tokens": null, "model": "m", "prompt": "' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') || '", "prompt_version": "v1", "provider": "' || role || '", "system": null, "temperature": 0.0}') AS key FROM conversations)
     SELECT ordinal, key, row_number() OVER (PARTITION BY key ORDER BY ordinal) > 1 AS cached FROM k""",
 )
 def i3_cache_plan(spark, sf_dir):
@@ -452,3 +454,132 @@ def vocabulary_coverage(spark, sf_dir):
     known = table(spark, sf_dir, "benchmark").select(F.explode(T.words(F.lower("text"))).alias("word")).distinct().withColumn("known", F.lit(True))
     joined = words.join(known, "word", "left")
     return joined.groupBy("source").agg(F.sum("n").alias("words"), F.count("*").alias("vocabulary"), F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))).alias("unknown"))
+
+
+CALL_KEYS = """k AS (SELECT conv_id, conv_id * 1000 + turn AS ordinal, length(text) AS size, sha256('{"max_tokens": null, "model": "m", "prompt": "' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') || '", "prompt_version": "v1", "provider": "' || role || '", "system": null, "temperature": 0.0}') AS key FROM conversations),
+    o AS (SELECT DISTINCT key FROM k WHERE conv_id % 3 = 0), a AS (SELECT k.*, o.key IS NOT NULL OR row_number() OVER (PARTITION BY k.key ORDER BY ordinal) > 1 AS cached, o.key IS NOT NULL AS old FROM k LEFT JOIN o ON o.key = k.key)"""
+
+
+def _filled(spark, sf_dir):
+    """Messages as prompts to a cache that holds those of every third conversation."""
+    calls = answer_cache.keyed(_calls(spark, sf_dir))
+    held = calls.filter(F.floor(F.col("ordinal") / 1000) % 3 == 0).select("key", F.lit("old").alias("text"), F.lit(1).alias("prompt_tokens"), F.lit(0).alias("completion_tokens")).distinct()
+    made = answer_cache.to_call(calls, held).select("key", F.lit("new").alias("text"), F.length("prompt").alias("prompt_tokens"), F.lit(2).alias("completion_tokens"))
+    return answer_cache.answered(calls, held, made)
+
+
+@query("i2_filled_cache", f"WITH {CALL_KEYS} SELECT ordinal, cached, CASE WHEN old THEN 'old' ELSE 'new' END AS text, CASE WHEN old THEN 1 ELSE size END AS prompt_tokens FROM a")
+def i2_filled_cache(spark, sf_dir):
+    return _filled(spark, sf_dir).select("ordinal", "cached", "text", F.col("prompt_tokens").cast("long").alias("prompt_tokens"))
+
+
+@query("g10_cache_stats", f"WITH {CALL_KEYS} SELECT count(*) AS calls, count(*) FILTER (cached) AS hits, count(*) FILTER (NOT cached) AS misses, coalesce(sum(size + 2) FILTER (NOT cached), 0)::BIGINT AS tokens FROM a")
+def g10_cache_stats(spark, sf_dir):
+    return evaluation.cache_stats(_filled(spark, sf_dir))
+
+
+GRADE_2 = FK_SQL.removesuffix(", 6)") + ", 2)"
+GRADED = f"CASE WHEN len({TOKENS.format('t')}) >= 30 AND len({WORDS.format('t')}) > 0 AND {GRADE_2} BETWEEN -5 AND 25 THEN {GRADE_2} END"
+
+
+@query(
+    "g7_readability",
+    f"""WITH {RECORDS_SQL}, d AS (SELECT doc_id, text, {NO_BANGLA.format('text')} AS t FROM documents), f AS (SELECT doc_id, text, {GRADED} AS fk, {LENGTHS.format('text')} AS n FROM d),
+    a AS (SELECT r.*, fk, coalesce(list_max(n), 0) AS longest, CASE WHEN len(n) = 0 THEN 0 ELSE round(list_sum(n)::DOUBLE / len(n), 1) END AS mean_words FROM r JOIN f ON f.doc_id = k WHERE status = 'answered' AND length(text) > 0)
+    SELECT config, split, round(avg(fk), 6) AS fk, count(fk) AS fk_n, round(avg(longest), 6) AS longest, count(longest) AS longest_n, round(avg(mean_words), 6) AS mean_words, round(avg(k % 9 / 2.0::DOUBLE), 6) AS style_fk, round(avg(k % 30), 6) AS style_longest, round(avg(k % 10 / 10.0::DOUBLE), 6) AS style_coverage, count(*) AS style_n FROM a GROUP BY config, split""",
+)
+def g7_readability(spark, sf_dir):
+    """Readability of answered records and the means of their style reports, each with its n."""
+    rows = evaluation.run_metrics(records(spark, sf_dir)).filter("n_answered > 0")
+    names = {"fk": "fk", "longest": "max_sentence_words", "mean_words": "mean_sentence_words", "style_fk": "style_fk", "style_longest": "style_max_words", "style_coverage": "style_coverage"}
+    return rows.select("config", "split", *[F.round(c, 6).alias(n) for n, c in names.items()], "fk_n", F.col("max_sentence_words_n").alias("longest_n"), F.col("style_fk_n").alias("style_n"))
+
+
+BODY = "regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(ltrim(x), '#')), chr(10)), '^\\s+|\\s+$', '', 'g')"
+MARKS = "len(regexp_extract_all({0}, '[.!?।]'))"
+
+
+@query(
+    "h2_file_stats",
+    f"""WITH b AS (SELECT doc_id, {BODY} AS body FROM documents), d AS (SELECT doc_id, body, {LENGTHS.format('body')} AS l FROM b)
+    SELECT doc_id, len({WORDS.format('body')})::BIGINT AS words, len({SENTENCES.format('body')})::BIGINT AS sentences, CASE WHEN len({WORDS.format('body')}) = 0 THEN 0.0::DOUBLE ELSE round(100.0::DOUBLE * {MARKS.format('body')} / len({WORDS.format('body')}), 1) END AS punct_per_100w, len(l)::BIGINT AS measured, list_max(l)::INTEGER AS max_words FROM d WHERE len(l) > 0""",
+)
+def h2_file_stats(spark, sf_dir):
+    """Documents as transcripts, one file each."""
+    rows = transcripts.file_stats(documents(spark, sf_dir).select(F.col("doc_id").alias("file"), "text"))
+    return rows.select(F.col("file").alias("doc_id"), F.col("words").cast("long").alias("words"), F.col("sentences").cast("long").alias("sentences"), "punct_per_100w", "measured", "max_words")
+
+
+@query(
+    "h3_combined_stats",
+    f"""WITH b AS (SELECT {BODY} AS body FROM documents), d AS (SELECT body, {NO_BANGLA.format('body')} AS t FROM b), s AS (SELECT count(*) AS files, sum(len({WORDS.format('body')}))::BIGINT AS words, sum({MARKS.format('body')}) AS m, sum(len({WORDS.format('t')})) AS e, sum(len({SENTENCES.format('t')})) AS n, sum(coalesce({SYLLABLES.format('t')}, 0)) AS y FROM d)
+    SELECT files, words, round(100.0::DOUBLE * m / words, 1) AS punct_per_100w, round(0.39::DOUBLE * e / n + 11.8::DOUBLE * y / e - 15.59::DOUBLE, 2) AS fk_grade FROM s""",
+)
+def h3_combined_stats(spark, sf_dir):
+    return transcripts.combined_stats(documents(spark, sf_dir).select(F.col("doc_id").alias("file"), "text")).select("files", "words", "punct_per_100w", "fk_grade")
+
+
+@query("d8_open_sessions", "SELECT o_orderkey AS session_id, o_orderdate AS updated_at FROM orders WHERE o_custkey = 7 AND o_orderstatus <> 'F'")
+def d8_open_sessions(spark, sf_dir):
+    """Orders as sessions of their customers, finished ones as deleted."""
+    rows = table(spark, sf_dir, "orders")
+    sessions = rows.select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").cast("string").alias("user_id"), F.col("o_orderdate").alias("updated_at"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("deleted_at"))
+    return chat.open_sessions(sessions, "7").select("session_id", "updated_at")
+
+
+@query("d12_shown_text", f"SELECT doc_id, md5(CASE WHEN quality = 0 THEN '{chat.HIDDEN}' WHEN toxic = 1 THEN '{chat.HIDDEN}' ELSE text END) AS shown_md5 FROM documents JOIN labels USING (doc_id)")
+def d12_shown_text(spark, sf_dir):
+    """Labelled documents as answers: poor ones unverified, toxic ones of low confidence."""
+    rows = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    status = F.when(F.col("quality") == 0, "refused_unverified").when(F.col("toxic") == 1, "low_confidence").otherwise("answered")
+    return rows.select("doc_id", F.md5(chat.shown_text(status, F.col("text")).cast("binary")).alias("shown_md5"))
+
+
+@query("d13_support_summary", "SELECT l_orderkey AS message_id, count(*) FILTER (l_returnflag <> 'R')::INTEGER AS supported, count(*)::INTEGER AS total, round(100 * count(*) FILTER (l_returnflag <> 'R') / count(*)::DOUBLE)::INTEGER AS percent FROM lineitem GROUP BY 1")
+def d13_support_summary(spark, sf_dir):
+    """Orders as messages, their line items as sentences."""
+    verdicts = F.collect_list(F.struct((F.col("l_returnflag") != "R").alias("supported")))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("message_id")).agg(verdicts.alias("s"))
+    return rows.select("message_id", chat.support_summary(F.col("s")).alias("r")).select("message_id", "r.*")
+
+
+REFUSAL = " The passages provided do not contain enough information."
+
+
+@query("f7_self_refusal", f"SELECT doc_id, regexp_matches(CASE WHEN doc_id % 3 = 0 THEN text || '{REFUSAL}' ELSE text END, '(?i){T.SELF_REFUSAL}') AS refused FROM documents")
+def f7_self_refusal(spark, sf_dir):
+    """Texts, every third with a refusal at its end."""
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(REFUSAL))).otherwise(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", support.is_self_refusal(said).alias("refused"))
+
+
+@query(
+    "f8_early_routes",
+    """SELECT o_orderkey AS question_id, CASE WHEN o_orderkey % 4 = 0 THEN 'answered' WHEN o_totalprice / 500000 < 0.35 OR o_orderpriority = '1-URGENT' THEN 'refused_off_book' ELSE 'answered' END AS status FROM orders WHERE o_orderkey % 4 < 2 OR o_totalprice / 500000 < 0.35 OR o_orderpriority = '1-URGENT'""",
+)
+def f8_early_routes(spark, sf_dir):
+    """Questions whose way ends before any attempt is looked at."""
+    return support.route(*route_inputs(spark, sf_dir)).filter("style_attempts = 0 and used_attempt is null").filter("config in ('A', 'B') or status = 'refused_off_book'").select("question_id", "status")
+
+
+@query("j3_event_order", "WITH p AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 END AS place FROM events), l AS (SELECT *, lag(place) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM p) SELECT DISTINCT user_id AS request_id FROM l WHERE place < before OR place IS NULL")
+def j3_event_order(spark, sf_dir):
+    """Users as requests, their events as steps."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("at"), F.col("event_type").alias("step"))
+    return evaluation.event_order(rows, ("view", "click", "purchase"))
+
+
+@query("j2_reset_requests")
+def j2_reset_requests(spark, sf_dir):
+    """Errors as requests for a new password."""
+    rows = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    return live.reset_requests(rows.select(F.col("user_id").alias("key"), "ts"), window_s=WEEK)
+
+
+@query(
+    "e13_style_numbers",
+    f"""WITH s AS (SELECT conv_id, turn, array_to_string(list_filter({SENTENCES.format('text')}, lambda s: NOT ({SCAFFOLD})), ' ') AS body FROM conversations WHERE role = 'assistant'), d AS (SELECT *, {LENGTHS.format('body')} AS l FROM s)
+    SELECT conv_id || '/' || turn AS message_id, coalesce(list_max(l), 0)::INTEGER AS max_sentence_words, round(CASE WHEN len(l) = 0 THEN 0.0::DOUBLE ELSE list_sum(l)::DOUBLE / len(l) END, 6) AS mean_sentence_words FROM d""",
+)
+def e13_style_numbers(spark, sf_dir):
+    return e11_style_reports(spark, sf_dir).select("message_id", "max_sentence_words", F.round("mean_sentence_words", 6).alias("mean_sentence_words"))

@@ -54,6 +54,13 @@ def lockouts_stream(attempts: DataFrame, limit: int = SETTINGS.failures, window_
     return keyed.groupBy("key").applyInPandasWithState(run, DECISIONS, "times array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def reset_requests(requests: DataFrame, limit: int = SETTINGS.failures, window_s: int = SETTINGS.failure_window_s) -> DataFrame:
+    """Each request for a new password of requests(key, ts) with whether it met the limit.  Keys
+    are a space of their own, apart from those of sign-ins, and no success clears them."""
+    own = requests.select(F.concat(F.lit("reset:"), F.col("key").cast("string")).alias("key"), "ts", F.lit("failure").alias("outcome"))
+    return lockouts(own, limit, window_s).drop("outcome")
+
+
 def failures_in_window(attempts: DataFrame, window_s: int) -> DataFrame:
     """Failures of the key strictly within the window up to each failure, blocked or not."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))

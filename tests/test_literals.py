@@ -191,7 +191,7 @@ def test_transcripts(spark):
     got = transcripts.file_stats(rows).collect()
     assert [(r.file, r.words, r.sentences, r.max_words, r.p95_words, r.median_words) for r in got] == [("a", 5, 2, 3, 2, 2.5)]
     whole = transcripts.combined_stats(rows)
-    assert whole.first().punct_per_100w == 40.0 and transcripts.thresholds_table(whole).count() == 4
+    assert whole.first().punct_per_100w == 40.0 and transcripts.thresholds_table(whole).count() == 5
 
 
 def test_cache(spark):
