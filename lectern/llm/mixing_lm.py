@@ -7,7 +7,7 @@ tree and by how many contexts were seen before, mixes the predictions in the log
 a final table refines the result by the byte before.  A text ends with byte 255, which UTF-8 never
 has; it is coded like any other, so the probabilities of all texts add up to no more than one.
 
-Learning is online and spread over shards: training texts are dealt by their hash into shards of
+Learning is online and spread over shards: training texts are dealt by a hash of key and text into shards of
 about `shard_bytes`, in the order of the hash, so neither the partitions of the input nor the
 number of executors changes the model.  A task predicts each batch with what it has gathered so
 far, moves the weights along the gradient of the coding cost, then adds the batch to its
@@ -252,9 +252,9 @@ def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(training: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[Model, DataFrame]:
-    """The model and the token counts (part, n) of training(text)."""
+    """The model and the token counts (part, n) of training(id, text)."""
     size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = training.select("text", F.xxhash64("text").alias("h")).repartition(1 + size // shard_bytes, "h").sortWithinPartitions("h", "text")
+    dealt = training.select("text", F.xxhash64("id", "text").alias("h")).repartition(1 + size // shard_bytes, "h").sortWithinPartitions("h", "text")
     found = stored(dealt.select("text").mapInArrow(gather, PIECES), "gathered")
     counts = stored(found.filter("kind = 'token'").groupBy("part").agg(F.sum("n").alias("n")), "tokens")
     model, open_up = Model(), zstandard.ZstdDecompressor()
