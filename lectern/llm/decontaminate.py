@@ -71,16 +71,21 @@ def neighbours_of(block: Column, radius: int) -> Column:
 
 
 def similarity(shingles: Column, weights: Column, item_shingles: Column, item_weights: Column) -> Column:
-    """Weighted similarity of two bags of shingles."""
+    """Weighted similarity of two bags of shingles.  A shingle weighs the same in both, so the sum
+    of the larger weights is what both weigh less the sum of the smaller ones, to which only
+    shingles of the item add."""
 
-    def of(s: Column, bag: Column, w: Column) -> Column:
-        return F.aggregate(F.zip_with(bag, w, lambda x, y: F.when(x == s, y).otherwise(F.lit(0.0))), F.lit(0.0), lambda t, x: t + x)
+    def of(w: Column) -> Column:
+        return F.aggregate(w, F.lit(0.0), lambda t, x: t + x)
 
-    every = F.array_union(shingles, item_shingles)
-    both = F.transform(every, lambda s: F.struct(of(s, shingles, weights).alias("x"), of(s, item_shingles, item_weights).alias("y")))
-    less = F.aggregate(both, F.lit(0.0), lambda t, p: t + F.least(p.x, p.y))
-    more = F.aggregate(both, F.lit(0.0), lambda t, p: t + F.greatest(p.x, p.y))
-    return F.element_at(F.transform(F.array(F.struct(less.alias("x"), more.alias("y"))), lambda p: F.when(p.y > 0, p.x / p.y).otherwise(0.0)), 1)
+    def shared(p: Column) -> Column:
+        number = lambda bag: F.size(F.filter(bag, lambda x: x == p.s))
+        return p.w * F.least(number(shingles), number(item_shingles))
+
+    item = F.array_distinct(F.zip_with(item_shingles, item_weights, lambda s, w: F.struct(s.alias("s"), w.alias("w"))))
+    held = F.filter(item, lambda p: F.array_contains(shingles, p.s))
+    sums = F.array(F.struct(of(F.transform(held, shared)).alias("less"), (of(weights) + of(item_weights)).alias("both")))
+    return F.element_at(F.transform(sums, lambda p: F.when(p.both > p.less, F.round(p.less / (p.both - p.less), 12)).otherwise(0.0)), 1)
 
 
 def small(df: DataFrame, most: int = 16 << 20) -> DataFrame:
@@ -114,9 +119,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     named = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = named.select("id", words_of(F.col("text")).alias("words"))
     # one scan lays the shingles of every width
-    lists = [F.transform(shingles_of(F.col("words"), wide), lambda x, i: F.struct(i.alias("pos"), x.alias("s"))) for wide in widths]
-    lists = lists or [F.array().cast("array<struct<pos:int,s:bigint>>")]
-    each = rows.select("id", F.size("words").alias("size"), F.explode(F.concat(*lists)).alias("at")).select("id", "size", "at.*")
+    lists = F.map_from_arrays(F.array(*map(F.lit, widths)), F.array(*[shingles_of(F.col("words"), wide) for wide in widths])) if len(widths) > 1 else None
+    if not widths:
+        each = rows.select("id", F.lit(0).alias("size"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("s")).filter("false")
+    elif len(widths) == 1:
+        each = rows.select("id", F.size("words").alias("size"), F.posexplode(shingles_of(F.col("words"), widths[0])).alias("pos", "s"))
+    else:
+        each = rows.select("id", F.size("words").alias("size"), F.explode(lists).alias("wide", "list")).select("id", "size", F.posexplode("list").alias("pos", "s"))
     hits = stored(each.join(small(starts), "s"), "hits")
     # a document without enough of an item in all of it has no window with enough
     enough = F.col("weight") >= F.col("whole") * (least - 1e-9)
