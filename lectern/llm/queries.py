@@ -85,5 +85,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Whole texts by distinct sets; links between sets of like size by shared shingles.
+SQL = {
+    "op9_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+          SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (
+          SELECT r, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS shingles FROM w),
+        kinds AS (SELECT min(r) AS k, list_sort(shingles) AS sorted FROM s WHERE len(shingles) > 0 GROUP BY 2),
+        member AS (SELECT s.r, s.doc_id, len(shingles) AS n, k FROM s LEFT JOIN kinds ON list_sort(shingles) = sorted AND len(shingles) > 0),
+        part AS (SELECT k, len(sorted) AS n, unnest(sorted) AS shingle FROM kinds),
+        pairs AS (
+          SELECT a.k AS x, b.k AS y FROM part a JOIN part b ON a.shingle = b.shingle AND a.k < b.k AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+          GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+        reach AS (SELECT k AS x, k AS y FROM kinds UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+        lowest AS (SELECT k, min(doc_id) AS low FROM member GROUP BY k),
+        class AS (SELECT x AS k, min(low) AS component_id FROM reach JOIN lowest ON reach.y = lowest.k GROUP BY x)
+        SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM member LEFT JOIN class USING (k)
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL

@@ -2,10 +2,12 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
-from lectern.llm import decontaminate, id_codec, mixing, setjoin, token_files
+from lectern.llm import decontaminate, id_codec, mixing, queries, setjoin, token_files
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -52,6 +54,14 @@ def test_components_equal_brute_force(spark, width, per):
     assert got == brute_components(rows, width, per)
 
 
+def test_sql_of_the_set_join_equals_brute_force():
+    rows = edited(350, 3)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    found = con.execute(queries.oracle_sql()["op9_ngram_jaccard"]).fetchall()
+    assert {i: (n, c) for i, n, c in found} == brute_components(rows, 3, 90)
+
+
 def test_components_equal_brute_force_on_documents(spark, sf):
     """Sets of hundreds of shingles, with passages that many of them share."""
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").filter("length(text) < 4000")
