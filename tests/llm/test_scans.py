@@ -110,7 +110,7 @@ def test_pseudonyms(spark):
     assert out[3].text is None and out[4].text == "" and out[4].n_replaced == 0
     one = re.search(r"card (\d{16}), not 9807915762804490$", out[1].text)
     assert one and luhn(one[1]) and one[1] != "4845168114407329" and out[1].n_replaced == 3
-    assert re.match(r"call \+1 \(\d{3}\) \d{3}-\d{4} or mail u[0-9a-f]{12}@mail\.invalid;", out[1].text) and "017) 555" not in out[1].text
+    assert re.match(r"call \+1 \(\d{3}\) \d{3}-\d{4} or mail u[0-9a-f]{32}@mail\.invalid;", out[1].text) and "017) 555" not in out[1].text
     two = re.match(r"card (\d{4} \d{4} \d{4} \d{4}) at (\d+\.\d+\.\d+\.\d+) on (\d{4}-\d\d-\d\d) and (\d\d/\d\d/\d{4}), no 2023-02-30\.$", out[2].text)
     assert two and two[1].replace(" ", "") == one[1] and two[2] != "10.0.0.1" and two[3] != "2024-02-29"
     assert out[6].text == f"card {one[1]}"
