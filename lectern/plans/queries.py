@@ -426,7 +426,18 @@ def _attempts(spark, sf_dir):
     return rows.select(F.col("user_id").cast("string").alias("key"), "ts", F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "purchase", "success").otherwise("other").alias("outcome"), "event_id").filter("outcome <> 'other'")
 
 
-@query("j1_lockouts")
+def lockout_sql(key: str, types: str, columns: str) -> str:
+    """Attempts decided one after another by recursion, a list of failure times held."""
+    limit = live.SETTINGS.failures
+    return f"""WITH RECURSIVE a AS (SELECT {key} AS key, ts, epoch_us(ts) AS us, CASE event_type WHEN 'error' THEN 'failure' ELSE 'success' END AS outcome FROM events WHERE event_type IN ({types})),
+    o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us, outcome) AS n FROM a),
+    f AS (SELECT key, ts, outcome, n, false AS blocked, 0 AS recent, CASE outcome WHEN 'failure' THEN [us] ELSE [] END AS held FROM o WHERE n = 1
+      UNION ALL SELECT key, ts, outcome, n, len(l) >= {limit}, len(l)::INTEGER, CASE WHEN len(l) >= {limit} THEN l WHEN outcome = 'failure' THEN list_append(l, us) ELSE [] END
+      FROM (SELECT o.*, list_filter(f.held, lambda t: t > o.us - {WEEK}000000) AS l FROM f JOIN o ON o.key = f.key AND o.n = f.n + 1))
+    SELECT {columns} FROM f"""
+
+
+@query("j1_lockouts", lockout_sql("CAST(user_id AS VARCHAR)", "'error', 'purchase'", "key, ts, outcome, blocked, recent"))
 def j1_lockouts(spark, sf_dir):
     return live.lockouts(_attempts(spark, sf_dir), window_s=WEEK)
 
@@ -569,7 +580,7 @@ def j3_event_order(spark, sf_dir):
     return evaluation.event_order(rows, ("view", "click", "purchase"))
 
 
-@query("j2_reset_requests")
+@query("j2_reset_requests", lockout_sql("'reset:' || user_id", "'error'", "key, ts, blocked, recent"))
 def j2_reset_requests(spark, sf_dir):
     """Errors as requests for a new password."""
     rows = table(spark, sf_dir, "events").filter("event_type = 'error'")

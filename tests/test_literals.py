@@ -1,6 +1,7 @@
 """Operators on small literal inputs."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import hashlib
@@ -215,6 +216,25 @@ def test_lockouts(spark):
     assert got["k", t0 + timedelta(seconds=10)] and not got["k", t0 + timedelta(seconds=301)] and not got["o", t0 + timedelta(seconds=5)] and sum(got.values()) == 1
 
 
+def test_lockouts_in_runs_equal_one_fold(spark):
+    """Pauses about as long as the window, ties, a missing key and one key with most rows."""
+    rng = random.Random(3)
+    t0 = datetime(2026, 1, 1)
+    rows = []
+    for key, n in (("hot", 400), (None, 60), ("a", 60)):
+        at = 0
+        for _ in range(n):
+            at += rng.choice([0, 1, 20, 100, 299, 300, 301])
+            rows.append((key, t0 + timedelta(seconds=at), rng.choice(["failure"] * 6 + ["success"])))
+    want = []
+    for key in ("hot", None, "a"):
+        mine = sorted((r[1:] for r in rows if r[0] == key))
+        decided, _ = live.fold([(t.timestamp(), o) for t, o in mine], [], 5, 300)
+        want += [(key, *m, *d) for m, d in zip(mine, decided)]
+    got = live.lockouts(spark.createDataFrame([*rows, ("a", None, "failure")], "key string, ts timestamp, outcome string"), 5, 300).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and any(w[3] for w in want)
+
+
 def test_streams(spark, tmp_path):
     t0 = datetime(2026, 1, 1)
     rows = [("k", t0 + timedelta(seconds=i), "failure") for i in range(6)] + [("k", t0 + timedelta(days=1), "failure")]
