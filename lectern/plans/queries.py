@@ -325,7 +325,17 @@ def route_inputs(spark, sf_dir):
     return questions, attempts
 
 
-@query("f8_route")
+@query(
+    "f8_route",
+    f"""WITH RECURSIVE q AS (SELECT o_orderkey AS question_id, ['A', 'B', 'C', 'D'][o_orderkey % 4 + 1] AS config, o_totalprice / 500000 < {support.SETTINGS.off_book_below} OR o_orderpriority = '1-URGENT' AS off FROM orders),
+    e AS (SELECT *, CASE WHEN config = 'A' THEN 'answered' WHEN off THEN 'refused_off_book' WHEN config = 'B' THEN 'answered' END AS early FROM q),
+    t AS (SELECT l_orderkey AS k, l_linenumber AS attempt, l_returnflag <> 'R' AS styled, l_linestatus = 'O' AS verified, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag <> 'R', l_linestatus = 'O') AS n FROM lineitem),
+    f AS (SELECT question_id, config, 0::BIGINT AS n, 0 AS style, 0 AS verify, 0 AS used, NULL::VARCHAR AS status FROM e WHERE early IS NULL
+      UNION ALL SELECT question_id, config, n, style, verify, CAST(attempt AS INTEGER), CASE WHEN again THEN NULL WHEN config = 'C' OR verified THEN 'answered' WHEN verify > {support.SETTINGS.verify_retries} THEN 'refused_unverified' END
+      FROM (SELECT *, verify_before + CASE WHEN NOT again AND config = 'D' THEN 1 ELSE 0 END AS verify FROM (SELECT f.question_id, f.config, t.n, f.style + 1 AS style, f.verify AS verify_before, attempt, verified, NOT styled AND f.style + 1 <= {support.SETTINGS.style_retries} AS again FROM f JOIN t ON t.k = f.question_id AND t.n = f.n + 1 WHERE f.status IS NULL))),
+    l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY n DESC) = 1)
+    SELECT e.question_id, e.config, coalesce(early, status) AS status, CASE WHEN early IS NULL THEN used END AS used_attempt, CASE WHEN early IS NULL THEN style ELSE 0 END AS style_attempts, CASE WHEN early IS NULL THEN verify ELSE 0 END AS verify_attempts FROM e LEFT JOIN l ON l.question_id = e.question_id""",
+)
 def f8_route(spark, sf_dir):
     return support.route(*route_inputs(spark, sf_dir))
 
