@@ -39,12 +39,12 @@ def coverage(answers: DataFrame, vocab: DataFrame) -> DataFrame:
     return out.select("message_id", "n_words", "n_unknown", F.when(F.col("n_words") > 0, F.round(1 - F.col("n_unknown") / F.col("n_words"), 3)).otherwise(1.0).alias("coverage"), F.transform("m", lambda x: x.word).alias("unknown"))
 
 
-def failures(longest: Column, covered: Column, grade: Column, limits: Settings = SETTINGS) -> Column:
+def failures(longest: Column, covered: Column, unknown: Column, grade: Column, limits: Settings = SETTINGS) -> Column:
     """What is wrong, in words; an unknown grade passes."""
     return F.array_compact(
         F.array(
             F.when(longest > limits.most_sentence_words, F.format_string("a sentence has %d words, at most %d are allowed", longest.cast("int"), F.lit(limits.most_sentence_words))),
-            F.when(covered < limits.least_coverage, F.format_string("only %.1f%% of the words are in the book", covered * 100)),
+            F.when(covered < limits.least_coverage, F.format_string("only %.1f%% of the words are in the book, not: %s", covered * 100, F.array_join(unknown, ", "))),
             F.when(grade > limits.most_grade, F.format_string("reading grade %.2f is above %.2f", grade, F.lit(limits.most_grade))),
         )
     )
@@ -56,7 +56,7 @@ def style_reports(answers: DataFrame, vocab: DataFrame, verdicts: DataFrame | No
     content = answers.withColumn("answer", F.array_join(T.content_sentences(F.col("answer"), echo), " "))
     rows = content.join(coverage(content, vocab), "message_id")
     rows = rows.select("message_id", T.max_sentence_words(F.col("answer")).alias("max_sentence_words"), T.mean_sentence_words(F.col("answer")).alias("mean_sentence_words"), T.reading_grade(F.col("answer")).alias("fk_grade"), "coverage", "unknown")
-    rows = rows.withColumn("failures", failures(F.col("max_sentence_words"), F.col("coverage"), F.col("fk_grade"), limits))
+    rows = rows.withColumn("failures", failures(F.col("max_sentence_words"), F.col("coverage"), F.col("unknown"), F.col("fk_grade"), limits))
     if verdicts is None:
         return rows.withColumn("judge_ran", F.lit(False)).withColumn("judge_suitable", F.lit(None).cast("boolean")).withColumn("passed", F.size("failures") == 0)
     judged = rows.join(verdicts.select("message_id", T.parsed_verdict(F.col("text"), VERDICT).alias("v")), "message_id", "left")

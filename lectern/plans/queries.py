@@ -183,16 +183,6 @@ def e10_reading_grade(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.reading_grade(F.col("text"), 6).alias("fk"))
 
 
-@query("e11_style_reports")
-def e11_style_reports(spark, sf_dir):
-    """Assistant messages of all conversations, checked against the words users wrote."""
-    rows = table(spark, sf_dir, "conversations")
-    book = rows.filter("role = 'user'").select(F.lit("b").alias("book_id"), "text")
-    none = spark.createDataFrame([], "grade int, teacher_answer string, provenance string")
-    answers = rows.filter("role = 'assistant'").select(F.concat_ws("/", "conv_id", "turn").alias("message_id"), F.lit("b").alias("book_id"), F.col("text").alias("answer"))
-    return style.style_reports(answers, style.vocabulary(book, none, 5)).withColumn("failures", F.array_join("failures", "; ")).withColumn("unknown", F.size("unknown"))
-
-
 def _vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.lit("b").alias("book_id"), F.col("vec_id"), "embedding", "label")
     return rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "book_id", "embedding"), rows.select("book_id", F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").cast("string").alias("lesson_id"))
@@ -597,6 +587,27 @@ def j2_reset_requests(spark, sf_dir):
     return live.reset_requests(rows.select(F.col("user_id").alias("key"), "ts"), window_s=WEEK)
 
 
+@query(
+    "e11_style_reports",
+    f"""WITH v AS (SELECT DISTINCT unnest({WORDS.format("lower(regexp_replace(text, '^[^' || chr(10) || ']*' || chr(10), ''))")}) AS word FROM conversations WHERE role = 'user'),
+    s AS (SELECT conv_id || '/' || turn AS message_id, array_to_string(list_filter({SENTENCES.format('text')}, lambda s: NOT ({SCAFFOLD})), ' ') AS body FROM conversations WHERE role = 'assistant'),
+    d AS (SELECT message_id, {NO_BANGLA.format('body')} AS t, {LENGTHS.format('body')} AS l FROM s), f AS (SELECT message_id, t, {GRADED} AS fk_grade, coalesce(list_max(l), 0)::INTEGER AS longest, CASE WHEN len(l) = 0 THEN 0.0::DOUBLE ELSE list_sum(l)::DOUBLE / len(l) END AS mean FROM d),
+    w AS (SELECT message_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (SELECT message_id, {WORDS.format('lower(t)')} AS t FROM d)),
+    e AS (SELECT message_id, w.word, count(*) AS n, min(pos) AS pos, bool_or(v.word IS NOT NULL) AS known FROM w LEFT JOIN v ON v.word = w.word GROUP BY message_id, w.word),
+    c AS (SELECT message_id, round(1 - coalesce(sum(n) FILTER (NOT known), 0) / sum(n)::DOUBLE, 3) AS coverage, count(*) FILTER (NOT known)::INTEGER AS unknown, string_agg(word, ', ' ORDER BY pos) FILTER (NOT known) AS listed FROM e GROUP BY message_id),
+    r AS (SELECT f.message_id, longest, mean, fk_grade, coalesce(coverage, 1.0::DOUBLE) AS coverage, coalesce(unknown, 0) AS unknown, listed FROM f LEFT JOIN c ON c.message_id = f.message_id),
+    m AS (SELECT *, concat_ws('; ', CASE WHEN longest > 14 THEN 'a sentence has ' || longest || ' words, at most 14 are allowed' END, CASE WHEN coverage < 0.9 THEN printf('only %.1f%% of the words are in the book, not: %s', coverage * 100, listed) END, CASE WHEN fk_grade > 4.5 THEN printf('reading grade %.2f is above 4.50', fk_grade) END) AS failures FROM r)
+    SELECT message_id, longest AS max_sentence_words, mean AS mean_sentence_words, fk_grade, coverage, unknown, failures, false AS judge_ran, CAST(NULL AS BOOLEAN) AS judge_suitable, failures = '' AS passed FROM m""",
+)
+def e11_style_reports(spark, sf_dir):
+    """Assistant messages of all conversations, checked against the words users wrote."""
+    rows = table(spark, sf_dir, "conversations")
+    book = rows.filter("role = 'user'").select(F.lit("b").alias("book_id"), "text")
+    none = spark.createDataFrame([], "grade int, teacher_answer string, provenance string")
+    answers = rows.filter("role = 'assistant'").select(F.concat_ws("/", "conv_id", "turn").alias("message_id"), F.lit("b").alias("book_id"), F.col("text").alias("answer"))
+    return style.style_reports(answers, style.vocabulary(book, none, 5)).withColumn("failures", F.array_join("failures", "; ")).withColumn("unknown", F.size("unknown"))
+
+
 @query(
     "e13_style_numbers",
     f"""WITH s AS (SELECT conv_id, turn, array_to_string(list_filter({SENTENCES.format('text')}, lambda s: NOT ({SCAFFOLD})), ' ') AS body FROM conversations WHERE role = 'assistant'), d AS (SELECT *, {LENGTHS.format('body')} AS l FROM s)
