@@ -158,7 +158,9 @@ def reading_grade(c: Column, digits: int = 2) -> Column:
 
 def grade_of(n_tokens: Column, n: Column, count: Column, n_syllables: Column, digits: int = 2) -> Column:
     """The grade from counts of tokens, words, sentences and syllables."""
-    score = F.round(0.39 * n / F.greatest(F.lit(1), count) + 11.8 * n_syllables / F.greatest(F.lit(1), n) - 15.59, digits)
+    score = 0.39 * (n / F.greatest(F.lit(1), count)) + 11.8 * (n_syllables / F.greatest(F.lit(1), n)) - 15.59
+    # by the double itself: F.round goes by its shortest decimal form and lifts 9.825 (a bit less)
+    score = F.floor(score * float(10**digits) + 0.5) / float(10**digits)
     return F.when((n_tokens >= 30) & (n > 0) & score.between(-5, 25), score)
 
 

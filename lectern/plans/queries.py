@@ -64,16 +64,15 @@ def b12_chunks(spark, sf_dir):
 
 @query(
     "b14_corpus_profile",
-    f"""WITH d AS (SELECT source, {TOKENS.format('text')} AS t FROM documents),
-    p AS (SELECT source, t, unnest(range(0, CASE WHEN len(t) = 0 THEN 0 WHEN len(t) <= 600 THEN 1 ELSE 1 + CAST(ceil((len(t) - 600) / 550.0) AS BIGINT) END)) AS piece FROM d)
-    SELECT source, count(*) AS chunks, min(len(t[piece * 550 + 1 : piece * 550 + 600])) AS least_words, max(len(t[piece * 550 + 1 : piece * 550 + 600])) AS most_words FROM p GROUP BY ROLLUP (source)""",
+    f"""WITH d AS (SELECT source, doc_id, {TOKENS.format('text')} AS t FROM documents),
+    p AS (SELECT source, doc_id, 'passage' AS kind, t, unnest(range(0, CASE WHEN len(t) = 0 THEN 0 WHEN len(t) <= 600 THEN 1 ELSE 1 + CAST(ceil((len(t) - 600) / 550.0) AS BIGINT) END)) AS piece FROM d)
+    SELECT source, doc_id, kind, count(*) AS chunks, min(len(t[piece * 550 + 1 : piece * 550 + 600])) AS least_words, max(len(t[piece * 550 + 1 : piece * 550 + 600])) AS most_words FROM p GROUP BY ROLLUP (source, doc_id, kind)""",
 )
 def b14_corpus_profile(spark, sf_dir):
     """Documents as one-stage units of books (their sources), through chunks to the profile."""
     units = documents(spark, sf_dir).select(F.col("source").alias("book_id"), F.col("doc_id").alias("unit_no"), F.lit("Unit").alias("title"), F.lit(1).alias("first_page"), F.lit(1).alias("stage_no"), F.lit("passage").alias("type"), "text")
     profile = corpus.chunk_profile(corpus.chunks(units))
-    kept = profile.filter("unit is null and type is null")
-    return kept.select(F.col("book_id").alias("source"), "chunks", F.col("least_words").cast("long").alias("least_words"), F.col("most_words").cast("long").alias("most_words"))
+    return profile.select(F.col("book_id").alias("source"), F.col("unit").alias("doc_id"), F.col("type").alias("kind"), "chunks", F.col("least_words").cast("long").alias("least_words"), F.col("most_words").cast("long").alias("most_words"))
 
 
 @query(
@@ -171,7 +170,7 @@ def e9_coverage(spark, sf_dir):
     return style.coverage(answers, vocab).select(F.col("message_id").alias("doc_id"), "n_words", "n_unknown", F.size("unknown").alias("unknown"), "coverage")
 
 
-FK_SQL = f"""round(0.39::DOUBLE * len({WORDS.format('t')})::DOUBLE / greatest(1, len({SENTENCES.format('t')})) + 11.8::DOUBLE * {SYLLABLES.format('t')} / len({WORDS.format('t')})::DOUBLE - 15.59::DOUBLE, 6)"""
+FK_SQL = f"""round(0.39::DOUBLE * (len({WORDS.format('t')})::DOUBLE / greatest(1, len({SENTENCES.format('t')}))) + 11.8::DOUBLE * ({SYLLABLES.format('t')} / len({WORDS.format('t')})::DOUBLE) - 15.59::DOUBLE, 6)"""
 
 
 @query(
@@ -524,7 +523,7 @@ def h2_file_stats(spark, sf_dir):
 @query(
     "h3_combined_stats",
     f"""WITH b AS (SELECT {BODY} AS body FROM documents), d AS (SELECT body, {NO_BANGLA.format('body')} AS t FROM b), s AS (SELECT count(*) AS files, sum(len({WORDS.format('body')}))::BIGINT AS words, sum({MARKS.format('body')}) AS m, sum(len({WORDS.format('t')})) AS e, sum(len({SENTENCES.format('t')})) AS n, sum(coalesce({SYLLABLES.format('t')}, 0)) AS y FROM d)
-    SELECT files, words, round(100.0::DOUBLE * m / words, 1) AS punct_per_100w, round(0.39::DOUBLE * e / n + 11.8::DOUBLE * y / e - 15.59::DOUBLE, 2) AS fk_grade FROM s""",
+    SELECT files, words, round(100.0::DOUBLE * m / words, 1) AS punct_per_100w, round(0.39::DOUBLE * (e / n) + 11.8::DOUBLE * (y / e) - 15.59::DOUBLE, 2) AS fk_grade FROM s""",
 )
 def h3_combined_stats(spark, sf_dir):
     return transcripts.combined_stats(documents(spark, sf_dir).select(F.col("doc_id").alias("file"), "text")).select("files", "words", "punct_per_100w", "fk_grade")
