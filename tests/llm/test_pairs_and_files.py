@@ -197,3 +197,30 @@ def test_mixture(spark, sf):
     few = spark.createDataFrame([(1, None), (2, ""), (2, "a b")], "doc_id long, text string")
     assert mixing.fit_mixture(few, labels.limit(0)).count() == 3
     assert mixing.fit_mixture(few.limit(0), labels).count() == 0
+
+
+def test_rates_equal_projected_gradient(spark, sf):
+    """The fitted rates against the same descent in numpy, from the posteriors returned."""
+    docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    mix = mixing.Mix(targets={"good": 0.6, "poor": 0.3, "toxic": 0.1})
+    rows = mixing.fit_mixture(docs, labels, mix=mix).toPandas()
+    p, tokens = rows[["p_good", "p_poor", "p_toxic"]].to_numpy(), rows.n_tokens.to_numpy(float)
+    wanted = np.array([0.6, 0.3, 0.1]) * tokens.sum()
+    rate, size = np.ones(len(rows)), (p * tokens[:, None]).sum(axis=0)
+    for _ in range(mix.steps):
+        now = (p * (rate * tokens)[:, None]).sum(axis=0)
+        if np.abs(now - wanted).sum() <= mix.close * tokens.sum():
+            break
+        rate = np.maximum(0, rate - p @ ((now - wanted) / size))
+    assert np.allclose(rows.rate, rate, rtol=1e-6, atol=1e-9) and rate.std() > 0.05
+    assert ((rows.copies - rows.rate).abs() < 1).all()
+
+
+def test_held_out_domains(spark, sf):
+    """Posteriors of labelled documents that the classifier was not fitted on."""
+    docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.withColumn("label", mixing.domain_of()).filter("label is not null")
+    rows = mixing.fit_mixture(docs, labels.filter("doc_id % 4 <> 1")).join(known.filter("doc_id % 4 = 1").select("doc_id", "label"), "doc_id").toPandas()
+    found = rows[["p_good", "p_poor", "p_toxic"]].to_numpy().argmax(axis=1)
+    common = rows.label.value_counts(normalize=True).max()
+    assert len(rows) > 100 and (found == rows.label).mean() > max(0.85, common)

@@ -167,3 +167,27 @@ def test_phone_spellings_stay_linked(spark):
     rows = [(0, "+1 017 555 7713"), (1, "+1-017-555-7713"), (2, "+10175557713"), (3, "+44 20 7946 0958"), (4, "+442079460958"), (5, "(017) 555-7713")]
     got = {r.doc_id: re.sub(r"\D", "", r.text) for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), secret="k").collect()}
     assert got[0] == got[1] == got[2] != "10175557713" and got[3] == got[4] and got[3].startswith("44") and got[0] == "1" + got[5]
+
+
+def test_secret_query_equals_brute_force(spark, sf):
+    """Counts and hash of the base kinds over whole documents; their spans stay among all."""
+    import hashlib
+
+    from lectern.llm import queries
+
+    sf = sf.replace("0.001", "0.01")
+    rules = [
+        ("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+        ("access", r"(AKIA[A-Z0-9]+)", 20),
+        ("hex", r"([0-9a-f]+)", 24),
+    ]
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = 0
+    for r in queries.op2_secret_scan(spark, sf).collect():
+        spans = [(m.start(), place, m.end(), kind) for place, (kind, rule, least) in enumerate(rules) for m in re.finditer(rule, texts[r.doc_id]) if len(m[1]) >= least]
+        listed = [f"{kind}:{start}:{end}" for start, _, end, kind in sorted(spans)]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3))
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(r.spans.split(",")) | {""}
+        found += len(spans)
+    assert found > 0

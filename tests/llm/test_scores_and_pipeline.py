@@ -90,6 +90,28 @@ def test_quality_measures_chunks_to_the_end(spark):
     assert got[5].best_chunk == len(last) / len(zstandard.ZstdCompressor(level=3).compress(last))
 
 
+BANDS = [(65536, 1.6, 3.5), (8192, 1.5, 2.9), (1024, 1.3, 2.6), (256, 1.1, 2.6), (0, 0.9, 3.0)]
+
+
+def test_quality_query_equals_brute_force(spark, sf):
+    """The whole query, verdict and ratios included."""
+    sf = sf.replace("0.001", "0.01")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    size = lambda raw: len(zstandard.ZstdCompressor(level=3).compress(raw))
+    verdicts = Counter()
+    for r in queries.op6_quality_rules(spark, sf).collect():
+        raw, stats = texts[r.doc_id].encode(), brute_quality(texts[r.doc_id])
+        failed = stats[0] < 20 or 100 * stats[4] > 30 * stats[0]
+        ratio = len(raw) / size(raw) if raw else 0.0
+        starts = [*range(0, len(raw) - 4096, 4096), len(raw) - 4096] if len(raw) > 4096 else []
+        bad = sum(not 1.3 <= 4096 / size(raw[i : i + 4096]) <= 2.8 for i in starts)
+        low, high = next(b[1:] for b in BANDS if len(raw) >= b[0])
+        kept = not failed and low <= ratio <= high and bad <= 0.3 * len(starts)
+        assert tuple(r) == (r.doc_id, *stats, failed, kept, ratio, bad)
+        verdicts[failed, kept] += 1
+    assert sum(verdicts.values()) == len(texts) and verdicts[False, True] > 0
+
+
 def test_every_query_has_rows(spark, sf):
     for name, f in queries.queries().items():
         assert not f(spark, sf).isEmpty(), name
