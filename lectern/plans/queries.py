@@ -6,48 +6,14 @@ query derives it from whole tables and both sides derive it alike.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answer_cache, chat, corpus, evaluation, retrieval, style, support, transcripts
 from ..streaming import live
+from .registry import ASCII, LENGTHS, NO_BANGLA, QUERIES, SENTENCES, SHIFTED, SQL, TOKENS, WORDS, query, table, documents
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-
-
-#: Printable ASCII, and the same in the broken font.
-ASCII = "".join(map(chr, range(0x20, 0x7F)))
-SHIFTED = "".join(chr(ord(c) - T.SHIFT) for c in ASCII)
-
-# SQL of the text rules, for regular expressions without lookbehind
-WORDS = "regexp_extract_all({0}, '[A-Za-zঀ-৿'']+')"
-TOKENS = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')"
-SENTENCES = """list_filter(list_transform(string_split(regexp_replace({0}, '([.!?।]["”’'']?)\\s+', '\\1␞', 'g'), '␞'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"""
-LENGTHS = f"list_filter(list_transform({SENTENCES}, lambda s: len({WORDS.format('s')})), lambda n: n > 0)"
-NO_BANGLA = "regexp_replace({0}, '[ঀ-৿]+', ' ', 'g')"
 SYLLABLES = f"list_sum(list_transform({WORDS.format('lower({0})')}, lambda w: greatest(1, len(regexp_extract_all(regexp_replace(w, '([^aeiouy])e$', '\\1'), '[aeiouy]+')))))"
 
 
@@ -614,3 +580,6 @@ def e11_style_reports(spark, sf_dir):
 )
 def e13_style_numbers(spark, sf_dir):
     return e11_style_reports(spark, sf_dir).select("message_id", "max_sentence_words", F.round("mean_sentence_words", 6).alias("mean_sentence_words"))
+
+
+from . import books  # noqa: E402,F401  registers its queries

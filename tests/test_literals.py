@@ -46,12 +46,12 @@ def test_book(spark):
     lines = {1: ["Contents", "Unit 1", "At Home", "1", "Unit 2", "At School", "2"], 2: ["1.1 Hello there", "Mum cooks.", "1", "Unit", "1"], 3: ["1.1 School", "We read.", "2", "Unit", "2", "At School"]}
     spans = [("b", p, 0, i, 0, 0, t) for p, rows in lines.items() for i, t in enumerate(rows)] + [("b", 2, 0, 0, 1, 0, "!"), ("b", 2, 9, 0, 0, 1, "image")]
     df = spark.createDataFrame(spans, "book_id string, page_no int, block_no int, line_no int, span_no int, block_type int, text string")
-    pages = corpus.assemble_pages(df)
-    units = corpus.contents(pages)
-    assert [(r.unit_no, r.title, r.printed_page, r.error) for r in units.orderBy("unit_no").collect()] == [(1, "At Home", 1, None), (2, "At School", 2, None)]
-    ranges = corpus.page_ranges(units, pages)
-    assert [(r.first_page, r.last_page) for r in ranges.orderBy("unit_no").collect()] == [(2, 2), (3, 3)]
-    assert corpus.misplaced_pages(ranges, pages).count() == 0
+    assert {r.page_no: r.text.split("\n")[0] for r in corpus.assemble_pages(df).collect()} == {1: "Contents", 2: "1.1 Hello there!", 3: "1.1 School"}
+    read = corpus.parsed_contents(corpus.page_lines(df)).collect()
+    assert [(r.error, [tuple(u) for u in r.units]) for r in read] == [(None, [(1, "At Home", 1, 0), (2, "At School", 2, 1)])]
+    build = corpus.build_books(df)
+    assert [(r.first_page, r.last_page) for r in build.ranges.orderBy("unit_no").collect()] == [(2, 2), (3, 3)]
+    assert build.faults.count() == 0
     got = {(r.lesson_id, r.page, r.type): r.text for r in corpus.build_chunks(df).collect()}
     assert got == {("u1-s1", 2, "passage"): "Unit 1, Lesson 1: At Home\n1.1 Hello there! Mum cooks.", ("u2-s1", 3, "passage"): "Unit 2, Lesson 1: At School\n1.1 School We read."}
     assert [(r.chunk_count, r.status) for r in corpus.book_status(corpus.build_chunks(df), spark.createDataFrame([("b",), ("c",)], "book_id string")).orderBy("book_id").collect()] == [(2, "ready"), (0, "failed")]
