@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import discard, new_path, stored
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ class Search:
 
 
 def terms(text: str | None) -> list[str]:
-    return TERM.findall(text.translate(LOWER)) if text else []
+    return TERM.findall(text.encode().translate(LOWER).decode()) if text else []
 
 
 def term_weight(n: int, df: int) -> int:

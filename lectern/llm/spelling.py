@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import checked, discard, new_path, stored, text_column
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Distinct words that a task counts before it sends its sums on.
 HELD_WORDS = 200_000
 
@@ -46,9 +46,10 @@ class Variants:
     states: int = 200_000
 
 
-def mutated(key: str, run: str, every: int) -> str:
-    """The run, less one letter where the hash of key and run is a multiple of `every`."""
-    h = zlib.crc32(f"{key}:{run}".encode())
+def mutated(begun: int, run: str, every: int) -> str:
+    """The run, less one letter where the checksum of key, colon and run is a multiple of
+    `every`; begun is the checksum up to the colon."""
+    h = zlib.crc32(run.encode(), begun)
     return run if h % every else run[: h % len(run)] + run[h % len(run) + 1 :]
 
 
@@ -70,9 +71,9 @@ def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", every:
                 value = batch.column(1)[at].as_py()
                 if not value:
                     continue
-                own = batch.column(0)[at].as_py() or ""
-                for word, n in Counter(RUN.findall(value.translate(LOWER))).items():
-                    word = mutated(own, word, every)
+                begun = zlib.crc32(f"{batch.column(0)[at].as_py() or ''}:".encode())
+                for word, n in Counter(RUN.findall(value.encode().translate(LOWER).decode())).items():
+                    word = mutated(begun, word, every)
                     if len(word) >= rule.letters:
                         held[word] += n
                 if len(held) >= HELD_WORDS:

@@ -132,7 +132,9 @@ def plain_forms(rows, every=97):
     counts = Counter()
     for key, text in rows:
         for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
-            counts[spelling.mutated("" if key is None else str(key), run.translate(A_TO_Z), every)] += 1
+            run = run.translate(A_TO_Z)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            counts[run if h % every else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
     words = {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
     form = {}
     out = {}
