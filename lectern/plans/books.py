@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import settled, work_path
 from ..operators import corpus
+from ..sources import chunk_store
 from .registry import ASCII, SHIFTED, TOKENS, documents, query
 
 #: Documents of a book, lines of a page, lines from one numbered activity to the next.
@@ -91,3 +93,25 @@ def b14_build_chunks(spark, sf_dir):
     """Spans of all books to chunks, by whole texts."""
     chunks = corpus.build_books(spans(spark, sf_dir)).chunks
     return chunks.select("chunk_id", "book_id", "lesson_id", "unit", "lesson_no", "lesson_title", "page", "type", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(
+    "a7_chunk_store",
+    f"""WITH {UNIT_SQL}, b AS (SELECT book, max(unit) AS units, max(kind) AS kind FROM u GROUP BY book),
+    r AS (SELECT book, unit, unnest(range(len(l))) AS i, unnest(l) AS line FROM u),
+    m AS (SELECT *, sum(CASE WHEN i % {ACTIVITY} = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY book, unit ORDER BY i) AS slot FROM r WHERE regexp_matches(line, '\\S')),
+    s AS (SELECT book, unit, slot, len({TOKENS.format("string_agg(CASE WHEN i % 7 = 0 THEN '0.0 ' || line ELSE line END, ' ')")}) AS n FROM m GROUP BY ALL),
+    c AS (SELECT book, sum(CASE WHEN n <= 600 THEN 1 ELSE 1 + CAST(ceil((n - 600) / 550.0) AS BIGINT) END)::BIGINT AS n FROM s GROUP BY book)
+    SELECT book::VARCHAR AS book_id, CASE WHEN kind IN (0, 1) OR kind = {WRONG_FOOTER} AND units < 2 THEN 'ready' ELSE 'failed' END AS status, CASE WHEN kind IN (0, 1) OR kind = {WRONG_FOOTER} AND units < 2 THEN c.n ELSE 0 END AS chunk_count,
+    CASE WHEN kind IN (0, 1) OR kind = {WRONG_FOOTER} AND units < 2 THEN c.n ELSE 0 END AS chunks_read, 2::BIGINT AS version FROM b LEFT JOIN c USING (book)""",
+)
+def a7_chunk_store(spark, sf_dir):
+    """All books published twice, the second time with their chunks in other batches; status and
+    counts as recorded, and chunks as read back, of the latest version."""
+    build = corpus.build_books(spans(spark, sf_dir))
+    made, path = settled(build.chunks), work_path(spark, "store")
+    chunk_store.publish(made.withColumn("text", F.lit("old")), build.faults, path)
+    version = chunk_store.publish(made, build.faults, path)
+    read = chunk_store.chunks(spark, path).filter("text <> 'old'").groupBy("book_id").agg(F.count("*").alias("n"))
+    state = chunk_store.books(spark, path)
+    return state.join(read, "book_id", "left").select("book_id", "status", "chunk_count", F.coalesce("n", F.lit(0)).alias("chunks_read"), F.lit(version).cast("long").alias("version"))

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answer_cache, chat, corpus, evaluation, retrieval, style, support, transcripts
+from ..functions.tables import work_path
+from ..operators import answer_cache, chat, corpus, evaluation, fusion, retrieval, style, support, transcripts
+from ..sources import files
 from ..streaming import live
 from .registry import ASCII, LENGTHS, NO_BANGLA, QUERIES, SENTENCES, SHIFTED, SQL, TOKENS, WORDS, query, table, documents
 
@@ -172,9 +174,9 @@ def c8_hybrid_search(spark, sf_dir):
     questions, chunks = _vectors(spark, sf_dir)
     words = documents(spark, sf_dir).join(chunks.select(F.col("chunk_id").alias("doc_id")), "doc_id").select("doc_id", F.explode(T.words(F.lower("text"))).alias("token"))
     weights = words.groupBy(F.lit("b").alias("book_id"), F.col("doc_id").alias("chunk_id"), "token").agg(F.count("*").alias("weight"))
-    asked = weights.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
-    rows = retrieval.search(questions, chunks, asked, weights)
-    return rows.select("query_id", "chunk_id", "rank", "dense", "sparse", "dense_rank", "sparse_rank", "best_score", "refused")
+    maps = weights.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("token", F.col("weight").cast("double")))).alias("sparse"))
+    rows = fusion.fused_search(questions.join(maps.withColumnRenamed("chunk_id", "query_id"), "query_id", "left"), chunks.join(maps, "chunk_id", "left"))
+    return rows.select("query_id", "chunk_id", "rank", "dense", "sparse", F.col("dense_rank").cast("int").alias("dense_rank"), F.col("sparse_rank").cast("int").alias("sparse_rank"), "best_score", "refused")
 
 
 @query(
@@ -582,4 +584,31 @@ def e13_style_numbers(spark, sf_dir):
     return e11_style_reports(spark, sf_dir).select("message_id", "max_sentence_words", F.round("mean_sentence_words", 6).alias("mean_sentence_words"))
 
 
+RUNS_SQL = "('run-' || doc_id % 7)"
+
+
+@query(
+    "a2_run_logs",
+    f"""SELECT {RUNS_SQL} AS run_id, 'record' AS kind, doc_id::BIGINT AS ordinal, md5(coalesce(text, '')) AS text_md5, CASE WHEN toxic = 1 THEN 'refused_off_book' END AS status, quality::DOUBLE AS best_score FROM documents LEFT JOIN labels USING (doc_id)
+    UNION ALL SELECT DISTINCT {RUNS_SQL}, 'manifest', -1, md5('Größe ' || doc_id % 7), NULL, (doc_id % 7) / 10.0::DOUBLE FROM documents
+    UNION ALL SELECT 'bad', 'bad', NULL, md5(v), NULL, NULL FROM (VALUES ('not json'), ('[1]'), ('{{"id": 1,')) t(v)""",
+)
+def a2_run_logs(spark, sf_dir):
+    """Records of seven runs over all documents and their manifests, written as logs and read
+    again; a log with bad lines beside them."""
+    run = F.concat(F.lit("run-"), (F.col("doc_id") % 7).cast("string"))
+    docs = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("run_id", run)
+    rows = docs.select("run_id", F.col("doc_id").alias("ordinal"), F.coalesce("text", F.lit("")).alias("answer"), F.when(F.col("toxic") == 1, "refused_off_book").alias("status"), F.col("quality").cast("double").alias("best_score"))
+    k = F.substr("run_id", F.lit(5)).cast("int")
+    manifests = docs.select("run_id").distinct().select("run_id", F.concat(F.lit("Größe "), k.cast("string")).alias("config_version"), F.struct(F.lit("v1").alias("stage1")).alias("prompt_versions"), (k / 10.0).alias("threshold"))
+    path = work_path(spark, "runs")
+    files.write_run_logs(manifests, rows, path)
+    spark.createDataFrame([("not json",), ("[1]",), ("  ",), ('{"id": 1,',)], "value string").coalesce(1).write.text(f"{path}/run_id=bad")
+    logs = files.read_run_logs(spark, path, "config_version string, prompt_versions map<string,string>, threshold double", "ordinal long, answer string, status string, best_score double")
+    kept = logs.records.select("run_id", F.lit("record").alias("kind"), "ordinal", F.md5(F.col("answer").cast("binary")).alias("text_md5"), "status", "best_score")
+    heads = logs.manifests.select("run_id", F.lit("manifest").alias("kind"), F.lit(-1).cast("long").alias("ordinal"), F.md5(F.col("config_version").cast("binary")).alias("text_md5"), F.lit(None).cast("string").alias("status"), F.col("threshold").alias("best_score"))
+    bad = logs.bad.select("run_id", F.lit("bad").alias("kind"), F.lit(None).cast("long").alias("ordinal"), F.md5(F.col("value").cast("binary")).alias("text_md5"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("double").alias("best_score"))
+    return kept.unionByName(heads).unionByName(bad)
+
+
 from . import books  # noqa: E402,F401  registers its queries

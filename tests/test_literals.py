@@ -91,13 +91,15 @@ def test_retrieval(spark):
 
 
 def test_dense_blocks_equal_columns(spark, sf):
+    from lectern.operators import fusion
     from lectern.plans.queries import _vectors
 
     q, c = _vectors(spark, sf)
-    key = ["query_id", "chunk_id", "dense"]
-    a = {tuple(r) for r in retrieval.dense_scores(q, c).select(key).collect()}
-    b = {tuple(r) for r in retrieval.dense_scores_blocked(q, c, 7).select(key).collect()}
-    assert len(a) == len(b) and len(a ^ b) < 0.001 * len(a)
+    a = {(r.query_id, r.chunk_id): r.dense for r in retrieval.dense_scores(q, c).collect()}
+    asked, chunks = q.collect(), c.collect()
+    dense, _ = fusion.Asked([(k, r.embedding, None) for k, r in enumerate(asked)]).scores([r.embedding for r in chunks], [None] * len(chunks))
+    b = {(x.query_id, y.chunk_id): dense[i, j] for i, x in enumerate(asked) for j, y in enumerate(chunks)}
+    assert a.keys() == b.keys() and sum(a[k] != b[k] for k in a) < 0.001 * len(a)
 
 
 def test_chat(spark):
