@@ -231,3 +231,14 @@ def parsed_verdict(c: Column, schema: str) -> Column:
     text = stripped(c)
     inner = stripped(F.regexp_replace(stripped(F.regexp_replace(text, "^`+|`+$", "")), "(?i)^json", ""))
     return F.from_json(F.when(F.startswith(text, F.lit("```")), inner).otherwise(text), schema)
+
+
+def read_verdict(c: Column) -> Column:
+    """suitable, reason and unparsed from a model's answer, which may stand in a fence: unparsed
+    is the text itself where it is no JSON or says nothing that is a yes or no."""
+    text = stripped(c)
+    inner = stripped(F.regexp_replace(stripped(F.regexp_replace(text, "^`+|`+$", "")), "(?i)^json", ""))
+    body = F.when(F.startswith(text, F.lit("```")), inner).otherwise(text)
+    found = F.try_parse_json(body)
+    suitable = F.try_variant_get(found, "$.suitable", "boolean")
+    return F.struct(suitable.alias("suitable"), F.try_variant_get(found, "$.reason", "string").alias("reason"), F.when(c.isNotNull() & suitable.isNull(), body).alias("unparsed"))

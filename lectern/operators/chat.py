@@ -94,6 +94,13 @@ def session_messages(messages: DataFrame, session_id: str) -> DataFrame:
     return messages.filter(F.col("session_id") == session_id).orderBy("created_at", F.when(F.col("role") == "user", 0).otherwise(1), "ordinal")
 
 
+def ordered_messages(messages: DataFrame) -> DataFrame:
+    """messages with their place in their session, from 1; the question before its answer where
+    times tie."""
+    order = Window.partitionBy("session_id").orderBy("created_at", F.when(F.col("role") == "user", 0).otherwise(1), "ordinal")
+    return messages.withColumn("place", F.row_number().over(order))
+
+
 def deletable_books(books: DataFrame, sessions: DataFrame) -> DataFrame:
     """Books that no session uses, deleted sessions included."""
     return books.join(sessions.select("book_id").distinct(), "book_id", "left_anti")

@@ -85,18 +85,45 @@ def cache_stats(calls: DataFrame) -> DataFrame:
     return calls.agg(F.count("*").alias("calls"), F.count_if("cached").alias("hits"), F.count_if(~F.col("cached")).alias("misses"), F.coalesce(F.sum(spent), F.lit(0)).alias("tokens"))
 
 
+def flat_settings(manifests: DataFrame, settings: str = "settings") -> DataFrame:
+    """run_id, path, value: the leaves of nested settings, given as JSON text or VARIANT, by their
+    path; a level of nesting is a round.  Null is a value of its own, and so are an empty object
+    and an empty list."""
+    kind = manifests.schema[settings].dataType.simpleString()
+    tree = F.parse_json(settings) if kind == "string" else F.col(settings)
+    nodes, out = manifests.select("run_id", F.lit("$").alias("path"), tree.alias("v")), None
+    while True:
+        shape = F.schema_of_variant("v")
+        inner = (F.startswith(shape, F.lit("OBJECT<")) & (shape != "OBJECT<>")) | (F.startswith(shape, F.lit("ARRAY<")) & (F.to_json("v") != "[]"))
+        leaves = nodes.filter(~inner).select("run_id", "path", F.to_json("v").alias("value"))
+        out = leaves if out is None else out.unionByName(leaves)
+        deeper = nodes.filter(inner)
+        if deeper.isEmpty():
+            return out
+        step = "concat(path, if(e.key is null, concat('[', e.pos, ']'), concat('.', e.key)))"
+        nodes = deeper.lateralJoin(manifests.sparkSession.tvf.variant_explode(F.col("v").outer()).alias("e")).selectExpr("run_id", f"{step} AS path", "e.value AS v")
+
+
 def changed_settings(manifests: DataFrame, one: str, other: str) -> DataFrame:
-    """name, one, other where two runs of manifests(run_id, settings map) differ."""
+    """name, one, other where two runs of manifests(run_id, settings) differ.  Settings are a map,
+    or nested JSON (text or VARIANT), whose leaves are named by their path; a setting that one run
+    lacks is null there, one that is null reads null as JSON."""
+    flat = manifests.schema["settings"].dataType.simpleString().startswith("map")
+    rows = manifests.filter(F.col("run_id").isin(one, other))
+    rows = rows.select("run_id", F.explode("settings").alias("name", "value")) if flat else flat_settings(rows).withColumnRenamed("path", "name")
 
     def of(run: str, name: str) -> DataFrame:
-        return manifests.filter(F.col("run_id") == run).select(F.explode("settings").alias("name", name))
+        return rows.filter(F.col("run_id") == run).select("name", F.col("value").alias(name))
 
     return of(one, "one").join(of(other, "other"), "name", "full_outer").filter(~F.col("one").eqNullSafe(F.col("other")))
 
 
 def take_questions(questions: DataFrame, split: str | None = None, limit: int | None = None) -> DataFrame:
-    """Questions of a split, the first of them in file order (column ordinal)."""
+    """Questions of a split, the first of them in file order (column ordinal); an error if there
+    are none."""
     kept = questions.filter(F.col("split") == split) if split else questions
+    if kept.isEmpty():
+        raise ValueError(f"no questions of split {split!r}" if split else "no questions")
     return kept.orderBy("ordinal").limit(limit) if limit else kept
 
 

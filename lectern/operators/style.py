@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..config import SETTINGS, Settings
 from ..functions import text as T
 
-VERDICT = "suitable boolean, reason string"
-
-
 def vocabulary(chunks: DataFrame, fewshot: DataFrame, grade: int) -> DataFrame:
     """book_id, word: lower-cased words of a book's chunks (headers dropped), and those of the
     sample answers of the grade, which hold for every book and have no book_id."""
@@ -26,6 +23,14 @@ def usable_fewshot(fewshot: DataFrame, grade: int, evaluating: bool = False) ->
     return kept.join(F.broadcast(some)).filter(~F.col("some") | (F.col("grade") == grade)).drop("some")
 
 
+def load_fewshot(fewshot: DataFrame, grade: int, evaluating: bool = False) -> DataFrame:
+    """usable_fewshot, or an error where no sample is left."""
+    kept = usable_fewshot(fewshot, grade, evaluating)
+    if kept.isEmpty():
+        raise ValueError("no few-shot samples" + " that are real" * evaluating)
+    return kept
+
+
 def coverage(answers: DataFrame, vocab: DataFrame) -> DataFrame:
     """message_id, n_words, n_unknown, coverage (1 without words, to three decimals), unknown
     words as first seen."""
@@ -59,9 +64,12 @@ def style_reports(answers: DataFrame, vocab: DataFrame, verdicts: DataFrame | No
     rows = rows.withColumn("failures", failures(F.col("max_sentence_words"), F.col("coverage"), F.col("unknown"), F.col("fk_grade"), limits))
     if verdicts is None:
         return rows.withColumn("judge_ran", F.lit(False)).withColumn("judge_suitable", F.lit(None).cast("boolean")).withColumn("passed", F.size("failures") == 0)
-    judged = rows.join(verdicts.select("message_id", T.parsed_verdict(F.col("text"), VERDICT).alias("v")), "message_id", "left")
-    ran = (F.size("failures") == 0) & F.col("v").isNotNull()
-    return judged.withColumn("judge_ran", ran).withColumn("judge_suitable", F.when(ran, F.col("v.suitable"))).withColumn("passed", (F.size("failures") == 0) & F.coalesce("judge_suitable", F.lit(True))).drop("v")
+    judged = rows.join(verdicts.select("message_id", T.read_verdict(F.col("text")).alias("v"), F.lit(True).alias("given")), "message_id", "left")
+    ran = (F.size("failures") == 0) & F.col("given").isNotNull()
+    read = judged.withColumn("judge_ran", ran).withColumn("judge_suitable", F.when(ran, F.col("v.suitable"))).withColumn("judge_reason", F.when(ran, F.col("v.reason"))).withColumn("unparsed", F.when(ran, F.col("v.unparsed")))
+    # an answer whose verdict can't be read does not pass; one that nobody judged does
+    passed = (F.size("failures") == 0) & F.coalesce("judge_suitable", ~ran)
+    return read.withColumn("passed", passed).drop("v", "given")
 
 
 def guide_sections(guide: Column) -> Column:

@@ -80,10 +80,15 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", T.without_header(F.col("value")).alias("text"))
 
 
-def media_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, megabytes of media files in a folder; contents are not read."""
-    rows = spark.read.format("binaryFile").load(path).select("path", "length")
-    return rows.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*MEDIA)).select("path", (F.col("length") / 1e6).alias("megabytes")).orderBy("path")
+def media_files(spark: SparkSession, path: str, kinds: tuple[str, ...] = MEDIA) -> DataFrame:
+    """path, length, megabytes of the files of some kinds below a folder; contents are not read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return rows.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*kinds)).select("path", "length", (F.col("length") / 1e6).alias("megabytes")).orderBy("path")
+
+
+def media_total(listed: DataFrame) -> DataFrame:
+    """files, megabytes of a listing."""
+    return listed.agg(F.count("*").alias("files"), (F.coalesce(F.sum("length"), F.lit(0)) / 1e6).alias("megabytes"))
 
 
 def manifest_summary(rows: DataFrame) -> DataFrame:
