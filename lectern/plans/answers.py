@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.tables import work_path
-from ..operators import chat, corpus, evaluation, retrieval, style, transcripts
+from ..functions import text as T
+from ..functions.tables import settled, work_path
+from ..operators import chat, corpus, evaluation, postings, retrieval, style, transcripts
 from ..sources import files
 from .queries import BODY, DENSE_SQL, FK_SQL, _vectors
 from .registry import LENGTHS, NO_BANGLA, SQL, TOKENS, WORDS, documents, query, table
@@ -188,3 +189,24 @@ def a9_media_listing(spark, sf_dir):
 def a10_manifest_summary(spark, sf_dir):
     status = F.when(F.col("n_chars") == 0, "failed").when(F.col("doc_id") % 3 == 0, "skipped").otherwise("done")
     return files.manifest_summary(table(spark, sf_dir, "documents").select(status.alias("status")))
+
+
+BEST = 10
+
+
+@query(
+    "c2_sparse_top",
+    f"""WITH w AS (SELECT doc_id, unnest({WORDS.format('lower(text)')}) AS token FROM documents), c AS (SELECT doc_id, token, count(*) AS tf FROM w GROUP BY ALL), s AS (SELECT doc_id, sum(tf) AS size FROM c GROUP BY ALL),
+    b AS (SELECT count(*) AS n, avg(size) AS mean FROM s), f AS (SELECT token, count(*) AS df FROM c GROUP BY ALL),
+    p AS (SELECT doc_id, token, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) AS weight FROM c JOIN s USING (doc_id) JOIN f USING (token), b),
+    x AS (SELECT q.doc_id AS query_id, p.doc_id AS chunk_id, round(sum(q.tf * p.weight), 6) AS sparse FROM c q JOIN p USING (token) WHERE q.doc_id % 20 = 0 GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sparse DESC, chunk_id::VARCHAR) AS rank FROM x)
+    SELECT query_id, rank::INTEGER AS rank, chunk_id, round(sparse, 3) AS sparse FROM r WHERE rank <= {BEST}""",
+)
+def c2_sparse_top(spark, sf_dir):
+    """Every twentieth document as a question to all of them, by lexical weights."""
+    chunks = documents(spark, sf_dir).select(F.lit("b").alias("book_id"), F.col("doc_id").alias("chunk_id"), "text")
+    weights = settled(retrieval.lexical_weights(chunks))
+    asked = chunks.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "book_id", F.explode(T.words(F.lower("text"))).alias("token"))
+    counts = asked.groupBy("query_id", "book_id", "token").agg(F.count("*").cast("double").alias("weight"))
+    return postings.sparse_top(counts, weights, BEST).select("query_id", "rank", "chunk_id", F.round("sparse", 3).alias("sparse"))
