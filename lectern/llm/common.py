@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,6 +143,19 @@ class ByteHash:
         return mix64((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+#: Longest word that the sums hash: modulo 2**64 they can't tell some words of 1024 bytes apart,
+#: whatever the base.  Longer ones, which are few, are hashed one by one.
+SUMMED_BYTES, SEED = 128, 0x5DEECE66D
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words that do not overlap."""
+    made = ByteHash(data).ranges(start, end)
+    for k in np.flatnonzero(end - start > SUMMED_BYTES):
+        made[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes(), SEED)
+    return made
+
+
 #: Byte values lower-cased over A-Z only, and the byte values that separate words.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

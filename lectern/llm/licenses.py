@@ -8,13 +8,15 @@ Detections are handled in order of start in one fold, so a text with many costs
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Label, keywords (literals with | between), name as a regex over lower-cased text.
 NAMES = (
     ("apache-1.1", "apache", r"apache (?:software )?license,? (?:version |v)?1\.1"),
-    ("apache-2.0", "apache", r"apache (?:software )?license,? (?:version |v)?2(?:\.0)?|apache-2\.0"),
+    ("apache-2.0", "apache", r"apache (?:software )?license,? (?:version |v)?2(?:\.0)?|\bapache[ -]2\.0\b"),
     ("apache", "apache", r"apache (?:software )?license"),
     ("mit", "mit license|expat license", r"(?:the )?\bmit license|\bexpat license"),
     ("mit-0", "mit no attribution|mit-0", r"\bmit no attribution|\bmit-0\b"),
@@ -25,7 +27,7 @@ NAMES = (
     ("gpl-1.0", "gpl|general public licen", r"(?:gnu )?general public licen[cs]e,? (?:version |v)?1(?:\.0)?\b|\bgpl[ -]?v?1\b"),
     ("gpl-2.0", "gpl|general public licen", r"(?:gnu )?general public licen[cs]e,? (?:version |v)?2(?:\.0)?\b|\bgpl[ -]?v?2(?:\.0)?\b"),
     ("gpl-3.0", "gpl|general public licen", r"(?:gnu )?general public licen[cs]e,? (?:version |v)?3(?:\.0)?\b|\bgpl[ -]?v?3(?:\.0)?\b"),
-    ("gpl", "gnu general public licen|gnu gpl", r"\bgnu general public licen[cs]e|\bgnu gpl\b"),
+    ("gpl", "gnu general public licen|gpl", r"\bgnu general public licen[cs]e|\bgnu gpl\b|\bgpl\b"),
     ("lgpl-2.1", "lgpl|lesser general public licen", r"lesser general public licen[cs]e,? (?:version |v)?2\.1|\blgpl[ -]?v?2\.1"),
     ("lgpl-3.0", "lgpl|lesser general public licen", r"lesser general public licen[cs]e,? (?:version |v)?3(?:\.0)?\b|\blgpl[ -]?v?3(?:\.0)?\b"),
     ("lgpl", "lgpl|lesser general public licen|library general public licen", r"(?:lesser|library) general public licen[cs]e|\blgpl\b"),
@@ -100,6 +102,15 @@ BASE_CONFIDENCE = 0.5
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 
+#: What may stand between two words: white space, and the signs of a wrapped comment after it.
+GAP = r"(?:\s[\s*#/;]*)"
+
+
+def spaced(pattern: str) -> str:
+    """A pattern whose blanks, but those in brackets, stand for any gap."""
+    return re.sub(r"\[[^\]]*\]|\\s\+| ", lambda m: m[0] if m[0][0] == "[" else GAP, pattern)
+
+
 def rules() -> list[tuple[int, str, str, str]]:
     """(tier, label, keywords, regex), several from each name."""
     made = []
@@ -111,17 +122,29 @@ def rules() -> list[tuple[int, str, str, str]]:
             (2, label, word, rf"licen[cs]e\s*[:=]\s*[\"']?(?:{name})"),
             (3, label, word, rf"(?:{name})"),
         ]
-    return made + [(2, label, word, text) for label, word, text in TEXTS]
+    made += [(2, label, word, text) for label, word, text in TEXTS]
+    return [(tier, label, words, spaced(pattern)) for tier, label, words, pattern in made]
+
+
+def pieces(keyword: str) -> list[str]:
+    """What a text holds if it holds the keyword, whatever stands between its words; the piece
+    that few texts hold first."""
+    return sorted(keyword.split(), key=lambda w: ("licen" not in w, -len(w)))
 
 
 def gate_words() -> list[str]:
     """Literals of which every keyword of every rule holds one."""
-    words = {"licen"} | {w for _, _, keywords, _ in rules() for w in keywords.split("|")}
+    words = {"licen"} | {w.strip() for _, _, keywords, _ in rules() for w in keywords.split("|")}
     return sorted(w for w in words if not any(v != w and v in w for v in words))
 
 
+def holds(text: Column, keywords: list[str]) -> Column:
+    """Whether the text holds all pieces of one of the keywords."""
+    return F.exists(F.array(*[F.array(*map(F.lit, pieces(k))) for k in keywords]), lambda ws: F.forall(ws, lambda w: F.contains(text, w)))
+
+
 def gated(text: Column) -> Column:
-    return F.exists(F.array(*map(F.lit, gate_words())), lambda w: F.contains(text, w))
+    return holds(text, gate_words())
 
 
 def lower_ascii(c: Column) -> Column:
@@ -142,8 +165,8 @@ def places(text: Column, pattern: Column) -> Column:
 
 def detections(text: Column) -> Column:
     """array of (start, end, tier, label) that stand, by start."""
-    table = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(name).alias("label"), F.array(*map(F.lit, w.split("|"))).alias("words"), F.lit(r).alias("rule")) for t, name, w, r in rules()])
-    tried = F.filter(table, lambda r: F.exists(r.words, lambda w: F.contains(text, w)))
+    table = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(name).alias("label"), F.array(*[F.array(*map(F.lit, pieces(k))) for k in w.split("|")]).alias("words"), F.lit(r).alias("rule")) for t, name, w, r in rules()])
+    tried = F.filter(table, lambda r: F.exists(r.words, lambda ws: F.forall(ws, lambda w: F.contains(text, w))))
     hits = F.flatten(F.transform(tried, lambda r: F.transform(places(text, r.rule), lambda p: F.struct(p.start.alias("start"), (-p.end).alias("back"), r.tier.alias("tier"), r.label.alias("label")))))
     empty = F.array().cast("array<struct<start:int,back:int,tier:int,label:string>>")
 

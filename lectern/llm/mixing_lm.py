@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ByteHash, mix64, stored, text_chunks, word_bounds
+from .common import LOWER, mix64, stored, text_chunks, word_bounds, word_hashes
 
 ORDERS = (1, 2, 3, 5)
 GATES = 8 * (len(ORDERS) + 1)
@@ -175,7 +175,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts, ends, counts = word_bounds(data, offsets)
     n = len(counts)
     row = np.concatenate([np.repeat(np.arange(n), counts), np.arange(n)])
-    made = np.concatenate([ByteHash(data).ranges(starts, ends), np.full(n, END)])
+    made = np.concatenate([word_hashes(data, starts, ends), np.full(n, END)])
     order = np.lexsort((made, row))
     row, made = row[order], made[order]
     first = np.ones(len(row), bool)

@@ -21,7 +21,7 @@ ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
 DATE = r"(?<![\d./-])(?:(?:19|20)\d\d-[01]\d-[0-3]\d|[0-3]\d[./][01]\d[./](?:19|20)\d\d)(?![\d/-]|\.\d)"
-PHONE = r"(?<![\d+])\+\d{1,3}[ -]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\d+.-])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d+.-])\d{3}-\d{3}-\d{4}(?!\d)"
+PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+.-])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d+.-])(?:1-)?\d{3}-\d{3}-\d{4}(?!\d)"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, DATE, PHONE))
 #: Whole runs of groups, the groups in them, and what a stretch of groups must look like.
 IBAN_RUN = r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,}+"
@@ -243,7 +243,8 @@ def phone(m: Column, key: str) -> Column:
     """The country code stays, found by its digits whatever follows it; the digits behind it are
     permuted, so one number has one pseudonym in all its spellings."""
     digits = digits_of(m)
-    land = F.regexp_extract(F.concat(F.substring(m, 1, 1), digits), COUNTRY, 1)
+    sign = F.when(F.startswith(m, F.lit("1-")), "+").otherwise(F.substring(m, 1, 1))
+    land = F.regexp_extract(F.concat(sign, digits), COUNTRY, 1)
     rest = F.substring(digits, F.length(land) + 1, F.length(digits))
     return bound(permute_digits(rest, key, "phone"), lambda d: poured(m, F.concat(land, d)))
 

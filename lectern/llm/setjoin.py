@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, ByteHash, among, checked, components, free_name, mix64, row_id, stored, text_chunks, word_bounds
+from .common import LOWER, among, checked, components, free_name, mix64, row_id, stored, text_chunks, word_bounds, word_hashes
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     `width` has its whole sequence as one shingle, and one without words has none."""
     data = LOWER[data]
     starts, ends, counts = word_bounds(data, offsets)
-    words = ByteHash(data).ranges(starts, ends)
+    words = word_hashes(data, starts, ends)
     row = np.repeat(np.arange(len(counts)), counts)
     made = np.zeros(max(0, len(words)), np.uint64)
     step = np.uint64(0xA24BAED4963EE407)
