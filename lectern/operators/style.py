@@ -10,6 +10,7 @@ from ..functions import text as T
 
 VERDICT = "suitable boolean, reason string"
 
+
 def vocabulary(chunks: DataFrame, fewshot: DataFrame, grade: int) -> DataFrame:
     """book_id, word: lower-cased words of a book's chunks (headers dropped), and those of the
     sample answers of the grade, which hold for every book and have no book_id."""
