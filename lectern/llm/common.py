@@ -36,6 +36,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def job_name(name: str) -> str:
+    """A folder, within the shared one, for the tables of one job: the start of their names."""
+    return f"{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut, and a
     lost executor costs no recomputation."""
@@ -50,6 +55,11 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def finish(spark: SparkSession, job: str) -> None:
+    """Delete all tables of a job, whose results are stored elsewhere by now."""
+    discard(spark, f"{shared_dir(spark)}/{job}")
+
+
 #: Ids are broadcast up to this many bytes of them, and only where each has a fixed size.
 BROADCAST_BYTES = 2 << 20
 WIDTHS = {"bigint": 8, "int": 4, "smallint": 2, "tinyint": 1, "date": 4, "timestamp": 8, "double": 8, "float": 4}

@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, checked, free_name, row_id, stored
+from .common import among, checked, finish, free_name, job_name, row_id, stored
 
 BITS, BLOCKS = 64, 4
 
@@ -107,13 +107,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     without a key are not reported; of windows that tie the first is given; an empty table on
     either side gives no rows; other columns are ignored.
     """
+    job = job_name("leaks")
     items = benchmark.select(F.col(f"`{item}`").alias("item"), words_of(F.col(f"`{item_text}`").cast("string")).alias("words")).filter(F.size("words") > 0)
     items = items.withColumn("n", F.size("words")).withColumn("width", F.least(F.lit(width), F.col("n"))).dropDuplicates(["item", "words"])
-    items = stored(items.withColumn("shingles", shingles_of(F.col("words"), F.col("width"))).drop("words"), "items")
-    held = stored(items.select("item", F.explode("shingles").alias("s")).distinct().groupBy("s").agg((1.0 / F.count("*")).alias("w")), "weights")
+    items = stored(items.withColumn("shingles", shingles_of(F.col("words"), F.col("width"))).drop("words"), f"{job}/items")
+    held = stored(items.select("item", F.explode("shingles").alias("s")).distinct().groupBy("s").agg((1.0 / F.count("*")).alias("w")), f"{job}/weights")
     places = items.select("item", "n", "width", F.explode("shingles").alias("s")).join(held, "s")
-    whole = stored(places.groupBy("item", "n", "width").agg(F.sum("w").alias("whole")), "wholes")
-    starts = stored(places.distinct(), "places")
+    whole = stored(places.groupBy("item", "n", "width").agg(F.sum("w").alias("whole")), f"{job}/wholes")
+    starts = stored(places.distinct(), f"{job}/places")
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # at most `width` values
 
     named = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -126,36 +127,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         each = rows.select("id", F.size("words").alias("size"), F.posexplode(shingles_of(F.col("words"), widths[0])).alias("pos", "s"))
     else:
         each = rows.select("id", F.size("words").alias("size"), F.explode(lists).alias("wide", "list")).select("id", "size", F.posexplode("list").alias("pos", "s"))
-    hits = stored(each.join(small(starts), "s"), "hits")
+    hits = stored(each.join(small(starts), "s"), f"{job}/hits")
     # a document without enough of an item in all of it has no window with enough
     enough = F.col("weight") >= F.col("whole") * (least - 1e-9)
     could = hits.groupBy("id", "item", "n").agg(F.sum("w").alias("weight")).join(small(whole), ["item", "n"]).filter(enough).select("id", "item", "n", "whole")
-    could = stored(could, "could")
+    could = stored(could, f"{job}/could")
     at = F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - F.col("n") + F.col("width")), F.least(F.col("pos"), F.greatest(F.lit(0), F.col("size") - F.col("n")))))
     laid = hits.join(small(could), ["id", "item", "n"]).select("id", "item", "n", "whole", "w", at.alias("start"))
-    windows = stored(laid.groupBy("id", "item", "n", "start").agg(F.sum("w").alias("weight"), F.first("whole").alias("whole")).filter(enough).select("id", "n", "start").distinct(), "windows")
+    windows = stored(laid.groupBy("id", "item", "n", "start").agg(F.sum("w").alias("weight"), F.first("whole").alias("whole")).filter(enough).select("id", "n", "start").distinct(), f"{job}/windows")
 
     with_words = among(named, windows.select("id").distinct(), "id").select("id", words_of(F.col("text")).alias("words")).dropDuplicates(["id", "words"])
     cut = windows.join(with_words, "id").select("id", "n", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("words"))
     cut = cut.withColumn("shingles", shingles_of(F.col("words"), F.least(F.lit(width), F.size("words"))))
     # equal windows are fingerprinted once, however many documents share them
-    bags = stored(cut.select("id", "n", "start", "shingles"), "bags")
+    bags = stored(cut.select("id", "n", "start", "shingles"), f"{job}/bags")
     kinds = bags.select("n", "shingles").distinct().withColumn("bag", F.xxhash64("n", "shingles"))
     weighed = kinds.select("bag", "n", F.posexplode("shingles").alias("at", "s")).join(small(held), "s", "left").groupBy("bag", "n").agg(F.array_sort(F.collect_list(F.struct("at", "s", F.coalesce("w", F.lit(1.0)).alias("w")))).alias("list"))
-    printed = stored(weighed.select("bag", "n", F.col("list.s").alias("shingles"), F.col("list.w").alias("weights")).withColumn("print", fingerprint(F.col("shingles"), F.col("weights"))), "prints")
+    printed = stored(weighed.select("bag", "n", F.col("list.s").alias("shingles"), F.col("list.w").alias("weights")).withColumn("print", fingerprint(F.col("shingles"), F.col("weights"))), f"{job}/prints")
     item_list = items.select("item", "n", F.posexplode("shingles").alias("at", "s")).join(held, "s").groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct("at", "s", "w"))).alias("list"))
-    item_prints = stored(item_list.select("item", "n", F.col("list.s").alias("i_shingles"), F.col("list.w").alias("i_weights")).withColumn("i_print", fingerprint(F.col("i_shingles"), F.col("i_weights"))), "item_prints")
+    item_prints = stored(item_list.select("item", "n", F.col("list.s").alias("i_shingles"), F.col("list.w").alias("i_weights")).withColumn("i_print", fingerprint(F.col("i_shingles"), F.col("i_weights"))), f"{job}/item_prints")
 
     left = printed.select("bag", "n", "print", F.explode(blocks_of(F.col("print"))).alias("block"))
     right = item_prints.select("item", "n", "i_print", F.explode(blocks_of(F.col("i_print"))).alias("own")).select("item", "n", "i_print", F.explode(neighbours_of(F.col("own"), radius)).alias("block"))
-    right = stored(right, "neighbours")
+    right = stored(right, f"{job}/neighbours")
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("i_print")))
     near = left.join(small(right), ["n", "block"]).withColumn("distance", distance).filter(F.col("distance") <= radius).select("bag", "item", "n", "distance").distinct()
     checked = near.join(printed.select("bag", "shingles", "weights"), "bag").join(small(item_prints.select("item", "n", "i_shingles", "i_weights")), ["item", "n"])
     kept = checked.withColumn("similarity", similarity(F.col("shingles"), F.col("weights"), F.col("i_shingles"), F.col("i_weights"))).filter(F.col("similarity") >= least).select("bag", "item", "n", "distance", "similarity")
     found = bags.withColumn("bag", F.xxhash64("n", "shingles")).drop("shingles").join(kept, ["bag", "n"])
     best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start"), F.col("n"), F.col("distance")))
-    out = found.groupBy("id", "item").agg(best.alias("b"))
+    out = stored(found.groupBy("id", "item").agg(best.alias("b")), "found")
+    finish(docs.sparkSession, job)
     return out.select(F.col("id").alias(key), F.col("item").alias(item), (-F.col("b.s")).alias("similarity"), F.col("b.distance").cast("int").alias("distance"), F.col("b.start").alias("start_word"), F.col("b.n").alias("n_words"))
 
 

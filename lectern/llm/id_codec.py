@@ -32,8 +32,8 @@ WORD, TOP, BOTTOM, SHARE = (1 << 48) - 1, 1 << 32, 1 << 24, 20
 STRETCH = np.array([round(256 * math.log(max(p, 1) / (4096 - max(p, 1)))) for p in range(4096)], np.int64)
 SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-d / 256))))) for d in range(-2047, 2048)], np.int64)
 HALVING = 177  # 256 ln 2
-ID_BITS = 17
-ID = (1 << ID_BITS) - 1
+#: Ids have at most as many bits as shares, so every id of a file can have a share.
+MOST_BITS = SHARE
 RATE = 5
 
 
@@ -42,10 +42,11 @@ class Table:
 
     def __init__(self, names: np.ndarray, shares: np.ndarray):
         self.names, self.shares = names, shares
-        self.size = np.zeros(1 << ID_BITS, np.int64)
+        self.bits = max(1, int(names[-1]).bit_length())
+        self.size = np.zeros(1 << self.bits, np.int64)
         self.size[names] = shares
         starts = np.cumsum(shares) - shares
-        self.start = np.zeros(1 << ID_BITS, np.int64)
+        self.start = np.zeros(1 << self.bits, np.int64)
         self.start[names] = starts
         # how far below even odds the share is, by its bit length; ids that never stand are far off
         lengths = np.frexp(self.size.astype(np.float64))[1].astype(np.int64)
@@ -106,7 +107,7 @@ class Lanes:
     A step takes the first k lanes, those whose block goes on."""
 
     def __init__(self, n: int, table: Table):
-        self.table, self.lane, self.base = table, np.arange(n), np.arange(n) * SLOTS
+        self.table, self.bits, self.lane, self.base = table, table.bits, np.arange(n), np.arange(n) * SLOTS
         self.entries = [np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)]
         self.first, self.second = Mixer(n, 16), Mixer(n, 4)
         self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -116,8 +117,8 @@ class Lanes:
         one, two, base = self.one[:k], self.two[:k], self.base[:k]
         self.at = base + ((one * 2654435761 >> 9) & (SLOTS - 1)), base + ((one * 40503 + two * 2654435761 >> 9) & (SLOTS - 1))
         self.held = tuple(e[i].astype(np.int64) for e, i in zip(self.entries, self.at))
-        self.sure = tuple(h >> ID_BITS for h in self.held)
-        self.names = tuple(h & ID for h in self.held)
+        self.sure = tuple(h >> self.bits for h in self.held)
+        self.names = tuple(h & ((1 << self.bits) - 1) for h in self.held)
         (s1, s2), (n1, n2) = self.sure, self.names
         known = s2 > 0
         candidate = np.where(known, n2, n1)
@@ -137,8 +138,8 @@ class Lanes:
         for entries, at, held, sure, name in zip(self.entries, self.at, self.held, self.sure, self.names):
             same = (name == ids) & (sure > 0)
             # right: surer, up to 3; wrong: half as sure, and replaced when no longer so
-            kept = np.where(sure > 1, name | (sure >> 1 << ID_BITS), ids | (1 << ID_BITS))
-            entries[at] = np.where(same, held + np.where(sure < 3, 1 << ID_BITS, 0), kept)
+            kept = np.where(sure > 1, name | (sure >> 1 << self.bits), ids | (1 << self.bits))
+            entries[at] = np.where(same, held + np.where(sure < 3, 1 << self.bits, 0), kept)
         self.two[:k] = self.one[:k]
         self.one[:k] = ids
 
@@ -225,11 +226,13 @@ def lanes_of(n: int, block: int) -> np.ndarray:
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """The file of an array of ids below 2**17: header, order-0 table, index of blocks, blocks."""
+    """The file of an array of ids below 2**20: header, order-0 table, index of blocks, blocks."""
     sizes = lanes_of(len(ids), block)
     n = len(sizes)
     if not n:
         return struct.pack(HEAD, MAGIC, VERSION, block, 0, 0, 0, 0)
+    if int(ids.max()) >> MOST_BITS or int(ids.min()) < 0:
+        raise ValueError(f"ids must be below {1 << MOST_BITS}")
     grid = np.zeros((n, block), np.int64)
     grid.ravel()[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.T)

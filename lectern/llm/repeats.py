@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHash, row_id, stored, text_chunks
+from .common import ByteHash, finish, job_name, row_id, stored, text_chunks
 from .suffix import common_prefixes, suffix_array
 
 SEPARATOR = 255  # never a byte of UTF-8
@@ -106,7 +106,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     of their own; rows that repeat both repeat each other.  An empty table gives no rows; other
     columns are ignored.
     """
-    kind = "long"
+    kind, job = "long", job_name("repeats")
     named = docs.select(row_id(key, text).alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +116,8 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 ids = batch.column(0).take(pa.array(at + row))
                 yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (lo.astype(np.int32), hi.astype(np.int32), gram.astype(np.int64), span.astype(np.int64)))], names=["id", "lo", "hi", "gram", "span"])
 
-    found = stored(named.mapInArrow(find, f"id {kind}, lo int, hi int, gram long, span long"), "anchors")
-    spans = stored(found.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("at")), "spans")
+    found = stored(named.mapInArrow(find, f"id {kind}, lo int, hi int, gram long, span long"), f"{job}/anchors")
+    spans = stored(found.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("at")), f"{job}/spans")
     grams = spans.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     ask = spans.filter("n = 1").join(grams, "gram").select("gram", "at.*", (F.col("kinds") > most_spans).alias("many"))
     # spans that occur more than once repeat whole, but others of the k-gram are held against them
@@ -135,7 +135,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     {"id": pa.array([one["id"]] * len(rows), batch.schema.field("id").type), "gram": pa.array([r["gram"] for r in rows], pa.int64()), "lo": pa.array([r["lo"] for r in rows], pa.int32()), "many": [r["many"] for r in rows], "open": [r["open"] for r in rows], "bytes": pa.array([raw[r["lo"] : r["hi"]] for r in rows], pa.binary())}
                 )
 
-    pieces = stored(named.dropDuplicates(["id"]).join(lists, "id").select("id", "text", "asked").mapInArrow(cut, f"id {kind}, gram long, lo int, many boolean, open boolean, bytes binary"), "pieces")
+    pieces = stored(named.dropDuplicates(["id"]).join(lists, "id").select("id", "text", "asked").mapInArrow(cut, f"id {kind}, gram long, lo int, many boolean, open boolean, bytes binary"), f"{job}/pieces")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, los, opens, texts, size, last = [], [], [], [], 0, None
@@ -179,6 +179,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     equal = found.join(spans.filter("n > 1").select("gram", "span"), ["gram", "span"]).select("id", F.array(F.struct(F.col("lo").cast("long").alias("start"), F.col("hi").cast("long").alias("end"))).alias("runs"))
     # each is written by itself, so that a join with a hot k-gram can be split
     few, many, equal = (stored(part, "runs") for part in (few, many, equal))
+    finish(docs.sparkSession, job)
     return few.union(many).union(equal).groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("runs")).withColumnRenamed("id", "row")
 
 

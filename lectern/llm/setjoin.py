@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, among, checked, components, free_name, mix64, row_id, stored, text_chunks, word_bounds, word_hashes
+from .common import LOWER, among, checked, components, finish, free_name, job_name, mix64, row_id, stored, text_chunks, word_bounds, word_hashes
 
 
 @dataclass(frozen=True)
@@ -174,15 +174,15 @@ def signature_rows(docs: DataFrame, link: Link) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row long, sig long, rule int")
 
 
-def signature_index(signed: DataFrame) -> DataFrame:
+def signature_index(signed: DataFrame, job: str = "signatures") -> DataFrame:
     """(row, sig, first) of the signatures that no set leaves out and that several sets share;
     first is the least of their rows.  Counts are combined before they are shuffled, and only
     signatures held twice are looked at again."""
-    counts = stored(signed.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+    counts = stored(signed.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1"), f"{job}/counts")
     shared = signed.join(counts, "sig")
     dearest = Window.partitionBy("row", "rule").orderBy(F.desc("n"), F.desc("sig"))
-    kept = stored(shared.withColumn("rank", F.row_number().over(dearest)).filter("rank > shiftright(rule, 1)").select("row", "sig").distinct(), "shared")
-    firsts = stored(kept.groupBy("sig").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").select("sig", "first"), "firsts")
+    kept = stored(shared.withColumn("rank", F.row_number().over(dearest)).filter("rank > shiftright(rule, 1)").select("row", "sig").distinct(), f"{job}/shared")
+    firsts = stored(kept.groupBy("sig").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").select("sig", "first"), f"{job}/firsts")
     return kept.join(firsts, "sig").select("row", "sig", "first")
 
 
@@ -350,30 +350,30 @@ def block_of(row: str, n: str, link: Link):
     return F.pmod(F.xxhash64(row, F.lit("block")), F.ceil(F.col(n) / link.block)).cast("int")
 
 
-def star_links(index: DataFrame, texts: DataFrame, prints: DataFrame, link: Link) -> DataFrame:
+def star_links(index: DataFrame, texts: DataFrame, prints: DataFrame, link: Link, job: str = "stars") -> DataFrame:
     """Links of every row of index with the first one of its signatures, which is sent once for
     each block of rows that it is compared with."""
     pairs = index.filter("row <> first").select("first", "row").distinct()
-    sizes = stored(pairs.groupBy("first").agg(F.count("*").alias("n")), "stars")
+    sizes = stored(pairs.groupBy("first").agg(F.count("*").alias("n")), f"{job}/stars")
     rest = pairs.join(sizes, "first").withColumn("hi", block_of("row", "n", link)).select(F.col("first").alias("grp"), F.lit(-1).alias("lo"), "hi", F.col("hi").alias("block"), "row")
     heads = sizes.withColumn("hi", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / link.block).cast("int") - 1)))
     heads = heads.select(F.col("first").alias("grp"), F.lit(-1).alias("lo"), "hi", F.lit(-1).alias("block"), F.col("first").alias("row"))
     dealt = rest.union(heads).withColumn("part", F.col("row"))
-    return compare_blocks(stored(sifted(dealt, prints, link), "sifted"), texts, link)
+    return compare_blocks(stored(sifted(dealt, prints, link), f"{job}/sifted"), texts, link)
 
 
-def open_links(index: DataFrame, first: DataFrame, texts: DataFrame, prints: DataFrame, link: Link) -> DataFrame:
+def open_links(index: DataFrame, first: DataFrame, texts: DataFrame, prints: DataFrame, link: Link, job: str = "open") -> DataFrame:
     """Links within each signature whose rows are not all joined by the links `first`, among the
     rows other than its first one."""
-    parts = components(first)
+    parts = components(first, f"{job}/components")
     rest = index.filter("row <> first").join(parts, F.col("row") == parts.node, "left").select("sig", "row", F.coalesce("component", "row").alias("part"))
     unjoined = rest.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.bit_xor(F.xxhash64("row")).alias("same"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("more"), F.count("*").alias("n")).filter("x < y")
     # signatures with the same rows are compared once
-    once = stored(unjoined.groupBy("n", "same", "more").agg(F.min("sig").alias("sig")).select("sig", "n"), "open")
+    once = stored(unjoined.groupBy("n", "same", "more").agg(F.min("sig").alias("sig")).select("sig", "n"), f"{job}/open")
     placed = rest.join(once, "sig").withColumn("block", block_of("row", "n", link))
     other = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / link.block).cast("int") - 1))
     dealt = placed.withColumn("other", other).select(F.col("sig").alias("grp"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "row", "part")
-    return compare_blocks(stored(sifted(dealt, prints, link), "sifted"), texts, link)
+    return compare_blocks(stored(sifted(dealt, prints, link), f"{job}/sifted"), texts, link)
 
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", link: Link = Link()) -> DataFrame:
@@ -388,21 +388,22 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     component, as first.  An empty table gives no rows; other columns are ignored, whatever
     their names.
     """
-    rows = named(docs, key, text)
+    rows, job = named(docs, key, text), job_name("jaccard")
     sets = stored(document_sets(rows, link), "sets")
     filled = sets.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    copies = stored(filled.groupBy("h1", "h2", "n_shingles").agg(F.min("row").alias("rep"), F.max("row").alias("last")).filter("rep < last").drop("last"), "copies")
-    held = stored(filled.join(copies, ["h1", "h2", "n_shingles"], "left").select("row", "id", "n_shingles", F.coalesce("rep", "row").alias("rep")), "folded")
+    copies = stored(filled.groupBy("h1", "h2", "n_shingles").agg(F.min("row").alias("rep"), F.max("row").alias("last")).filter("rep < last").drop("last"), f"{job}/copies")
+    held = stored(filled.join(copies, ["h1", "h2", "n_shingles"], "left").select("row", "id", "n_shingles", F.coalesce("rep", "row").alias("rep")), f"{job}/folded")
     own = held.filter("row = rep").select("row").distinct()
     signed = signature_rows(among(rows, own, "row"), link)
-    index = stored(signature_index(signed), "index")
+    index = stored(signature_index(signed, job), f"{job}/index")
     # whole texts of the sets that share a signature with another
-    texts = stored(among(rows.select("row", "text"), index.select("row").distinct(), "row").dropDuplicates(["row"]), "texts")
-    prints = stored(bitmaps(texts, link), "bitmaps")
-    stars = stored(star_links(index, texts, prints, link), "links")
-    links = stars.union(stored(open_links(index, stars, texts, prints, link), "links"))
-    final = components(links)
+    texts = stored(among(rows.select("row", "text"), index.select("row").distinct(), "row").dropDuplicates(["row"]), f"{job}/texts")
+    prints = stored(bitmaps(texts, link), f"{job}/bitmaps")
+    stars = stored(star_links(index, texts, prints, link, job), f"{job}/links")
+    links = stars.union(stored(open_links(index, stars, texts, prints, link, job), f"{job}/links"))
+    final = components(links, f"{job}/components")
     whole = stored(held.join(final, F.col("rep") == final.node, "left").select("row", "id", "n_shingles", F.coalesce("component", "rep").alias("part")), "parts")
+    finish(docs.sparkSession, job)
     firsts = stored(whole.groupBy("part").agg(F.min(F.struct("id", "row")).alias("least")), "leasts")
     joined = whole.join(firsts, "part").select("id", "n_shingles", F.col("least.id").alias("component_id"), "row", (F.col("row") == F.col("least.row")).alias("first"))
     alone = sets.filter((F.col("n_shingles") == 0) | F.col("id").isNull()).select("id", "n_shingles", F.col("id").alias("component_id"), "row", F.lit(True).alias("first"))

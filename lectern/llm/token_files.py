@@ -2,7 +2,8 @@
 
 Documents are dealt out by ranges of their key and sorted, so files follow ascending key.  A
 row of the written table is a run of whole documents: their keys and counts of ids, and the
-coded file of their ids (see id_codec), whose blocks can each be read alone.  Spark's writer
+coded file of their ids (see id_codec), whose blocks can each be read alone; a checksum covers the
+keys and counts.  Spark's writer
 commits the rows, so a lost executor only costs the task it ran.
 
 A text is cut before each space that is followed by something else than white space.  The
@@ -34,6 +35,8 @@ END_ID = 2
 ODD = re.compile(r" (?=\s|\Z)|<\|")
 MOST_PIECES = 500_000
 RUN_IDS = 1_500_000
+#: Characters of a text that decide where it goes among those of its key.
+HEAD = 64
 
 
 @lru_cache(maxsize=2)
@@ -124,7 +127,13 @@ class Pieces:
         return np.concatenate(parts) if parts else ids, np.array(counts, np.int64)
 
 
-FILES = "part int, number int, first long, keys array<long>, counts array<long>, ids_in_run long, file binary"
+FILES = "part int, number int, first long, keys array<long>, counts array<long>, ids_in_run long, check long, file binary"
+
+
+def checksum(first: int, keys: list, counts: list) -> int:
+    """Of a run's place, keys (a missing one is told from any other) and counts."""
+    held = np.array([first, *(0 if k is None else k for k in keys), *(k is None for k in keys), *counts], "<i8")
+    return zlib.crc32(held.tobytes())
 
 
 def write_files(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, end_id: int | None = END_ID, run_ids: int = RUN_IDS) -> str:
@@ -141,7 +150,8 @@ def write_files(docs: DataFrame, path: str | None = None, key: str = "doc_id", t
     place = tokenizer if os.path.sep in tokenizer else public_tokenizers.path(tokenizer)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    dealt = named.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
+    # rows of one key, or without any, are dealt by the head of their texts, which keeps the order
+    dealt = named.repartitionByRange(parts, "key", F.substring("text", 1, HEAD)).sortWithinPartitions("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, part = Pieces(place), TaskContext.get().partitionId()
@@ -151,8 +161,8 @@ def write_files(docs: DataFrame, path: str | None = None, key: str = "doc_id", t
         def row():
             joined = np.concatenate(ids)
             names = [f.split()[0] for f in FILES.split(", ")]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-            values = [part, number, first, keys, counts, len(joined), id_codec.encode(joined)]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary()]
+            values = [part, number, first, keys, counts, len(joined), checksum(first, keys, counts), id_codec.encode(joined)]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
         for batch in batches:
@@ -189,7 +199,9 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                part, first, keys, counts, file = (batch.column(c)[i].as_py() for c in ("part", "first", "keys", "counts", "file"))
+                part, first, keys, counts, check, file = (batch.column(c)[i].as_py() for c in ("part", "first", "keys", "counts", "check", "file"))
+                if checksum(first, keys, counts) != check:
+                    raise ValueError("keys or counts do not match their checksum")
                 ids = id_codec.decode(file).astype("<u4")
                 ends = np.cumsum(counts)
                 starts = ends - counts
@@ -201,6 +213,6 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
                     columns.append(pa.array([ids[a:b].tolist() for a, b in zip(starts, ends)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "key", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    got = rows.select("part", "first", "keys", "counts", "file").mapInArrow(run, "part int, key long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
+    got = rows.select("part", "first", "keys", "counts", "check", "file").mapInArrow(run, "part int, key long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
     joined = got.join(F.broadcast(before), "part")
     return joined.select("key", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from lectern.llm import common, licenses, mixing_lm, pseudonyms, setjoin
+from lectern.llm import common, decontaminate, id_codec, licenses, mixing_lm, pseudonyms, repeats, setjoin, token_files
 
 
 def swapped_words(n=1024):
@@ -65,3 +65,42 @@ def test_phones_of_one_digit_groups_and_dots(spark):
     assert all(forms[k] not in t for k, t in got.items())
     assert digits[0] == digits[1] == digits[2] and digits[3] == digits[4] and all(len(digits[k]) == len(re.sub(r"\D", "", t)) for k, t in enumerate(forms))
     assert all(re.sub(r"\d", "0", got[k]) == re.sub(r"\d", "0", f"call {t} now") for k, t in enumerate(forms))
+
+
+def test_ids_of_large_vocabularies():
+    rng = np.random.default_rng(2)
+    for ids in (rng.integers(0, 1 << 20, 3000), np.array([200_000]), np.array([(1 << 20) - 1, 0, 0, 131_072] * 700), np.zeros(5, np.int64)):
+        assert (id_codec.decode(id_codec.encode(ids)) == ids).all()
+    for bad in (1 << 20, -1):
+        with pytest.raises(ValueError):
+            id_codec.encode(np.array([1, bad]))
+
+
+def test_files_with_hot_keys_and_changed_counts(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, f"text {i % 40:02d}") for i in range(90)] + [(7, "x" * 64 + str(i % 5)) for i in range(30)] + [(8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = token_files.write_files(docs)
+    got = sorted(token_files.read_files(spark, path, with_ids=True).collect(), key=lambda r: r.start)
+    named = sorted(((k is not None, k or 0, t or "") for k, t in rows))
+    ids = token_files.Pieces(token_files.public_tokenizers.path(token_files.TOKENIZER)).whole([t for _, _, t in named])
+    assert [r.key for r in got] == [k if known else None for known, k, _ in named]
+    assert [list(r.ids) for r in got] == [[*i, 2] for i in ids]
+    wrong = path + "-wrong"
+    spark.read.parquet(path).withColumn("keys", F.transform("keys", lambda k: F.coalesce(k, F.lit(0)))).write.parquet(wrong)
+    with pytest.raises(Exception, match="do not match their checksum"):
+        token_files.read_files(spark, wrong).collect()
+
+
+def test_jobs_delete_their_tables(spark):
+    """Only what the results are read from stays."""
+    from pathlib import Path
+
+    docs = spark.createDataFrame([(i, f"{' '.join(f'w{k}' for k in range(60))} end {i % 3}") for i in range(9)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(60)))], "item_id long, text string")
+    shared = Path(common.shared_dir(spark).removeprefix("file:"))
+    before = {p.name.split("-")[0] for p in shared.iterdir()}
+    made = [setjoin.link_components(docs), repeats.without_repeats(docs, length=40, k=10), decontaminate.find_leaks(docs, items)]
+    assert [d.count() for d in made] == [9, 9, 9]
+    assert not {"jaccard", "repeats", "leaks"} & ({p.name.split("-")[0] for p in shared.iterdir()} - before)
