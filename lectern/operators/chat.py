@@ -25,6 +25,14 @@ def turns_with_history(messages: DataFrame, limit: int = SETTINGS.history) -> Da
     return held.filter("role = 'user'").withColumn("is_first_turn", F.size("history") == 0)
 
 
+def with_answers(turns: DataFrame, messages: DataFrame) -> DataFrame:
+    """User turns with the `answer` that comes right after each, null where none does."""
+    spoken = messages.filter(F.col("role").isin("user", "assistant"))
+    after = F.lead(F.when(F.col("role") == "assistant", F.col("content"))).over(Window.partitionBy("session_id").orderBy("ordinal"))
+    answers = spoken.select("session_id", "ordinal", after.alias("answer"), "role").filter("role = 'user'").drop("role")
+    return turns.join(answers, ["session_id", "ordinal"], "left")
+
+
 def needs_rewrite(question: Column, has_history: Column) -> Column:
     """Whether a question leans on its history."""
     low = F.lower(T.stripped(question))

@@ -611,4 +611,4 @@ def a2_run_logs(spark, sf_dir):
     return kept.unionByName(heads).unionByName(bad)
 
 
-from . import answers, books, live_queries  # noqa: E402,F401  register their queries
+from . import answers, books, live_queries, prompt_queries  # noqa: E402,F401  register their queries
