@@ -9,9 +9,14 @@ Equal spans are counted without their bytes: all their strings repeat.  Where on
 several different spans, one copy of each goes to the shard of the k-gram.  A shard joins its
 spans, builds their suffix array by induced sorting and the permuted common prefixes, and
 marks the starts that share `length` bytes or more with a neighbour in suffix order.  As each
-start of the corpus is in one span, nothing is compared with itself.  A k-gram with more than
-`most_spans` different spans would fill a shard, so there the strings themselves are counted
-by hash, one row for each start, combined before the shuffle; results are the same.
+start of the corpus is in one span, nothing is compared with itself.
+
+A k-gram with more than `most_spans` different spans is split before it fills a shard: each of
+its spans falls into the starts whose strings go on for at least half of what is left behind the
+k-gram and those that go on before it, and both are filed by these bytes too.  Equal strings take
+the same way.  This is repeated while a group is crowded; as the bytes in common grow to the
+whole string, where only one kind is left, it ends, and every string is judged in a suffix array
+or by a span that is equal as a whole.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +48,11 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(row, first start, end of the last string, hash of the k-gram, hash of the span)."""
+    """(row, first start, end of the last string, place of the k-gram in the span, hash of the
+    k-gram, hash of the span)."""
     n = len(data)
     if n < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     sums = ByteHash(data)
     at = np.arange(n - k + 1)
     grams = sums.ranges(at, at + k)
@@ -62,7 +69,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple
     first = np.flatnonzero(new)
     lo = starts[first]
     hi = starts[np.append(first[1:], len(starts)) - 1] + length
-    return row[first], lo - offsets[row[first]], hi - offsets[row[first]], grams[owner[first]], sums.ranges(lo, hi)
+    return row[first], lo - offsets[row[first]], hi - offsets[row[first]], owner[first] - lo, grams[owner[first]], sums.ranges(lo, hi)
 
 
 def repeated_runs(spans: list[bytes], length: int) -> list[list[tuple[int, int]]]:
@@ -88,6 +95,20 @@ def runs_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + length).tolist()))
 
 
+def halves(raw: bytes, at: int, size: int, length: int) -> list[tuple[int, int, bytes, int, int]]:
+    """A span whose strings all hold its bytes at `at` to `at + size`, as (side, start, bytes, at,
+    size) of up to two spans of larger common bytes; each of its strings is in one of them."""
+    after = -(-(length - size) // 2)
+    before = length - size - after + 1
+    first = min(max(0, at + size + after - length), len(raw) - length + 1)  # of those that go on behind
+    out = []
+    if first <= len(raw) - length:
+        out.append((1, first, raw[first:], at - first, size + after))
+    if first:
+        out.append((0, 0, raw[: first - 1 + length], at - before, size + before))
+    return out
+
+
 RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 RUNS_SQL = "array<struct<start:bigint,end:bigint>>"
 
@@ -96,7 +117,7 @@ def as_runs(rows: list) -> pa.Array:
     return pa.array([[{"start": a, "end": b} for a, b in r] for r in rows], RUNS)
 
 
-def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, k: int = 100, most_spans: int = 1500, shard_bytes: int = 1 << 19) -> DataFrame:
+def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, k: int = 100, most_spans: int = 500, shard_bytes: int = 1 << 19) -> DataFrame:
     """row (row_id of key and text), runs: the runs of bytes of each document that are covered by a
     `length`-byte string that also starts anywhere else, in this document or another; documents
     without any are left out.
@@ -112,18 +133,18 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, _, data, offsets in text_chunks(batch, "text"):
-                row, lo, hi, gram, span = anchors(data, offsets, length, k)
+                row, lo, hi, place, gram, span = anchors(data, offsets, length, k)
                 ids = batch.column(0).take(pa.array(at + row))
-                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (lo.astype(np.int32), hi.astype(np.int32), gram.astype(np.int64), span.astype(np.int64)))], names=["id", "lo", "hi", "gram", "span"])
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (lo.astype(np.int32), hi.astype(np.int32), place.astype(np.int32), gram.astype(np.int64), span.astype(np.int64)))], names=["id", "lo", "hi", "at", "gram", "span"])
 
-    found = stored(named.mapInArrow(find, f"id {kind}, lo int, hi int, gram long, span long"), f"{job}/anchors")
-    spans = stored(found.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("at")), f"{job}/spans")
+    found = stored(named.mapInArrow(find, f"id {kind}, lo int, hi int, at int, gram long, span long"), f"{job}/anchors")
+    spans = stored(found.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo", "hi", "at")).alias("one")), f"{job}/spans")
     grams = spans.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    ask = spans.filter("n = 1").join(grams, "gram").select("gram", "at.*", (F.col("kinds") > most_spans).alias("many"))
+    ask = spans.filter("n = 1").join(grams, "gram").select("gram", "one.*", (F.col("kinds") > most_spans).alias("many"))
     # spans that occur more than once repeat whole, but others of the k-gram are held against them
-    more = spans.filter("n > 1").join(grams, "gram").select("gram", "at.*", (F.col("kinds") > most_spans).alias("many"))
+    more = spans.filter("n > 1").join(grams, "gram").select("gram", "one.*", (F.col("kinds") > most_spans).alias("many"))
     wanted = ask.withColumn("open", F.lit(True)).union(more.withColumn("open", F.lit(False)))
-    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("gram", "lo", "hi", "many", "open")).alias("asked"))
+    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("gram", "lo", "hi", "at", "many", "open")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,10 +153,10 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 raw = (one["text"] or "").encode()
                 rows = one["asked"]
                 yield pa.RecordBatch.from_pydict(
-                    {"id": pa.array([one["id"]] * len(rows), batch.schema.field("id").type), "gram": pa.array([r["gram"] for r in rows], pa.int64()), "lo": pa.array([r["lo"] for r in rows], pa.int32()), "many": [r["many"] for r in rows], "open": [r["open"] for r in rows], "bytes": pa.array([raw[r["lo"] : r["hi"]] for r in rows], pa.binary())}
+                    {"id": pa.array([one["id"]] * len(rows), batch.schema.field("id").type), "gram": pa.array([r["gram"] for r in rows], pa.int64()), "lo": pa.array([r["lo"] for r in rows], pa.int32()), "at": pa.array([r["at"] for r in rows], pa.int32()), "many": [r["many"] for r in rows], "open": [r["open"] for r in rows], "bytes": pa.array([raw[r["lo"] : r["hi"]] for r in rows], pa.binary())}
                 )
 
-    pieces = stored(named.dropDuplicates(["id"]).join(lists, "id").select("id", "text", "asked").mapInArrow(cut, f"id {kind}, gram long, lo int, many boolean, open boolean, bytes binary"), f"{job}/pieces")
+    pieces = stored(named.dropDuplicates(["id"]).join(lists, "id").select("id", "text", "asked").mapInArrow(cut, f"id {kind}, gram long, lo int, at int, many boolean, open boolean, bytes binary").withColumn("size", F.lit(k)), f"{job}/pieces")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, los, opens, texts, size, last = [], [], [], [], 0, None
@@ -157,30 +178,45 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         if texts:
             yield ready()
 
-    few = pieces.filter("not many").select("id", "gram", "lo", "open", "bytes").repartition("gram").sortWithinPartitions("gram").mapInArrow(shard, f"id {kind}, runs {RUNS_SQL}")
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                raw = part.column("bytes").to_pylist()
-                begins = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-                counts = np.diff(begins) - length + 1
-                row = np.repeat(np.arange(len(raw)), counts)
-                start = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-                sums = ByteHash(np.frombuffer(b"".join(raw), np.uint8)).ranges(begins[row] + start, begins[row] + start + length)
-                lo = np.array(part.column("lo").to_pylist(), np.int64)[row] + start
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), part.column("gram").take(pa.array(row)), pa.array(lo), part.column("open").take(pa.array(row)), pa.array(sums.astype(np.int64))], names=["id", "gram", "start", "open", "string"])
-
-    each = pieces.filter("many").select("id", "gram", "lo", "open", "bytes").mapInArrow(strings, f"id {kind}, gram long, start long, open boolean, string long")
-    # counted by the string's hash with its k-gram's: together 128 bits
-    twice = each.groupBy("gram", "string").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "string")
-    many = each.filter("open").join(twice, ["gram", "string"]).groupBy("id").agg(F.collect_list(F.struct("start", (F.col("start") + length).alias("end"))).alias("runs"))
+                where, grams, los, raws, ats, sizes, marks = [], [], [], [], [], [], []
+                for j, (gram, lo, raw, at, size) in enumerate(zip(*(part.column(c).to_pylist() for c in ("gram", "lo", "bytes", "at", "size")))):
+                    for side, start, piece, place, more in halves(raw, at, size, length):
+                        common = xxhash.xxh3_64_intdigest(piece[place : place + more], (gram + side) & 0xFFFFFFFFFFFFFFFF)
+                        where.append(j), grams.append(common - (1 << 63)), los.append(lo + start), raws.append(piece)
+                        ats.append(place), sizes.append(more), marks.append(xxhash.xxh3_128_digest(piece))
+                at = pa.array(where, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(at), pa.array(grams, pa.int64()), pa.array(los, pa.int32()), pa.array(ats, pa.int32()), part.column("open").take(at), pa.array(raws, pa.binary()), pa.array(sizes, pa.int32()), pa.array(marks, pa.binary())],
+                    names=["id", "gram", "lo", "at", "open", "bytes", "size", "mark"],
+                )
+
+    columns = ["id", "gram", "lo", "open", "bytes"]
+    few, same, crowded, level = pieces.filter("not many").select(columns), [], pieces.filter("many"), 0
+    # at most one round for each doubling of `length`, as the bytes left are halved
+    while not crowded.isEmpty():
+        level += 1
+        parts = stored(crowded.mapInArrow(split, f"id {kind}, gram long, lo int, at int, open boolean, bytes binary, size int, mark binary"), f"{job}/parts{level}")
+        kinds = stored(parts.groupBy("gram", "mark").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo")).alias("one")), f"{job}/kinds{level}")
+        again = kinds.filter("n > 1").select("gram", "mark")
+        same.append(parts.filter("open").join(again, ["gram", "mark"]).select("id", F.array(F.struct(F.col("lo").cast("long").alias("start"), (F.col("lo") + F.octet_length("bytes")).cast("long").alias("end"))).alias("runs")))
+        grams = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+        left = kinds.join(grams, "gram").select("gram", "mark", "n", "one", (F.col("kinds") > most_spans).alias("many"))
+        kept = parts.join(left, ["gram", "mark"]).filter((F.col("id") == F.col("one.id")) & (F.col("lo") == F.col("one.lo")))
+        kept = stored(kept.select("id", "gram", "lo", "at", (F.col("open") & (F.col("n") == 1)).alias("open"), "bytes", "size", (F.col("many") & (F.col("size") < length)).alias("many")), f"{job}/kept{level}")
+        few, crowded = few.union(kept.filter("not many").select(columns)), kept.filter("many")
+
+    few = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(shard, f"id {kind}, runs {RUNS_SQL}")
     equal = found.join(spans.filter("n > 1").select("gram", "span"), ["gram", "span"]).select("id", F.array(F.struct(F.col("lo").cast("long").alias("start"), F.col("hi").cast("long").alias("end"))).alias("runs"))
     # each is written by itself, so that a join with a hot k-gram can be split
-    few, many, equal = (stored(part, "runs") for part in (few, many, equal))
+    few, equal, *same = (stored(part, "runs") for part in (few, equal, *same))
     finish(docs.sparkSession, job)
-    return few.union(many).union(equal).groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("runs")).withColumnRenamed("id", "row")
+    for part in same:
+        equal = equal.union(part)
+    return few.union(equal).groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("runs")).withColumnRenamed("id", "row")
 
 
 def merged(runs: list) -> list[tuple[int, int]]:

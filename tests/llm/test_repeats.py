@@ -65,6 +65,36 @@ def test_many_spans_of_one_gram(spark):
     assert check(spark, corpus(2, 120), length=60, k=20, most_spans=2) > 20
 
 
+def test_halves_hold_every_string_once():
+    rng = random.Random(7)
+    for _ in range(300):
+        length = rng.randint(8, 40)
+        k = rng.randint(1, length - 1)
+        raw = bytes(rng.randrange(97, 100) for _ in range(rng.randint(length, 2 * length - k)))
+        last = len(raw) - length
+        at = rng.randint(last, length - k)
+        todo, ended = [(0, raw, at, k)], []
+        while todo:
+            lo, piece, place, size = todo.pop()
+            for _, start, part, there, more in repeats.halves(piece, place, size, length):
+                assert size < more <= length and 0 <= there and there + more <= length and part == raw[lo + start : lo + start + len(part)]
+                assert there >= len(part) - length  # every string of the part holds the bytes in common
+                (todo if more < length else ended).append((lo + start, part, there, more))
+        assert sorted(lo for lo, *_ in ended) == list(range(last + 1)) and all(len(part) == length for _, part, *_ in ended)
+
+
+def test_edited_copies_crowd_a_gram(spark):
+    """One passage in many texts, each with a letter of its own somewhere: groups stay crowded over
+    several rounds of splitting, down to strings that are equal."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(150))
+    rows = []
+    for i in range(90):
+        at = rng.randrange(len(passage))
+        rows.append((i, f"{i} " + passage[:at] + rng.choice("xyz") + passage[at + 1 :] + f" {i}"))
+    assert check(spark, rows, length=60, k=20, most_spans=3, shard_bytes=2000) > 60
+
+
 def test_documents_at_400_bytes(spark, sf):
     """Whole contract columns against brute force, with texts that share a key or have none."""
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
