@@ -11,9 +11,16 @@ Learning is online and spread over shards: training texts are dealt by a hash of
 about `shard_bytes`, in the order of the hash, so neither the partitions of the input nor the
 number of executors changes the model.  A task predicts each batch with what it has gathered so
 far, moves the weights along the gradient of the coding cost, then adds the batch to its
-counters.  Counters and refinement counts of all shards are summed and weights averaged.  A text is then scored by the frozen model.  The model has a fixed size
-(`Model.slots` times four orders), so it may be broadcast; word counts grow with the corpus and
-are joined, but for words frequent enough that at most `hot_bound` of them can exist.
+counters.  Counters and refinement counts of all shards are summed and weights averaged.  A text is
+then scored by the frozen model.
+
+The bit predictors have a fixed size (`Model.slots` times four orders), so they may be broadcast;
+on a large corpus their contexts share counters.  What is learnt of whole words grows with the
+corpus: wherever a word may begin, one more prediction gives the next word, or the end, its share
+of the training tokens, and is mixed with what the bits give for the same bytes; it gives nothing
+to a blank.  Both are probabilities, so the mixture is one.  Its weight is the one of `shares` that
+makes the training texts cheapest; with 0 the bits stand alone.  Word counts are joined, but for
+words frequent enough that at most `hot_bound` of them can exist.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix64, stored, text_chunks, word_bounds, word_hashes
+from .common import BLANK, LOWER, mix64, stored, text_chunks, word_bounds, word_hashes
 
 ORDERS = (1, 2, 3, 5)
 GATES = 8 * (len(ORDERS) + 1)
@@ -37,6 +44,7 @@ BLOCK = 1 << 14
 END = np.uint64(0x2545F4914F6CDD1D)  # the end counted as a token
 END_BYTE = 255
 SHARD_BYTES = 16 << 20
+SHARES = (0.0, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2)  # weights that the words' own prediction may get
 
 
 @dataclass
@@ -184,6 +192,45 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row[at], made[at], np.diff(np.append(at, len(row)))
 
 
+def occurrences(data: np.ndarray, offsets: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, token hash, log10 of what the bits give to it) of every token by row, and by row the
+    number of blanks where a word could begin.  `cost` holds the bits' log10 for every byte of the
+    rows with their ends.  A row's end that follows a word at once is no choice between words and
+    blanks: its third value is not a number."""
+    starts, ends, counts = word_bounds(data, offsets)
+    n = len(counts)
+    rows, words = np.arange(n), np.repeat(np.arange(n), counts)
+    sums = np.concatenate([[0.0], np.cumsum(cost)])
+    last = offsets[1:] + rows  # the end's place among the closed rows
+    free = np.diff(offsets) == 0
+    free[~free] = BLANK[data[offsets[1:][~free] - 1]]
+    row = np.concatenate([words, rows])
+    made = np.concatenate([word_hashes(data, starts, ends), np.full(n, END)])
+    given = np.concatenate([sums[ends + words] - sums[starts + words], np.where(free, cost[last], np.nan)])
+    blank = BLANK[data]
+    open_ = blank.copy()
+    open_[1:] &= blank[:-1]
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    open_[heads] = blank[heads]
+    before = np.concatenate([[0], np.cumsum(open_)])
+    order = np.argsort(row, kind="stable")
+    return row[order], made[order], given[order], before[offsets[1:]] - before[offsets[:-1]]
+
+
+def gains(given: np.ndarray, share_log: np.ndarray, weights: tuple[float, ...]) -> list[np.ndarray]:
+    """For each of `weights` what the mixture adds to the log10 of tokens, given what the bits give
+    and log10 of the tokens' share in training (-inf: none)."""
+    out = []
+    for w in weights:
+        if not w:
+            out.append(np.zeros(len(given)))
+            continue
+        a, b = given + np.log10(1 - w), share_log + np.log10(w)
+        most = np.maximum(a, b)
+        out.append(np.where(np.isnan(given), 0.0, most + np.log10(10 ** (a - most) + 10 ** (b - most)) - given))
+    return out
+
+
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     key, place = np.unique(np.concatenate(keys), return_inverse=True)
     return key, np.bincount(place, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
@@ -272,7 +319,7 @@ def fit(training: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[Model, Dat
     return model, counts
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out=None, hot_bound: int = 1 << 22) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out=None, hot_bound: int = 1 << 22, shares: tuple[float, ...] = SHARES) -> DataFrame:
     """One row per row of docs: key, held_out, n_bytes, n_tokens, n_known, train_tokens,
     base_score, score (log10 of the model's probability of the lower-cased text and its end).
 
@@ -288,41 +335,63 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out=Non
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(1, -(-total // hot_bound))  # at most hot_bound tokens can occur so often
     hot = counts.filter(F.col("n") >= least).toPandas().sort_values("part")
-    known_keys, known_logs = hot["part"].to_numpy(np.int64), np.log10(hot["n"].to_numpy(np.float64) + 0.5)
-    shared = docs.sparkSession.sparkContext.broadcast((model, known_keys, known_logs))
+    known_keys, known_counts = hot["part"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((model, known_keys, known_counts))
     below = float(np.log10(total + 0.5 * (distinct + 1)))
+    mixed = [f"mixed_{i}" for i in range(len(shares))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys, logs = shared.value
+        model, keys, seen = shared.value
+        logs, share_logs = np.log10(seen + 0.5), np.log10(seen / max(1, total))
         scorer = Scorer(model)
         for batch in batches:
             for at, end, data, offsets in text_chunks(batch, "text"):
                 n, data = end - at, LOWER[data]
-                row, made, count = tokens(data, offsets)
+                closed, bounds = ended(data, offsets)
+                cost = scorer(windows(closed, bounds))
+                row, made, given, blanks = occurrences(data, offsets, cost)
                 made = made.astype(np.int64)
                 place = np.minimum(np.searchsorted(keys, made), max(0, len(keys) - 1))
                 hit = keys[place] == made if len(keys) else np.zeros(len(made), bool)
-                n_tokens = np.bincount(row, weights=count, minlength=n).astype(np.int64)
-                n_known = np.bincount(row[hit], weights=count[hit], minlength=n).astype(np.int64)
-                logged = count[hit] * logs[place[hit]] if len(keys) else np.zeros(0)
-                base = np.bincount(row[hit], weights=logged, minlength=n).astype(np.float64)  # of nothing it counts in integers
-                closed, bounds = ended(data, offsets)
-                whole = np.bincount(np.repeat(np.arange(n), np.diff(bounds)), weights=scorer(windows(closed, bounds)), minlength=n).astype(np.float64)
                 rest = ~hit
+
+                def by_row(values, rows=row[hit], n=n):
+                    return np.bincount(rows, weights=values, minlength=n).astype(np.float64)  # of nothing it counts in integers
+
+                n_tokens = np.bincount(row, minlength=n).astype(np.int64)
+                n_known = np.bincount(row[hit], minlength=n).astype(np.int64)
+                base = by_row(logs[place[hit]])
+                whole = by_row(cost, np.repeat(np.arange(n), np.diff(bounds)))
+                more = gains(given[hit], share_logs[place[hit]], shares)
+                scores = [whole + by_row(g) + blanks * np.log10(1 - w) for w, g in zip(shares, more)]
                 cut = pa.array(np.searchsorted(row[rest], np.arange(n + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(np.diff(offsets)), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(whole), pa.ListArray.from_arrays(cut, pa.array(made[rest])), pa.ListArray.from_arrays(cut, pa.array(count[rest].astype(np.int32)))],
-                    names=["id", "held_out", "n_bytes", "n_tokens", "n_known", "base", "score", "rare", "times"],
+                    [batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(np.diff(offsets)), pa.array(n_tokens), pa.array(n_known), pa.array(base), *map(pa.array, scores), pa.ListArray.from_arrays(cut, pa.array(made[rest])), pa.ListArray.from_arrays(cut, pa.array(given[rest]))],
+                    names=["id", "held_out", "n_bytes", "n_tokens", "n_known", "base", *mixed, "rare", "given"],
                 )
 
-    schema = f"id {kind}, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"
+    schema = f"id {kind}, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, {', '.join(f'{m} double' for m in mixed)}, rare array<long>, given array<double>"
     rows = stored(named.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    pairs = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row", F.col("t.rare").alias("part"), F.col("t.times").alias("times"))
+    pairs = rows.select("row", F.explode(F.arrays_zip("rare", "given")).alias("t")).select("row", F.col("t.rare").alias("part"), F.col("t.given").alias("given"))
     # tokens that training never saw count 0.5; the others are too rare to be broadcast
     unseen = F.coalesce(F.col("n"), F.lit(0))
-    met = pairs.join(counts, "part", "left").groupBy("row").agg(F.sum(F.when(unseen > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(unseen + 0.5)).alias("more"))
-    joined = rows.drop("rare", "times").join(met, "row", "left")
+
+    def gain(w: float):
+        if not w:
+            return F.lit(0.0)
+        alone = F.lit(float(np.log10(1 - w)))
+        a, b = F.col("given") + alone, F.log10(F.col("n") * F.lit(w / max(1, total)))
+        both = F.greatest(a, b) + F.log10(F.pow(F.lit(10.0), a - F.greatest(a, b)) + F.pow(F.lit(10.0), b - F.greatest(a, b))) - F.col("given")
+        return F.when(F.isnan("given"), 0.0).when(F.col("n").isNull(), alone).otherwise(both)
+
+    more = [F.sum(gain(w)).alias(f"more_{m}") for w, m in zip(shares, mixed)]
+    met = pairs.join(counts, "part", "left").groupBy("row").agg(F.count_if(unseen > 0).alias("more_known"), F.sum(F.log10(unseen + 0.5)).alias("more"), *more)
+    joined = stored(
+        rows.drop("rare", "given").join(met, "row", "left").select("*", *[(F.col(m) + F.coalesce(f"more_{m}", F.lit(0.0))).alias(f"whole_{m}") for m in mixed]), "mixed"
+    )
+    costs = joined.filter("not held_out").agg(*[F.sum(f"whole_{m}") for m in mixed]).first()
+    best = max(range(len(shares)), key=lambda i: costs[i]) if costs[0] is not None else 0
     return joined.select(
         F.col("id").alias(key), "held_out", "n_bytes", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"), F.col(f"whole_{mixed[best]}").alias("score"),
     )

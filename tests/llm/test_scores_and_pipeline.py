@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -156,6 +157,71 @@ def test_scores_do_not_depend_on_partitions(spark, sf):
     assert one.keys() == many.keys() and all(math.isclose(one[k], many[k], rel_tol=1e-9) for k in one)
 
 
+def mixed64(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def one_byte_at_a_time(model, raw):
+    """log10 of every byte and of the end, bit by bit from the model's tables."""
+    out = []
+    for i, byte in enumerate([*raw, 255]):
+        past = [raw[i - j] if i >= j else 0 for j in range(1, 6)]
+        total = 0.0
+        for depth in range(8):
+            node, bit = (byte | 256) >> (8 - depth), byte >> (7 - depth) & 1
+            x, known = [], 0
+            for k, o in enumerate(mixing_lm.ORDERS):
+                context = mixed64((sum(past[j] << 8 * j for j in range(o)) + (o << 56)) % 2**64)
+                slot = (context ^ node * 0x9E3779B97F4A7C15 % 2**64) * 0xBF58476D1CE4E5B9 % 2**64 >> 44
+                zeros, ones = int(model.zeros[k][slot]), int(model.ones[k][slot])
+                known += zeros + ones > 0
+                x.append(float(np.float32(math.log((ones + 0.3) / (zeros + 0.3)))))
+            dot = sum(w * v for w, v in zip(model.weights[depth * 5 + known], x))
+            p = 1 / (1 + math.exp(-min(12, max(-12, dot))))
+            cell = past[0] * 33 + min(32, max(0, round(2 * dot) + 16))
+            p = (p + (model.refine[0][cell] + 30 * p) / (model.refine[1][cell] + 30)) / 2
+            total += math.log10(min(1 - 1e-6, max(1e-6, p if bit else 1 - p)))
+        out.append(total)
+    return out
+
+
+def word_by_word(raw, cost, share, count):
+    """The bits' cost mixed with the words' own prediction, walked from the left."""
+    total, at, whole = 0.0, 0, sum(count.values())
+    while at <= len(raw):
+        word = SPACE.match(raw, at)
+        stop = word.end() if word else at + 1
+        p = (1 - share) * 10 ** sum(cost[at:stop])
+        if word or at == len(raw):
+            p += share * count[word.group() if word else b""] / whole
+        total += math.log10(p)
+        at = stop
+        if word:  # what ends a word is no choice between words and blanks
+            total += cost[at]
+            at += 1
+    return total
+
+
+def test_score_against_a_walk_by_bits_and_words(spark):
+    texts = ["the cat sat on the mat", "the  cat\nran", None, "", " the end ", "un\u00e9 cat\tand a dog ", "the cat", "THE CAT SAT", "zebra quagga the", "\n"]
+    rows = [(i, t) for i, t in enumerate(texts * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.col("doc_id") % 5 == 1
+    model, _ = mixing_lm.fit(docs.filter(~held).select(F.col("doc_id").alias("id"), "text"))
+    lower = {i: (t or "").encode().translate(LOWER) for i, t in rows}
+    count = Counter(w for i, raw in lower.items() if i % 5 != 1 for w in [*SPACE.findall(raw), b""])
+    costs = {i: one_byte_at_a_time(model, raw) for i, raw in lower.items()}
+    tried = {w: {i: word_by_word(raw, costs[i], w, count) for i, raw in lower.items()} for w in (0.0, 0.25, 0.5)}
+    best = max(tried, key=lambda w: sum(v for i, v in tried[w].items() if i % 5 != 1))
+    for shares, bound, want in (((0.0, 0.25, 0.5), 1 << 22, best), ((0.25,), 1 << 22, 0.25), ((0.25,), 4, 0.25)):  # all words broadcast; most of them joined
+        got = {r.doc_id: r.score for r in mixing_lm.score(docs, held_out=held, hot_bound=bound, shares=shares).collect()}
+        assert got.keys() == tried[want].keys() and all(math.isclose(got[i], tried[want][i], rel_tol=1e-6) for i in got)
+
+
 def test_scores_are_a_distribution(spark):
     """The end is coded: a text and its prefixes share their probability."""
     texts = ["a", "ab", "abc", "b", "", "ba"]
