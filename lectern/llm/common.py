@@ -141,12 +141,13 @@ def _power(which: int, base: int, n: int) -> np.ndarray:
 
 
 class ByteHash:
-    """Hashes of any byte ranges of one array, from prefix sums modulo 2**64."""
+    """Hashes of any ranges of one array of bytes, or of words given by their hashes, from prefix
+    sums modulo 2**64."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_CODES[data] * _power(0, _BASE, n), out=self.sums[1:])
+        np.cumsum((data if data.dtype == np.uint64 else _CODES[data]) * _power(0, _BASE, n), out=self.sums[1:])
         self.down = _power(1, _INVERSE, n + 1)
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -158,9 +159,9 @@ class ByteHash:
 SUMMED_BYTES, SEED = 128, 0x5DEECE66D
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, sums: ByteHash | None = None) -> np.ndarray:
     """Hashes of words that do not overlap."""
-    made = ByteHash(data).ranges(start, end)
+    made = (sums or ByteHash(data)).ranges(start, end)
     for k in np.flatnonzero(end - start > SUMMED_BYTES):
         made[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes(), SEED)
     return made

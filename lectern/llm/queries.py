@@ -38,8 +38,11 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeats.without_repeats(table(spark, sf_dir, "documents"), length=400)
-    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda t, r: t + r.end - r.start)
-    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept_text").withColumnRenamed("kept_text", "text")
+
+    def covered(runs: str):
+        return F.aggregate(runs, F.lit(0).cast("long"), lambda t, r: t + r.end - r.start)
+
+    return rows.select("doc_id", "n_bytes", covered("runs").alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("kept_text").alias("text"), covered("passages").alias("n_passage_words"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

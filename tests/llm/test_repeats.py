@@ -1,10 +1,11 @@
 import hashlib
 from collections import Counter
 import random
+import re
 
 import numpy as np
 
-from lectern.llm import repeats, suffix
+from lectern.llm import queries, repeats, suffix
 
 
 def brute(rows, length):
@@ -120,3 +121,48 @@ def test_documents_at_400_bytes(spark, sf):
 
 def test_empty_table(spark):
     assert repeats.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def passages_by_brute_force(rows, words):
+    where, texts = {}, [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    for row, found in zip(rows, texts):
+        for p in range(len(found) - words + 1):
+            where.setdefault(tuple(found[p : p + words]), set()).add(row)
+    out = []
+    for (key, text), found in zip(rows, texts):
+        hit = np.zeros(len(found), bool)
+        for p in range(len(found) - words + 1):
+            if len(where[tuple(found[p : p + words])]) > 1:
+                hit[p : p + words] = True
+        edges = np.flatnonzero(np.diff(hit.astype(int), prepend=0, append=0)).tolist()
+        out.append((str(key), text or "", list(zip(edges[::2], edges[1::2]))))
+    return sorted(out)
+
+
+def test_passages_of_words(spark):
+    """Passages that another document has too, short of the bytes that are removed: with other
+    blanks, several times in a text, in texts that share a key, with words of over 128 bytes."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 3)))
+    parts = [[word() for _ in range(rng.randint(5, 40))] for _ in range(9)]
+    parts[0][3] = "long" * 60
+    rows = []
+    for i in range(150):
+        found = [w for _ in range(rng.randint(0, 7)) for w in (rng.choice(parts) if rng.random() < 0.6 else [word() for _ in range(rng.randint(1, 20))])]
+        rows.append((i % 140 if i % 9 else None, rng.choice([" ", "\n", " \t"]).join(found)))
+    own = " ".join(f"w{i % 30}" for i in range(90))
+    rows += [(200, None), (201, ""), (202, own), (203, f"{own} {rows[5][1]} x {rows[5][1]}"), (204, rows[5][1]), (205, "z " * 99), (206, "y " * 99), (206, "y " * 99)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = passages_by_brute_force(rows, 16)
+    assert sum(bool(w[2]) for w in want) > 60
+    for settings in ({}, {"most_spans": 2, "shard_bytes": 2000}):
+        got = repeats.without_repeats(docs, length=400, words=16, k_words=5, **settings).select("doc_id", "passages").collect()
+        assert sorted((str(r.doc_id), sorted((x.start, x.end) for x in r.passages)) for r in got) == sorted((k, p) for k, _, p in want)
+
+
+def test_planted_passage_of_55_words(spark, tmp_path):
+    passage = " ".join(f"w{i}" for i in range(55))
+    rows = [(1, f"one {passage} two"), (2, f"three\n{passage}"), (3, passage[:150]), (4, f"{'x ' * 80}"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_passage_words) for r in queries.op4_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, 55), 2: (0, 55), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
