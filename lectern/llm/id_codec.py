@@ -154,18 +154,17 @@ class Coder:
         """Lanes w (a slice or indexes) go on with [start, start + size) times unit."""
         low = self.low[w] = (self.low[w] + unit * start) & WORD
         span = self.range[w] = unit * size
-        some = np.flatnonzero((span < BOTTOM) | ((low ^ (low + span)) < TOP))
+        same = (low ^ (low + span)) < TOP  # a sum past 48 bits differs in a higher bit
+        some = np.flatnonzero(same | (span < BOTTOM))
         w = some if isinstance(w, slice) else w[some]
+        low, span, same = low[some], span[some], same[some]
         while len(w):
-            low, span = self.low[w], self.range[w]
-            same = (low ^ (low + span)) < TOP  # a sum past 48 bits differs in a higher bit
-            go = same | (span < BOTTOM)
-            w, low, span, same = w[go], low[go], span[go], same[go]
-            if not len(w):
-                break
             span = np.where(same, span, -low & (BOTTOM - 1))
             self.shift(w, low)
-            self.low[w], self.range[w] = (low << 16) & WORD, (span << 16) & WORD
+            self.low[w], self.range[w] = low, span = (low << 16) & WORD, (span << 16) & WORD
+            same = (low ^ (low + span)) < TOP
+            go = np.flatnonzero(same | (span < BOTTOM))
+            w, low, span, same = w[go], low[go], span[go], same[go]
 
     def binary(self, w, chance: np.ndarray, right: np.ndarray) -> None:
         unit = self.range[w] >> 12

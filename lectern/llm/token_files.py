@@ -6,9 +6,11 @@ coded file of their ids (see id_codec), whose blocks can each be read alone; a c
 keys and counts.  Spark's writer
 commits the rows, so a lost executor only costs the task it ran.
 
-A text is cut before each space that is followed by something else than white space.  The
-tokenizer never joins across such a cut, so equal pieces are encoded once for a task and
-looked up after that; texts with other spacing or special tokens are encoded whole.
+A text is cut before each space that is followed by something else than white space, and where
+letters, digits, signs and a line break meet.  The tokenizer never joins across such a cut, so
+equal pieces, which Arrow's dictionaries bring together, are encoded once for a task and looked up
+after that; texts with other spacing or added tokens are encoded whole, and all texts are where
+the tokenizer does not split as byte-level ones do.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,99 +35,125 @@ from .common import shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-ODD = re.compile(r" (?=\s|\Z)|<\|")
+ODD = r" (?=\s|\Z)|<\|"
+#: Pieces that the tokenizer surely splits no further before its merges: the model can take them.
+ONE = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+#: Kinds of bytes: 1 letters, 2 digits, 3 signs but for the apostrophe, which may begin a token.
+KINDS = np.zeros(256, np.uint8)
+KINDS[[*range(33, 127)]] = 3
+KINDS[[*range(65, 91), *range(97, 123), 0xC3]] = 1
+KINDS[[*range(48, 58)]] = 2
+KINDS[39] = 0
 MOST_PIECES = 500_000
 RUN_IDS = 1_500_000
+GROUP_BYTES = 8 << 20
 #: Characters of a text that decide where it goes among those of its key.
 HEAD = 64
 
 
+#: The byte-level form of a text read as Latin-1: bytes that are no signs move to 256 and on.
+SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+FORM = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
+
+
 @lru_cache(maxsize=2)
 def tokenizer_of(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
-    lead = np.zeros(made.get_vocab_size(), bool)
-    for token, i in made.get_vocab().items():
-        lead[i] = token.startswith("Ġ")  # the byte-level form of a space
-    return made, lead
+    added = sorted(re.escape(t.content) for t in made.get_added_tokens_decoder().values())
+    split = made.pre_tokenizer
+    plain = made.normalizer is None and type(split).__name__ == "ByteLevel" and not split.add_prefix_space and split.use_regex
+    return made, re.compile("|".join([ODD, *added]) if plain else "")
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces of the texts begin."""
+    kind = KINDS[data]
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[lead + 1 < len(data)]
+    sign = (data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7)  # of times and division
+    kind[lead] = ~sign
+    kind[lead + 1] = ~sign
+    known, line = kind > 0, data == 10
+    begins = data == 32
+    begins[1:] |= known[1:] & known[:-1] & (kind[1:] != kind[:-1]) | line[1:] & known[:-1]
+    begins[2:] |= known[2:] & line[1:-1] & known[:-2]
+    begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+    return np.flatnonzero(begins)
 
 
 class Pieces:
     """Ids of pieces, each encoded once."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.lead = tokenizer_of(path)
+        self.tokenizer, self.odd = tokenizer_of(path)
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.pool, self.starts, self.lengths = [np.zeros(0, np.int64)], [], []
-        self.size = 0
-        self.flat = None
-
-    def add(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.place.update(zip(names, range(len(self.place), len(self.place) + len(names))))
-        self.starts.append(self.size + np.cumsum(lengths) - lengths)
-        self.lengths.append(lengths)
-        self.pool.append(ids)
-        self.size += len(ids)
-        self.flat = None
+        self.pool, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Pieces start with a space or are the start of a text (marked by a leading NUL)."""
-        heads = [p for p in pieces if p[0] == "\0"]
-        rest = [p for p in pieces if p[0] != "\0"]
-        if heads:
-            made = self.whole([p[1:] for p in heads])
-            self.add(heads, np.concatenate(made), np.array([len(m) for m in made], np.int64))
-        for i in range(0, len(rest), 2000):
-            some = rest[i : i + 2000]
-            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, np.int64)
-            starts = np.flatnonzero(self.lead[ids])
-            if len(starts) == len(some):
-                self.add(some, ids, np.diff(np.append(starts, len(ids))))
+    def learn(self, pieces: list[str]) -> None:
+        ids, lengths, rest = [], [], []
+        for p in pieces:
+            if ONE.fullmatch(p):
+                form = p.replace(" ", FORM[32]) if p.isascii() else p.encode().decode("latin-1").translate(FORM)
+                made = [t.id for t in self.model.tokenize(form)]
+                self.place[p] = len(self.place)
+                ids += made
+                lengths.append(len(made))
             else:
-                made = self.whole(some)
-                self.add(some, np.concatenate(made), np.array([len(m) for m in made], np.int64))
+                rest.append(p)
+        found = self.whole(rest)
+        self.place.update(zip(rest, range(len(self.place), len(self.place) + len(rest))))
+        self.pool = np.concatenate([self.pool, np.array(ids, np.int64), *found])
+        self.lengths = np.concatenate([self.lengths, np.array(lengths + [len(f) for f in found], np.int64)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has."""
-        cut: list[list[str] | np.ndarray] = []
-        for t in texts:
-            if ODD.search(t):
-                cut.append(self.whole([t])[0])
-            elif t:
-                head, *rest = t.split(" ")
-                cut.append([*(["\0" + head] if head else []), *(" " + p for p in rest)])
-            else:
-                cut.append([])
+        odd = [i for i, t in enumerate(texts) if self.odd.search(t)]
+        alone = self.whole([texts[i] for i in odd])
+        plain = pa.array(texts, pa.large_string())
+        if odd:
+            kept = np.ones(len(texts), bool)
+            kept[odd] = False
+            plain = pa.array([t if k else "" for t, k in zip(texts, kept)], pa.large_string())
+        _, where, data = plain.buffers()
+        offsets = np.frombuffer(where, np.int64)[: len(texts) + 1]
+        raw = np.frombuffer(data, np.uint8)[: offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        starts = cuts(raw, offsets)
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw)).astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
         if len(self.place) > MOST_PIECES:
             self.clear()
-        pieces = [p for c in cut if isinstance(c, list) for p in c]
-        if fresh := set(pieces).difference(self.place):
-            self.learn(fresh)
-        if self.flat is None:
-            self.flat = np.concatenate(self.pool), np.concatenate(self.starts or [np.zeros(0, np.int64)]), np.concatenate(self.lengths or [np.zeros(0, np.int64)])
-            self.pool, self.starts, self.lengths = [self.flat[0]], [self.flat[1]], [self.flat[2]]
-        pool, starts, lengths = self.flat
-        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
-        size = lengths[at]
-        ids = pool[np.repeat(starts[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        names = pieces.dictionary.to_pylist()
+        self.learn([n for n in names if n not in self.place])
+        at = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))[pieces.indices.to_numpy()]
+        size = self.lengths[at]
         upto = np.concatenate([[0], np.cumsum(size)])
-        parts, counts, k = [], [], 0
-        for c in cut:
-            if isinstance(c, list):
-                parts.append(ids[upto[k] : upto[k + len(c)]])
-                k += len(c)
-            else:
-                parts.append(c)
-            counts.append(len(parts[-1]))
-        return np.concatenate(parts) if parts else ids, np.array(counts, np.int64)
+        first = np.cumsum(self.lengths) - self.lengths
+        ids = self.pool[np.repeat(first[at] - upto[:-1], size) + np.arange(upto[-1])]
+        ends = upto[np.searchsorted(starts, offsets)]
+        counts = np.diff(ends)
+        if odd:
+            ids = np.insert(ids, np.repeat(ends[odd], [len(a) for a in alone]), np.concatenate(alone))
+            counts[odd] = [len(a) for a in alone]
+        return ids, counts
+
+
+def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows whose texts are cut together: some megabytes, or one longer text."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + GROUP_BYTES, side="right")))
+        yield at, end
+        at = end
 
 
 FILES = "part int, number int, first long, keys array<long>, counts array<long>, ids_in_run long, check long, file binary"
@@ -166,21 +195,22 @@ def write_files(docs: DataFrame, path: str | None = None, key: str = "doc_id", t
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                some = batch.slice(lo, 200)
-                made, sizes = pieces.encode(some.column(1).to_pylist())
-                ends = np.cumsum(sizes)
+            for lo, hi in groups(batch.column(1)):
+                made, sizes = pieces.encode(batch.column(1).slice(lo, hi - lo).to_pylist())
                 if end_id is not None:
-                    made = np.insert(made, ends, end_id)
+                    made = np.insert(made, np.cumsum(sizes), end_id)
                     sizes = sizes + 1
-                keys += some.column(0).to_pylist()
-                counts += sizes.tolist()
-                ids.append(made.astype(np.int32))
-                held += len(made)
-                if held >= run_ids:
-                    yield row()
-                    number, first, held = number + 1, first + held, 0
-                    keys, counts, ids = [], [], []
+                named, made, ends = batch.column(0).slice(lo, hi - lo).to_pylist(), made.astype(np.int32), np.append(0, np.cumsum(sizes))
+                for i in range(0, hi - lo, 200):
+                    j = min(i + 200, hi - lo)
+                    keys += named[i:j]
+                    counts += sizes[i:j].tolist()
+                    ids.append(made[ends[i] : ends[j]])
+                    held += len(ids[-1])
+                    if held >= run_ids:
+                        yield row()
+                        number, first, held = number + 1, first + held, 0
+                        keys, counts, ids = [], [], []
         if keys:
             yield row()
 

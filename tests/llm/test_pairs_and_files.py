@@ -110,6 +110,22 @@ def test_codec_beats_order_zero(spark, sf):
     assert 8 * len(coded) / len(ids) < min(9.0, entropy) and (id_codec.decode(coded) == ids).all()
 
 
+def test_pieces_equal_whole_texts():
+    """Texts of letters, signs, line breaks, apostrophes and added tokens in any order, and equal
+    words behind other signs, which are learnt once."""
+    pieces = token_files.Pieces(token_files.public_tokenizers.path(token_files.TOKENIZER))
+    rng = random.Random(3)
+    signs = ["a", "B", "é", "×", "÷", "ÿ", "Ã", "'", "'s", "'ll", " ", " ", "\n", "\n", "\t", "\r", "1", "²", "!", "-", "(", "<", "|", "<|", "<|endoftext|>", "\x1c", "\x85", "\xa0", "漢", "ß", "\u0301", "😀", "\0", "_", "’"]
+    for _ in range(40):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(100)]
+        ids, counts = pieces.encode(texts)
+        whole = pieces.whole(texts)
+        assert counts.tolist() == [len(w) for w in whole] and ids.tolist() == np.concatenate(whole).tolist()
+    pieces.clear()
+    pieces.encode(["one word, word. word\nword! (word) word's"])
+    assert sum("word" in p for p in pieces.place) == 3 and [len(x) for x in pieces.encode([])] == [0, 0]
+
+
 def test_token_files(spark, sf):
     odd = ["", " a", "a  b", "a ", "\n a", "a\n b c", "é <|endoftext|> x", "a   b", "don't 12 3!!", "\0a b", None]
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(list(enumerate(odd, 10**6)) + [(10**6, "twice")], "doc_id long, text string"))
