@@ -41,12 +41,13 @@ def length_stats(histogram: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def file_stats(transcripts: DataFrame) -> DataFrame:
-    """One row per file that has a measurable sentence; `sentences` counts all of them."""
+def file_stats(transcripts: DataFrame, grade_digits: int = 2) -> DataFrame:
+    """One row per file that has a measurable sentence; `sentences` counts all of them.  The grade
+    is rounded to grade_digits before its range is tested."""
     body = transcripts.select("file", T.without_header(F.col("text")).alias("body"))
     found = T.words(F.col("body"))
     bangla = F.size(F.filter(found, lambda w: F.rlike(w, F.lit(f"[{T.BANGLA}]"))))
-    own = body.select("file", F.size(found).alias("words"), F.size(T.sentences(F.col("body"))).alias("sentences"), F.when(F.size(found) > 0, F.round(bangla / F.size(found), 3)).otherwise(0.0).alias("bangla_ratio"), T.punctuation_density(F.col("body")).alias("punct_per_100w"), T.reading_grade(F.col("body")).alias("fk_grade"))
+    own = body.select("file", F.size(found).alias("words"), F.size(T.sentences(F.col("body"))).alias("sentences"), F.when(F.size(found) > 0, F.round(bangla / F.size(found), 3)).otherwise(0.0).alias("bangla_ratio"), (bangla > 0).alias("has_bangla"), T.punctuation_density(F.col("body")).alias("punct_per_100w"), T.reading_grade(F.col("body"), grade_digits).alias("fk_grade"))
     return own.join(length_stats(lengths(transcripts, "file"), "file"), "file")
 
 
@@ -56,7 +57,7 @@ def combined_stats(transcripts: DataFrame) -> DataFrame:
     body = transcripts.select(T.without_header(F.col("text")).alias("body"))
     found, english = T.words(F.col("body")), T.without_bangla(F.col("body"))
     parts = body.select(F.size(found).alias("w"), F.size(F.filter(found, lambda w: F.rlike(w, F.lit(f"[{T.BANGLA}]")))).alias("b"), F.regexp_count("body", F.lit("[.!?।]")).alias("m"), F.size(T.tokens(english)).alias("t"), F.size(T.words(english)).alias("e"), F.size(T.sentences(english)).alias("s"), T.syllables(english).alias("y"))
-    sums = parts.agg(F.count("*").alias("files"), F.sum("w").alias("words"), F.coalesce(F.round(F.sum("b") / F.nullif(F.sum("w"), F.lit(0)), 3), F.lit(0.0)).alias("bangla_ratio"), F.coalesce(F.round(100 * F.sum("m") / F.nullif(F.sum("w"), F.lit(0)), 1), F.lit(0.0)).alias("punct_per_100w"), T.grade_of(F.sum("t"), F.sum("e"), F.sum("s"), F.sum("y")).alias("fk_grade"))
+    sums = parts.agg(F.count("*").alias("files"), F.sum("w").alias("words"), F.coalesce(F.round(F.sum("b") / F.nullif(F.sum("w"), F.lit(0)), 3), F.lit(0.0)).alias("bangla_ratio"), F.coalesce(F.sum("b") > 0, F.lit(False)).alias("has_bangla"), F.coalesce(F.round(100 * F.sum("m") / F.nullif(F.sum("w"), F.lit(0)), 1), F.lit(0.0)).alias("punct_per_100w"), T.grade_of(F.sum("t"), F.sum("e"), F.sum("s"), F.sum("y")).alias("fk_grade"))
     return sums.crossJoin(length_stats(lengths(transcripts)))  # one row each
 
 
@@ -70,13 +71,14 @@ def top_words(transcripts: DataFrame, k: int = 25, bangla: bool = False) -> Data
 
 
 def warnings() -> Column:
-    """Why the numbers of a stats row may not be trusted."""
+    """Why the numbers of a stats row may not be trusted.  Bangla is told by its words, since a
+    ratio of few among many rounds to 0."""
     return F.array_compact(
         F.array(
             F.when(F.col("punct_per_100w") < 8, "few sentence marks"),
             F.when(F.col("max_words") > 60, "a missing full stop"),
             F.when(F.col("fk_grade").isNull(), "no reading grade"),
-            F.when(F.col("bangla_ratio") == 0.0, "no Bangla"),
+            F.when(~F.col("has_bangla"), "no Bangla"),
         )
     )
 

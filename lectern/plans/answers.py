@@ -152,7 +152,7 @@ def h6_bangla_words(spark, sf_dir):
 )
 def h7_trust_warnings(spark, sf_dir):
     """What makes the numbers of each document doubtful."""
-    stats = transcripts.file_stats(documents(spark, sf_dir).select(F.col("doc_id").alias("file"), "text"))
+    stats = transcripts.file_stats(documents(spark, sf_dir).select(F.col("doc_id").alias("file"), "text"), 6)
     return stats.select(F.col("file").alias("doc_id"), F.array_join(transcripts.warnings(), "; ").alias("warnings"))
 
 
