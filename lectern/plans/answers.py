@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
-from ..functions.tables import settled, work_path
-from ..operators import chat, corpus, evaluation, postings, retrieval, style, transcripts
+from ..functions.tables import stored, work_path
+from ..operators import chat, corpus, evaluation, fusion, retrieval, style, transcripts
 from ..sources import files
 from .queries import BODY, DENSE_SQL, FK_SQL, _vectors
 from .registry import LENGTHS, NO_BANGLA, SQL, TOKENS, WORDS, documents, query, table
 
 
 def placed_chunks(spark, sf_dir):
-    """Vectors as chunks with a place in a book and the text of their document."""
+    """The five best vectors of each question, and all vectors as chunks with a place in a book."""
     questions, chunks = _vectors(spark, sf_dir)
-    texts = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
     label = F.col("lesson_id").cast("int")
     placed = chunks.withColumn("unit", F.expr("cast(lesson_id as int) div 3 + 1")).withColumn("lesson_no", label % 3 + 1).withColumn("lesson_title", F.concat(F.lit("T"), "lesson_id")).withColumn("page", (F.col("chunk_id") % 50 + 1).cast("int"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("dense"), F.col("chunk_id").cast("string"))
-    hits = retrieval.dense_scores(questions, chunks).withColumn("rank", F.row_number().over(order)).filter("rank <= 5")
-    return hits.withColumn("sparse", F.lit(0.0)).withColumn("rrf", 1.0 / (60 + F.col("rank"))), placed.drop("embedding").join(texts, "chunk_id", "left")
+    hits = fusion.best_chunks(questions, chunks, 5, "dense")
+    return hits.withColumn("sparse", F.lit(0.0)).withColumn("rrf", 1.0 / (60 + F.col("rank"))), placed.drop("embedding")
 
 
 HITS_SQL = f"""d AS ({DENSE_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, chunk_id::VARCHAR) AS rank FROM d),
@@ -53,7 +50,8 @@ def c9_sources(spark, sf_dir):
 def c11_context_parts(spark, sf_dir):
     """The whole parent lessons of each question's hits, numbered, in parts of bounded size."""
     hits, placed = placed_chunks(spark, sf_dir)
-    parts = retrieval.context_parts(retrieval.parent_lessons(hits, placed))
+    texts = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
+    parts = retrieval.context_parts(retrieval.parent_lessons(hits, placed.join(texts, "chunk_id", "left")))
     return parts.select("query_id", "part", "chunks", "bytes", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
@@ -206,7 +204,13 @@ BEST = 10
 def c2_sparse_top(spark, sf_dir):
     """Every twentieth document as a question to all of them, by lexical weights."""
     chunks = documents(spark, sf_dir).select(F.lit("b").alias("book_id"), F.col("doc_id").alias("chunk_id"), "text")
-    weights = settled(retrieval.lexical_weights(chunks))
-    asked = chunks.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "book_id", F.explode(T.words(F.lower("text"))).alias("token"))
-    counts = asked.groupBy("query_id", "book_id", "token").agg(F.count("*").cast("double").alias("weight"))
-    return postings.sparse_top(counts, weights, BEST).select("query_id", "rank", "chunk_id", F.round("sparse", 3).alias("sparse"))
+    terms = stored(retrieval.lexical_terms(chunks), "terms")
+    sizes = retrieval.book_sizes(terms)
+    part = F.transform("terms", lambda t: F.struct(t.token.alias("token"), retrieval.saturated(t.tf, F.col("size"), F.col("mean")).alias("weight")))
+    weighed = terms.join(sizes, "book_id").select("book_id", "chunk_id", part.alias("sparse"))
+    asked = terms.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "book_id", F.explode("terms").alias("t")).select("query_id", "book_id", "t.token", "t.tf")
+    rated = asked.join(retrieval.token_spread(terms), ["book_id", "token"]).join(sizes, "book_id")
+    weight = F.col("tf") * retrieval.idf(F.col("n"), F.col("df"))
+    questions = rated.groupBy("query_id", "book_id").agg(F.collect_list(F.struct("token", weight.alias("weight"))).alias("sparse"))
+    best = fusion.best_chunks(questions, weighed, BEST, "sparse")
+    return best.select("query_id", "rank", "chunk_id", F.round("sparse", 3).alias("sparse"))
