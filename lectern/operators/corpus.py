@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import SETTINGS
 from ..functions import text as T
-from ..functions.tables import settled
+from ..functions.tables import settled, stored
 
 
 def page_lines(spans: DataFrame) -> DataFrame:
@@ -31,12 +31,33 @@ def assemble_pages(spans: DataFrame) -> DataFrame:
 UNIT_ROW = "array<struct<unit_no int, title string, printed_page int, pos int>>"
 
 
+def marked_lines(lines: DataFrame) -> DataFrame:
+    """page_lines with what neighbours tell: kept (false for headers, footers and empty lines, of
+    whatever unit), listed (the page begins with Contents), printed and footer_unit (a page number
+    that has the line Unit and a unit number below it)."""
+    order = Window.partitionBy("book_id", "page_no").orderBy("k")
+    seen = lines.withColumn("before", F.lag("line").over(order)).withColumn("after", F.lead("line").over(order)).withColumn("below", F.lead("line", 2).over(order)).withColumn("top", F.first("line").over(order))
+
+    def digits(x: Column) -> Column:
+        return F.coalesce(F.rlike(T.stripped(x), F.lit(r"^\p{Nd}+$")), F.lit(False))
+
+    number = digits(F.col("line")) & (F.col("after").eqNullSafe("Unit") | F.col("before").eqNullSafe("Unit"))
+    unit = (F.col("line") == "Unit") & digits(F.col("after"))
+    year = (F.col("k") == 1) & (F.col("line") == "2026")
+    kept = ~(number | unit | year | (F.col("line") == "English for Today")) & (T.stripped(F.col("line")) != "")
+    p, u = F.regexp_extract("line", r"(\d{1,9})\z", 1), F.regexp_extract("below", r"^(\d{1,9})", 1)
+    foot = F.col("after").eqNullSafe("Unit") & (p != "") & (u != "")
+    return seen.select(*lines.columns, kept.alias("kept"), F.startswith(T.stripped(F.col("top")), F.lit("Contents")).alias("listed"), F.when(foot, p.cast("int")).alias("printed"), F.when(foot, u.cast("int")).alias("footer_unit"))
+
+
 def parsed_contents(lines: DataFrame) -> DataFrame:
     """book_id, units, error: the entries of the first page of each book that begins with
     Contents, read in order: a unit's name, its title, and the next line of digits, before which
     no other unit begins.  Only the lines of that page are gathered."""
-    head = lines.filter((F.col("k") == 1) & F.startswith(T.stripped(F.col("line")), F.lit("Contents"))).groupBy("book_id").agg(F.min("page_no").alias("page_no"))
-    rows = lines.join(head, ["book_id", "page_no"], "left_semi").select("book_id", "k", T.stripped(F.col("line")).alias("line")).filter("line <> ''")
+    marked = lines if "listed" in lines.columns else marked_lines(lines)
+    found = marked.filter("listed").select("book_id", "page_no", "k", T.stripped(F.col("line")).alias("line"))
+    head = found.groupBy("book_id").agg(F.min("page_no").alias("page_no"))
+    rows = found.filter("line <> ''").join(head, ["book_id", "page_no"], "left_semi").select("book_id", "k", "line")
     listed = rows.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x.line).alias("list"))
     nothing = F.struct(F.lit(None).cast("int").alias("unit_no"), F.lit(None).cast("string").alias("title"), F.array().cast(UNIT_ROW).alias("units"))
 
@@ -62,13 +83,11 @@ def contents(lines: DataFrame) -> DataFrame:
     return parsed_contents(lines).filter("error is null").select("book_id", F.explode("units").alias("u")).select("book_id", "u.*")
 
 
-def footers(lines: DataFrame) -> DataFrame:
+def footers(marked: DataFrame) -> DataFrame:
     """book_id, page_no, printed, footer_unit: the first page number, line Unit and unit number
-    of each page that has them one below the other."""
-    order = Window.partitionBy("book_id", "page_no").orderBy("k")
-    number, unit = F.regexp_extract("line", r"(\d{1,9})\z", 1), F.regexp_extract(F.lead("line", 2).over(order), r"^(\d{1,9})", 1)
-    rows = lines.select("book_id", "page_no", "k", number.alias("p"), (F.lead("line").over(order) == "Unit").alias("named"), unit.alias("u")).filter("named and p <> '' and u <> ''")
-    return rows.groupBy("book_id", "page_no").agg(F.min(F.struct("k", F.col("p").cast("int").alias("p"), F.col("u").cast("int").alias("u"))).alias("f")).select("book_id", "page_no", F.col("f.p").alias("printed"), F.col("f.u").alias("footer_unit"))
+    of each page of marked_lines that has them one below the other."""
+    rows = marked.filter("printed is not null").select("book_id", "page_no", F.struct("k", "printed", "footer_unit").alias("f"))
+    return rows.groupBy("book_id", "page_no").agg(F.min("f").alias("f")).select("book_id", "page_no", "f.printed", "f.footer_unit")
 
 
 def page_ranges(units: DataFrame, foot: DataFrame, totals: DataFrame) -> DataFrame:
@@ -81,16 +100,11 @@ def page_ranges(units: DataFrame, foot: DataFrame, totals: DataFrame) -> DataFra
     return start.select("book_id", "unit_no", "title", "pos", "first_page", F.coalesce(F.lead("first_page").over(order) - 1, F.col("total")).alias("last_page"), "total")
 
 
-#: Pages of a bin of the interval join.
-BIN = 64
-
-
 def pages_in(ranges: DataFrame, pages: DataFrame) -> DataFrame:
-    """pages(book_id, page_no, ...) with the ranges they lie in: an interval join in which pages
-    meet the ranges that touch their bin, so that no book is one group."""
+    """pages(book_id, page_no, ...) with the ranges they lie in.  Rows are dealt by book once, and
+    what follows by unit or stage finds them there."""
     low, high = F.greatest(F.col("first_page"), F.lit(0)), F.least(F.col("last_page"), F.col("total"))
-    binned = ranges.filter(low <= high).withColumn("bin", F.explode(F.sequence(F.expr(f"greatest(first_page, 0) div {BIN}"), F.expr(f"least(last_page, total) div {BIN}")))).drop("total")
-    return pages.withColumn("bin", F.expr(f"page_no div {BIN}")).join(binned, ["book_id", "bin"]).filter(F.col("page_no").between(F.col("first_page"), F.col("last_page"))).drop("bin")
+    return pages.join(ranges.filter(low <= high).drop("total"), "book_id").filter(F.col("page_no").between(F.col("first_page"), F.col("last_page")))
 
 
 def misplaced_pages(ranges: DataFrame, foot: DataFrame) -> DataFrame:
@@ -98,21 +112,17 @@ def misplaced_pages(ranges: DataFrame, foot: DataFrame) -> DataFrame:
     return pages_in(ranges, foot).filter("footer_unit <> unit_no").select("book_id", "page_no", "pos", "unit_no", "footer_unit")
 
 
-def unit_lines(ranges: DataFrame, lines: DataFrame) -> DataFrame:
+def unit_lines(ranges: DataFrame, marked: DataFrame) -> DataFrame:
     """book_id, pos, unit_no, title, first_page, page_no, k, line: what stands in each unit,
     without headers, footers, repeated titles and empty lines."""
-    inside = pages_in(ranges, lines).filter("not (k = 1 and line = '2026')")
-    order = Window.partitionBy("book_id", "pos", "page_no").orderBy("k")
-    before, after = F.lag("line").over(order), F.lead("line").over(order)
+    return pages_in(ranges, marked.filter("kept").select("book_id", "page_no", "k", "line")).filter(~F.col("line").eqNullSafe(F.col("title")))
 
-    def digits(x: Column) -> Column:
-        return F.coalesce(F.rlike(T.stripped(x), F.lit(r"^\p{Nd}+$")), F.lit(False))
 
-    seen = inside.withColumn("before", before).withColumn("after", after)
-    number = digits(F.col("line")) & (F.col("after").eqNullSafe("Unit") | F.col("before").eqNullSafe("Unit"))
-    unit = (F.col("line") == "Unit") & digits(F.col("after"))
-    kept = seen.filter(~(number | unit | (F.col("line") == "English for Today") | F.col("line").eqNullSafe(F.col("title"))) & (T.stripped(F.col("line")) != ""))
-    return kept.drop("before", "after")
+def books_with_text(ranges: DataFrame, marked: DataFrame) -> DataFrame:
+    """book_id of the books that have a line in any unit, by the first and last line of each page
+    in the order of letters: if one is not the title, the unit has text."""
+    pages = marked.filter("kept").groupBy("book_id", "page_no").agg(F.min("line").alias("least"), F.max("line").alias("most"))
+    return pages_in(ranges, pages).filter(~F.col("least").eqNullSafe(F.col("title")) | ~F.col("most").eqNullSafe(F.col("title"))).select("book_id").distinct()
 
 
 ACTIVITY = r"(?U)^\s*\d+\.\d+(?!\.\d)"
@@ -183,21 +193,20 @@ class Build:
 def build_books(spans: DataFrame) -> Build:
     """Chunks of every sound book of spans, and the first reason against each of the others, in
     the order: contents, page offset, footers that name another unit, no text."""
-    lines = settled(page_lines(spans))
-    foot = footers(lines)
-    read = parsed_contents(lines)
+    lines = stored(marked_lines(page_lines(spans)), "lines")
+    foot = settled(footers(lines))
+    read = settled(parsed_contents(lines))
     units = read.filter("error is null").select("book_id", F.explode("units").alias("u")).select("book_id", "u.*")
-    totals = spans.groupBy("book_id").agg(F.max("page_no").alias("total"))
+    totals = settled(spans.groupBy("book_id").agg(F.max("page_no").alias("total")))
     ranges = settled(page_ranges(units, foot, totals))
     known = totals.select("book_id").join(read.select("book_id", "error", F.lit(True).alias("read")), "book_id", "left")
     no_contents = known.filter("read is null or error is not null").select("book_id", F.lit(1).alias("step"), F.lit(0).alias("pos"), F.lit(0).alias("page_no"), F.coalesce("error", F.lit("contents: no page")).alias("reason"))
     unplaced = units.filter("pos = 0").join(ranges.select("book_id").distinct(), "book_id", "left_anti").select("book_id", F.lit(2).alias("step"), F.lit(0).alias("pos"), F.lit(0).alias("page_no"), F.format_string("offset: no footer of unit %d, printed page %d", "unit_no", "printed_page").alias("reason"))
     misplaced = misplaced_pages(ranges, foot).select("book_id", F.lit(3).alias("step"), "pos", F.col("page_no").cast("int").alias("page_no"), F.format_string("footer: page %d of unit %d names unit %d", F.col("page_no").cast("int"), "unit_no", "footer_unit").alias("reason"))
-    early = no_contents.unionByName(unplaced).unionByName(misplaced)
-    early = settled(early)
+    early = settled(no_contents.unionByName(unplaced).unionByName(misplaced))
     sound = ranges.join(early.select("book_id").distinct(), "book_id", "left_anti")
     made = with_header(piece_rows(stage_lines(unit_lines(sound, lines))))
-    empty = sound.select("book_id").distinct().join(made.select("book_id").distinct(), "book_id", "left_anti").select("book_id", F.lit(4).alias("step"), F.lit(0).alias("pos"), F.lit(0).alias("page_no"), F.lit("no text in any unit").alias("reason"))
+    empty = sound.select("book_id").distinct().join(books_with_text(sound, lines), "book_id", "left_anti").select("book_id", F.lit(4).alias("step"), F.lit(0).alias("pos"), F.lit(0).alias("page_no"), F.lit("no text in any unit").alias("reason"))
     first = early.unionByName(empty).groupBy("book_id").agg(F.min(F.struct("step", "pos", "page_no", "reason")).alias("f"))
     return Build(made, first.select("book_id", "f.reason"), ranges.drop("total"))
 
