@@ -22,26 +22,26 @@ def spans(spark, sf_dir) -> DataFrame:
     running header, footer and repeated title; activities are numbered, every line comes in two
     spans, and second spans of letters and full stops stand in the broken font."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    docs = documents(spark, sf_dir).select("doc_id", F.expr(f"doc_id div {UNITS}").alias("book"), (F.col("doc_id") % UNITS + 1).cast("int").alias("unit"), lines.alias("lines"))
+    docs = documents(spark, sf_dir).select("doc_id", F.expr(f"doc_id div {UNITS}").alias("book"), F.expr(f"cast(doc_id div {UNITS} as string)").alias("book_id"), (F.col("doc_id") % UNITS + 1).cast("int").alias("unit"), lines.alias("lines"))
     sized = docs.withColumn("pages", F.ceil(F.size("lines") / PAGE).cast("int"))
-    before = F.coalesce(F.sum("pages").over(Window.partitionBy("book").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    units = sized.select("*", (before + 1).cast("int").alias("printed"), F.concat(F.lit("Reading "), "doc_id").alias("title"), (F.col("book") % 6).alias("kind"), (F.max("unit").over(Window.partitionBy("book")) == F.col("unit")).alias("is_last"))
+    before = F.coalesce(F.sum("pages").over(Window.partitionBy("book_id").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    units = sized.select("*", (before + 1).cast("int").alias("printed"), F.concat(F.lit("Reading "), "doc_id").alias("title"), (F.col("book") % 6).alias("kind"), (F.max("unit").over(Window.partitionBy("book_id")) == F.col("unit")).alias("is_last"))
 
     def span(block: int | str, line, text, kind: int = 0):
         return F.struct(F.lit(block).cast("int").alias("block_no") if isinstance(block, int) else F.col(block).alias("block_no"), line.cast("int").alias("line_no"), F.lit(0).alias("span_no"), F.lit(kind).alias("block_type"), text.cast("string").alias("text"))
 
     number = F.when((F.col("kind") == NO_NUMBER) & F.col("is_last"), F.lit("")).otherwise(F.col("printed").cast("string"))
     entry = F.array(span("unit", F.lit(0), F.concat(F.lit("Unit "), "unit")), span("unit", F.lit(1), F.col("title")), span("unit", F.lit(2), number))
-    listed = units.filter(F.col("kind") != NO_CONTENTS).select("book", F.lit(1).alias("page_no"), F.explode(F.when(F.col("printed") == 1, F.concat(F.array(span(0, F.lit(0), F.lit("Contents"))), entry)).otherwise(entry)).alias("s"))
+    listed = units.filter(F.col("kind") != NO_CONTENTS).select("book_id", F.lit(1).alias("page_no"), F.explode(F.when(F.col("printed") == 1, F.concat(F.array(span(0, F.lit(0), F.lit("Contents"))), entry)).otherwise(entry)).alias("s"))
 
     paged = units.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("pages") - 1))).withColumn("page_no", F.col("printed") + F.col("p") + 1)
     foot = F.col("printed") + F.col("p") + F.when(F.col("kind") == NO_FOOTER, 1000).otherwise(0)
     named = F.col("unit") + F.when((F.col("kind") == WRONG_FOOTER) & (F.col("unit") == 2), 7).otherwise(0)
     year = F.when(F.col("page_no") % 3 == 0, F.lit("2026")).otherwise(F.lit(""))
     furniture = F.array(span(0, F.lit(0), year), span(0, F.lit(1), F.lit("English for Today")), span(2, F.lit(0), foot), span(2, F.lit(1), F.lit("Unit")), span(2, F.lit(2), named), span(2, F.lit(3), F.col("title")), span(3, F.lit(0), F.lit("picture"), 1))
-    around = paged.select("book", "page_no", F.explode(furniture).alias("s"))
+    around = paged.select("book_id", "page_no", F.explode(furniture).alias("s"))
 
-    rows = paged.select("book", "page_no", "unit", F.posexplode(F.slice("lines", F.col("p") * PAGE + 1, F.lit(PAGE))).alias("line_no", "line"), (F.col("p") * PAGE).alias("first"))
+    rows = paged.select("book_id", "page_no", "unit", F.posexplode(F.slice("lines", F.col("p") * PAGE + 1, F.lit(PAGE))).alias("line_no", "line"), (F.col("p") * PAGE).alias("first"))
     i = F.col("first") + F.col("line_no")
     has_text = F.rlike("line", F.lit(r"(?U)\S"))
     line = F.when(has_text & (i % ACTIVITY == 0), F.concat(F.col("unit").cast("string"), F.lit("."), (i + 1).cast("string"), F.lit(" "), "line")).otherwise(F.col("line"))
@@ -49,8 +49,8 @@ def spans(spark, sf_dir) -> DataFrame:
     lined = rows.withColumn("line", line).withColumn("one", F.left("line", half)).withColumn("two", F.substr("line", half + 1))
     broken = F.when(F.rlike("two", F.lit(r"^[a-zA-Z. ]*\.[a-zA-Z. ]*$")), F.translate("two", ASCII, SHIFTED)).otherwise(F.col("two"))
     halves = F.array(*[F.struct(F.lit(1).alias("block_no"), F.col("line_no"), F.lit(k).alias("span_no"), F.lit(0).alias("block_type"), t.alias("text")) for k, t in enumerate((F.col("one"), broken))])
-    body = lined.select("book", "page_no", F.explode(halves).alias("s"))
-    return listed.unionByName(around).unionByName(body).select(F.col("book").cast("string").alias("book_id"), "page_no", "s.*")
+    body = lined.select("book_id", "page_no", F.explode(halves).alias("s"))
+    return listed.unionByName(around).unionByName(body).select("book_id", "page_no", "s.*")
 
 
 UNIT_SQL = f"""d AS (SELECT doc_id, doc_id // {UNITS} AS book, doc_id % {UNITS} + 1 AS unit, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
