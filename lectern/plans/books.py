@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import settled, work_path
+from ..functions.tables import stored, work_path
 from ..operators import corpus
 from ..sources import chunk_store
 from .registry import ASCII, SHIFTED, TOKENS, documents, query
@@ -109,7 +109,7 @@ def a7_chunk_store(spark, sf_dir):
     """All books published twice, the second time with their chunks in other batches; status and
     counts as recorded, and chunks as read back, of the latest version."""
     build = corpus.build_books(spans(spark, sf_dir))
-    made, path = settled(build.chunks), work_path(spark, "store")
+    made, path = stored(build.chunks, "chunks"), work_path(spark, "store")
     chunk_store.publish(made.withColumn("text", F.lit("old")), build.faults, path)
     version = chunk_store.publish(made, build.faults, path)
     read = chunk_store.chunks(spark, path).filter("text <> 'old'").groupBy("book_id").agg(F.count("*").alias("n"))
