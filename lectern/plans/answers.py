@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
-from ..functions.tables import stored, work_path
+from ..functions.tables import settled, stored, work_path
 from ..operators import chat, corpus, evaluation, fusion, retrieval, style, transcripts
 from ..sources import files
 from .queries import BODY, DENSE_SQL, FK_SQL, _vectors
@@ -51,8 +51,11 @@ def c11_context_parts(spark, sf_dir):
     """The whole parent lessons of each question's hits, numbered, in parts of bounded size."""
     hits, placed = placed_chunks(spark, sf_dir)
     texts = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
-    parts = retrieval.context_parts(retrieval.parent_lessons(hits, placed.join(texts, "chunk_id", "left")))
-    return parts.select("query_id", "part", "chunks", "bytes", F.md5(F.col("context").cast("binary")).alias("context_md5"))
+    lessons = settled(retrieval.lessons_of(hits, placed))
+    alike = retrieval.same_lessons(lessons)
+    once = lessons.join(alike.select(F.col("same_as").alias("query_id")).distinct(), "query_id", "left_semi")
+    parts = retrieval.lesson_context_parts(once, placed.join(texts, "chunk_id", "left")).select(F.col("query_id").alias("same_as"), "part", "chunks", "bytes", F.md5(F.col("context").cast("binary")).alias("context_md5"))
+    return alike.select("query_id", "same_as").join(parts, "same_as").drop("same_as")
 
 
 @query("d10_session_messages", "SELECT conv_id AS session_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn // 2, CASE WHEN role = 'user' THEN 0 ELSE 1 END, turn)::INTEGER AS place FROM conversations")

@@ -81,3 +81,15 @@ def test_media_total(spark, tmp_path):
     assert [r.length for r in listed.collect()] == [1500, 500]
     assert tuple(files.media_total(listed).first()) == (2, 0.002)
     assert tuple(files.media_total(listed.limit(0)).first()) == (0, 0.0)
+
+
+def test_contexts_of_lessons_are_those_of_their_rows(spark):
+    """Lessons that begin inside parts, lie across blocks, interleave by page, or are empty."""
+    rows = [("b", c, f"l{c % 3 if c < 200 else 3 + c % 2}", c % 3 if c < 200 else 7, 1, c % 11, None if c % 17 == 0 else "é" * (c * 7 % 60) + "x" * (c == 50) * 900) for c in range(300)] + [("z", 1, "l0", 1, 1, 1, "other")]
+    chunks = spark.createDataFrame(rows, "book_id string, chunk_id int, lesson_id string, unit int, lesson_no int, page int, text string").repartition(3)
+    hits = spark.createDataFrame([(1, "b", 0), (1, "b", 3), (1, "b", 1), (2, "b", 4), (2, "b", 6), (3, "b", 200), (3, "b", 201), (3, "b", 2), (4, "z", 1), (5, "b", 999)], "query_id int, book_id string, chunk_id int")
+    want = sorted(map(tuple, retrieval.context_parts(retrieval.parent_lessons(hits, chunks), 150).collect()))
+    lessons = retrieval.lessons_of(hits, chunks)
+    got = retrieval.lesson_context_parts(lessons, chunks, 150).select("query_id", "part", "chunks", "bytes", "context")
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 50
+    assert {(r.query_id, r.same_as) for r in retrieval.same_lessons(lessons).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
